@@ -86,11 +86,10 @@ def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     number = F.substring("pair", 2, 10).cast("int")
     first = F.get(F.array(*[F.lit(a) for a, _ in pairs]), number)
     second = F.get(F.array(*[F.lit(b) for _, b in pairs]), number)
-    half = per_pair.select(first.alias("a"), second.alias("b"), "r")
-    entry = F.when(F.col("a") == F.col("b"), F.when(F.col("r").isNotNull(), 1.0)).otherwise(F.col("r"))
-    one = F.array(F.struct("a", "b", entry.alias("r")))
-    two = F.array(F.struct("a", "b", entry.alias("r")), F.struct("b", "a", entry.alias("r")))
-    return half.select(F.inline(F.when(F.col("a") == F.col("b"), one).otherwise(two)).alias("var_a", "var_b", "corr"))
+    both = F.array(F.struct(first.alias("a"), second.alias("b")), F.struct(second.alias("a"), first.alias("b")))
+    half = per_pair.select(F.explode(F.array_distinct(both)).alias("p"), "r").select("p.a", "p.b", "r")
+    entry = F.when(F.col("a") != F.col("b"), F.col("r")).when(F.col("r").isNotNull(), F.lit(1.0))
+    return half.select(F.col("a").alias("var_a"), F.col("b").alias("var_b"), entry.alias("corr"))
 
 
 def corr_max(corr: DataFrame, mask_ones: bool = True) -> DataFrame:

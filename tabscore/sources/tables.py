@@ -52,11 +52,12 @@ def read_submission(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_features(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Feature table sink: parquet by default, ``fmt='csv.gz'`` for exchange."""
+    """Feature table sink: parquet by default, ``csv`` or ``csv.gz`` for exchange."""
     if fmt == "parquet":
         df.write.mode("overwrite").parquet(path)
-    elif fmt == "csv.gz":
-        df.write.mode("overwrite").options(header=True, compression="gzip", nullValue="NA").csv(path)
+    elif fmt in ("csv", "csv.gz"):
+        compression = "gzip" if fmt == "csv.gz" else "none"
+        df.write.mode("overwrite").options(header=True, compression=compression, nullValue="NA").csv(path)
     else:
         raise ValueError(f"unknown feature format {fmt!r}")
 
