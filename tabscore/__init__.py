@@ -80,6 +80,7 @@ from tabscore.plans.features import (
     scaled_tournament,
 )
 from tabscore.plans.tournament import public_private_auc, rank_latest, validate_submission
+from tabscore.session import tune
 from tabscore.sources.contest import contest, order_features, tournament, training
 from tabscore.sources.scratch import materialize
 from tabscore.sources.tables import read_submission, read_table, write_features, write_submission

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabscore.session import tune
 from tabscore.sources.tables import FEATURES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,7 +54,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(fn: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"query {name!r} is registered twice")
-        QUERIES[name] = fn
+        QUERIES[name] = lambda spark, sf_dir: fn(tune(spark), sf_dir)
         if sql is not None:
             text = sql.strip()
             ORACLES[name] = BASE + (", " + text[4:].strip() if text.startswith("with") else text)

@@ -16,12 +16,12 @@ BITS = [f"c_{i}" for i in range(1, 6)]
 COLS = [*BITS, *SCALED]
 
 # The contest target hardly depends on the features, so fits learn this one.
-PLANTED = F.expr("cast(f1 > 100 or f9 >= 3 as int)")
+PLANTED = "cast(f1 > 100 or f9 >= 3 as int)"
 
 
 def _table(spark, sf_dir):
     """Stored training features with a learnable target."""
-    contest = ts.materialize(rows(spark, sf_dir).withColumn("target", PLANTED), "contest")
+    contest = ts.materialize(rows(spark, sf_dir).withColumn("target", F.expr(PLANTED)), "contest")
     return ts.materialize(ts.feature_set(contest, "train_only"), "features")
 
 
@@ -30,7 +30,7 @@ def _splits(spark, sf_dir):
 
 
 def _live(spark, sf_dir):
-    contest = ts.materialize(rows(spark, sf_dir).withColumn("target", PLANTED), "contest")
+    contest = ts.materialize(rows(spark, sf_dir).withColumn("target", F.expr(PLANTED)), "contest")
     scaler = {"m2": "not tournament and validation = 0"}
     train = ts.materialize(ts.scaled_features(contest, scaler), "features")
     return train, ts.materialize(ts.scaled_tournament(contest, scaler), "tournament")

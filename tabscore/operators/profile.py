@@ -74,12 +74,11 @@ def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     pairs inside the scan stage; only one partial aggregate per pair leaves it.
     """
     pairs = list(combinations_with_replacement(cols, 2))
-    xy = [
-        F.struct(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")).alias(f"p{i}")
-        for i, (a, b) in enumerate(pairs)
-    ]
-    names = [f"p{i}" for i in range(len(pairs))]
-    long = df.select(*xy).unpivot([], names, "pair", "xy").select("pair", "xy.x", "xy.y")
+    in_pairs = ", ".join(f"(`{a}`, `{b}`) AS p{i}" for i, (a, b) in enumerate(pairs))
+    long = df.sparkSession.sql(
+        f"SELECT pair, x, y FROM {{values}} UNPIVOT INCLUDE NULLS ((x, y) FOR pair IN ({in_pairs}))",
+        values=df.select(*[F.col(c).cast("double") for c in cols]),
+    )
     r = F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y"))
     per_pair = long.filter("x is not null and y is not null").groupBy("pair").agg(r.alias("r"))
 

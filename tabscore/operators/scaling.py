@@ -71,11 +71,18 @@ class SplitScalerModel:
     stats: dict[str, dict[str, dict[str, Stat]]]  # kind -> split -> column -> (mean, sd)
 
     def _by_split(self, kind: str, col: str, value: Column) -> Column:
-        out = None
-        for name, condition in self.splits.items():
-            scaled = z(value, *self.stats[kind][name][col])
-            out = F.when(F.expr(condition), scaled) if out is None else out.when(F.expr(condition), scaled)
-        return out
+        stats = {condition: self.stats[kind][s][col] for s, condition in self.splits.items()}
+        if len(stats) == 1:
+            [(condition, stat)] = stats.items()
+            return F.when(F.expr(condition), z(value, *stat))
+
+        def pick(i: int) -> Column:
+            out = F
+            for condition, stat in stats.items():
+                out = out.when(F.expr(condition), F.lit(stat[i]).cast("double"))
+            return out
+
+        return z(value, pick(0), pick(1))
 
     def columns(self) -> list[Column]:
         out = [self._by_split("value", c, F.col(c)).alias(f"{c}_mn") for c in self.cols]

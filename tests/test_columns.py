@@ -1,0 +1,101 @@
+import pytest
+from pyspark.sql import functions as F
+
+import tabscore as ts
+
+
+def one(spark, column, **values):
+    row = spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} {t}" for k, t in TYPES(values)))
+    return row.select(column.alias("v")).first()["v"]
+
+
+def TYPES(values):
+    kinds = {int: "int", float: "double", str: "string", type(None): "double"}
+    return [(k, kinds[type(v)]) for k, v in values.items()]
+
+
+@pytest.mark.parametrize(
+    "text, token, number",
+    [("c_24", "c", 24), ("c-7", "c", 7), ("c", "c", None), ("c_x", "c", None), ("c__3_9", "c", 3), ("_5", "", 5)],
+)
+def test_split_code(spark, text, token, number):
+    t, n = ts.split_code("c")
+    row = spark.createDataFrame([(text,)], "c string").select(t.alias("t"), n.alias("n")).first()
+    assert (row.t, row.n) == (token, number)
+
+
+@pytest.mark.parametrize("n", [0, 1, 24, 31])
+def test_bits_recombine_to_the_code(spark, n):
+    df = ts.bit_columns(spark.createDataFrame([(n,)], "n int"), "n", 5)
+    bits = df.first()
+    assert sum(bits[f"c_{i}"] << (5 - i) for i in range(1, 6)) == n
+    assert one(spark, ts.to_binary("n", 5), n=n) == format(n, "05b")
+
+
+@pytest.mark.parametrize("n", [32, 40, -1])
+def test_code_beyond_the_width_raises(spark, n):
+    with pytest.raises(Exception, match="does not fit in 5 bits"):
+        one(spark, ts.to_binary("n", 5), n=n)
+    with pytest.raises(Exception, match="does not fit in 5 bits"):
+        ts.bit_columns(spark.createDataFrame([(n,)], "n int"), "n", 5).collect()
+
+
+def test_null_code_gives_null_bits(spark):
+    df = spark.createDataFrame([(None,)], "n int")
+    assert ts.bit_columns(df, "n", 2).first() == (None, None, None)
+
+
+def test_z_of_constant_is_null(spark):
+    assert one(spark, ts.z("x", 2.0, 0.0), x=2.0) is None
+    assert one(spark, ts.z("x", 2.0, None), x=2.0) is None
+    assert one(spark, ts.z("x", F.lit(2.0), F.lit(0.0)), x=2.0) is None
+    assert one(spark, ts.z("x", 1.0, 2.0), x=2.0) == 0.5
+
+
+def test_products_do_not_overflow_integers(spark):
+    big = 2_000_000_000
+    assert one(spark, ts.square("a"), a=big) == float(big) ** 2
+    assert one(spark, ts.product("a", "b"), a=big, b=big) == float(big) ** 2
+
+
+def test_blends(spark):
+    assert one(spark, ts.blend_mean("a", "b"), a=0.25, b=0.75) == 0.5
+    assert one(spark, ts.blend_mean("a", "b"), a=0.25, b=None) is None
+    assert one(spark, ts.blend_weighted({"a": 0.75, "b": 0.25}), a=1.0, b=0.0) == 0.75
+    assert one(spark, ts.flip("a"), a=0.25) == 0.75
+    with pytest.raises(ValueError):
+        ts.blend_weighted({"a": 0.9, "b": 0.2})
+
+
+@pytest.mark.parametrize("a, b, expected", [(1.0, 1.0, 7.0), (1.0, 0.0, 8.0), (None, 1.0, None)])
+def test_when_agree(spark, a, b, expected):
+    df = spark.createDataFrame([(a, b)], "a double, b double")
+    assert df.select(ts.when_agree("a", "b", F.lit(7.0), F.lit(8.0))).first()[0] == expected
+
+
+def test_blend_plan_rejects_bad_weights(spark):
+    df = spark.createDataFrame([(0.5, 0.5)], "a double, b double")
+    with pytest.raises(ValueError):
+        ts.blend(df, {"p": {"a": 0.5, "b": 0.6}})
+
+
+def test_blend_of_equal_scores_is_identity(spark):
+    df = spark.createDataFrame([(0.3, 0.3, 0.3)], "a double, b double, c double")
+    out = ts.blend(df, {"p": ts.equal("a", "b", "c"), "q": {"a": 0.2, "b": 0.8}}).first()
+    assert out.p == pytest.approx(0.3) and out.q == pytest.approx(0.3)
+
+
+def test_blend_flip_and_condition(spark):
+    df = spark.createDataFrame([(0.2, 0.4, 1, 1), (0.2, 0.4, 1, 0)], "a double, b double, v int, w int")
+    out = ts.blend(
+        df, {"f": ts.equal("a", "b"), "g": ts.equal("a", "b")}, flip_cols=["b"], only_if={"g": ("v", "w", "a")}
+    ).collect()
+    assert [r.f for r in out] == pytest.approx([0.4, 0.4])
+    assert [r.g for r in out] == pytest.approx([0.4, 0.2])
+
+
+def test_selection_ignores_case(spark):
+    df = spark.createDataFrame([(1, 2, 3)], "F1 int, f2_M1 int, g int")
+    assert ts.cols_starting(df, "f") == ["F1", "f2_M1"]
+    assert ts.cols_containing(df, "m1") == ["f2_M1"]
+    assert ts.cols_except(["a", "b"], ["b", "z"]) == ["a"]
