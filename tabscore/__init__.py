@@ -27,7 +27,7 @@ from tabscore.models.gbt import (
 from tabscore.models.grid import gbt_grid, grid_search, refit
 from tabscore.models.mlp import mlp, mlp_early_stop
 from tabscore.models.rotation import rotation_forest
-from tabscore.models.score import score
+from tabscore.models.score import score, score_many
 from tabscore.models.store import load_model, save_model
 from tabscore.models.svm import clustered_svm, gated_experts, kernel_svm_approx
 from tabscore.operators.joins import (

@@ -212,10 +212,10 @@ def model_submission(spark, sf_dir):
     """Two fits on training rows, two on all rows, blended into one submission."""
     train, live = _live(spark, sf_dir)
     fits = {"p1": (3, 0.1, False), "p2": (2, 0.3, False), "p3": (3, 0.1, True), "p4": (2, 0.3, True)}
-    scored = [
-        ts.score(ts.gbt(train if full else train.filter("validation = 0"), COLS, depth, eta, 3), live, "t_id", name)
+    models = {
+        name: ts.gbt(train if full else train.filter("validation = 0"), COLS, depth, eta, 3)
         for name, (depth, eta, full) in fits.items()
-    ]
-    bound = ts.bind_by_key(scored, "t_id")
+    }
+    scored = ts.score_many(models, live, "t_id")
     blends = {"probability1": ts.equal("p1", "p2"), "probability2": ts.equal("p3", "p4"), "probability3": ts.equal(*fits)}
-    return ts.blend(bound, blends).select("t_id", *blends)
+    return ts.blend(scored, blends).select("t_id", *blends)

@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 from tabscore.models.score import score
 from tabscore.operators.metrics import auc
 from tabscore.operators.ordered import add_row_id
+from tabscore.operators.reshape import to_long
 from tabscore.sources.scratch import materialize
 
+SWAPPED_TOGETHER = 16  # columns whose permuted scores share one scan
+
 
 def first_fraction(df: DataFrame, key: str, fraction: float) -> tuple[DataFrame, DataFrame]:
     """(the first ``fraction`` of the rows in ``key`` order, the rest); ``key`` is unique."""
@@ -124,7 +127,7 @@ def permutation_importance(
 
     Rows are put in one random order and every row also gets the values of the
     row before it (the first row those of the last): one join shuffles all
-    columns. Each copy of the data then swaps one column in.
+    columns. A scan then scores the rows with each column swapped in turn.
     """
     inputs = model.stages[0].getInputCols()
     order = [F.xxhash64(F.col(key), F.lit(seed)), F.col(key)]
@@ -135,11 +138,17 @@ def permutation_importance(
     )
     pairs = materialize(ranked.join(others, "__rank"), "permuted")
 
-    def scored(c: str) -> DataFrame:
-        swapped = pairs.withColumn(c, F.col(f"__other_{c}")) if c else pairs
-        return score(model, swapped, key, "p1", [label]).withColumn("feature", F.lit(c))
-
-    areas = auc(reduce(DataFrame.unionByName, [scored(c) for c in ["", *cols]]), label, "p1", ["feature"])
-    by_feature = materialize(areas, "importance")
+    parts = [auc(score(model, pairs, key, "p1", [label]), label, "p1").select(F.lit("").alias("feature"), "auc")]
+    for start in range(0, len(cols), SWAPPED_TOGETHER):
+        batch = cols[start : start + SWAPPED_TOGETHER]
+        scored = pairs
+        for c in batch:
+            swapped = scored.withColumnRenamed(c, "__kept").withColumnRenamed(f"__other_{c}", c)
+            names = [n for n in swapped.columns if n not in (c, "__kept")]
+            one = score(model, swapped, names, f"__p_{c}", ["__kept"])
+            scored = one.withColumnRenamed("__kept", c)
+        scores = scored.select(key, label, *[F.col(f"__p_{c}").alias(c) for c in batch])
+        parts.append(auc(to_long(scores, [key, label], batch, "feature", "p1"), label, "p1", ["feature"]))
+    by_feature = materialize(reduce(DataFrame.unionByName, parts), "importance")
     whole = by_feature.filter("feature = ''").select("auc").scalar()
     return by_feature.filter("feature <> ''").select("feature", (whole - F.col("auc")).alias("auc_drop"))

@@ -14,11 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabscore.models.gbt import gbt, staged_auc
-from tabscore.models.score import score
+from tabscore.models.score import score_many
 from tabscore.operators.metrics import auc
+from tabscore.operators.reshape import to_long
 from tabscore.sources.scratch import materialize
 
-SCORED_TOGETHER = 32  # models whose validation scores share one AUC job
+SCORED_TOGETHER = 16  # models whose validation scores share one scan and one AUC job
 
 
 def expand_grid(grid: dict[str, Iterable], max_models: int | None = None, seed: int = 2016) -> list[dict]:
@@ -76,11 +77,9 @@ def grid_search(
     measure = metric or (lambda scores, y, p: auc(scores, y, p, ["model_id"]))
     parts = []
     for start in range(0, len(models), SCORED_TOGETHER):
-        scored = [
-            score(m, valid, key, "p1", [label]).withColumn("model_id", F.lit(f"model_{i}"))
-            for i, m in enumerate(models[start : start + SCORED_TOGETHER], start + 1)
-        ]
-        parts.append(measure(reduce(DataFrame.unionByName, scored), label, "p1"))
+        batch = {f"model_{i}": m for i, m in enumerate(models[start : start + SCORED_TOGETHER], start + 1)}
+        scores = score_many(batch, valid, key, [label])
+        parts.append(measure(to_long(scores, [key, label], list(batch), "model_id", "p1"), label, "p1"))
     measured = materialize(reduce(DataFrame.unionByName, parts), "grid")
     return (
         _settings_frame(train, settings)

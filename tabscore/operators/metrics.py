@@ -128,9 +128,11 @@ def performance(df: DataFrame, label: str, p: str, cut: float = 0.5, by: list[st
         F.count_if(~F.col("yes") & F.col("hit")).alias("fn"),
     )
     area = auc(df, label, p, by)
-    if by:
-        return report.join(area, by)
-    return report.select("*", area.scalar().alias("auc"))
+    if not by:
+        return report.select("*", area.scalar().alias("auc"))
+    named = area.select(*[F.col(b).alias(f"__b_{b}") for b in by], "auc")
+    match = [F.col(b).eqNullSafe(F.col(f"__b_{b}")) for b in by]
+    return report.join(named, match).select(*report.columns, "auc")
 
 
 def early_stop(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame
@@ -42,6 +43,11 @@ def variable_stats(long: DataFrame, na_policy: str = "propagate", by: str = "var
     return long.groupBy(by).agg(mean.alias("mean"), sd.alias("sd"))
 
 
+def any_of(conditions: Iterable[str]) -> Column:
+    """Rows under at least one of the SQL conditions; others need no unpivot."""
+    return F.expr(" or ".join(f"({c})" for c in conditions))
+
+
 def population_stats(
     df: DataFrame, cols: list[str], populations: dict[str, str], na_policy: str = "propagate"
 ) -> DataFrame:
@@ -53,7 +59,7 @@ def population_stats(
     """
     flags = {p: f"__in_{i}" for i, p in enumerate(populations)}
     long = to_long(
-        df.select(
+        df.filter(any_of(populations.values())).select(
             *[F.col(c).cast("double") for c in cols],
             *[F.coalesce(F.expr(populations[p]), F.lit(False)).alias(f) for p, f in flags.items()],
         ),

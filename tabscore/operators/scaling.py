@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tabscore.functions.columns import product, square, z
 from tabscore.operators.joins import join_anchor, lookup_stats
-from tabscore.operators.profile import mean_and_sd, population_stats, variable_stats
+from tabscore.operators.profile import any_of, mean_and_sd, population_stats, variable_stats
 from tabscore.operators.reshape import to_long
 
 Stat = tuple[float | None, float | None]
@@ -118,7 +118,7 @@ class SplitScaler:
         flags = {s: f"__in_{i}" for i, s in enumerate(self.splits)}
         anchor = F.col(self.anchor).cast("double") if self.anchor else F.lit(None).cast("double")
         long = to_long(
-            df.select(
+            df.filter(any_of(self.splits.values())).select(
                 *[F.col(c).cast("double") for c in self.cols],
                 anchor.alias("__anchor"),
                 *[F.coalesce(F.expr(self.splits[s]), F.lit(False)).alias(f) for s, f in flags.items()],

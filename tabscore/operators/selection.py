@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabscore.operators.joins import small_side
+from tabscore.operators.ordered import add_row_id
+
 
 def cols_starting(df: DataFrame, prefix: str) -> list[str]:
     """Names that start with ``prefix``, ignoring case."""
@@ -34,9 +37,13 @@ def to_double(df: DataFrame, cols: Iterable[str]) -> DataFrame:
 
 
 def index_label(df: DataFrame, col: str, out: str = "label") -> DataFrame:
-    """Number the levels of ``col`` 0, 1, ... in sorted order."""
-    indexer = StringIndexer(inputCol=col, outputCol=out, stringOrderType="alphabetAsc", handleInvalid="error")
-    return indexer.fit(df).transform(df)
+    """Number the levels of ``col`` 0, 1, ... in sorted order; NULL stays NULL.
+
+    The levels are numbered as a table, so they may be as many as the rows.
+    """
+    levels = add_row_id(df.select(col).filter(F.col(col).isNotNull()).distinct(), col, "__n")
+    numbers = levels.select(col, (F.col("__n") - 1).cast("double").alias(out))
+    return df.join(small_side(numbers), col, "left").select(*df.columns, out)
 
 
 def assemble(df: DataFrame, cols: list[str], out: str = "features", invalid: str = "error") -> DataFrame:

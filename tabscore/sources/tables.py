@@ -25,12 +25,20 @@ SUBMISSION_SCHEMA = T.StructType(
 )
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def read_table(
+    spark: SparkSession, path: str, schema: T.StructType | None = None, partitions: int | None = None
+) -> DataFrame:
     """Read a header CSV (plain or ``.gz``) or, for any other path, parquet.
 
-    A gz file cannot be split, so one big ``.csv.gz`` arrives as one task:
-    ``write_features`` writes many parts for that reason.
+    A gz file cannot be split, so a single big ``.csv.gz`` is read by one task;
+    ``partitions`` spreads its rows for what follows. ``write_features`` writes
+    many parts, which need no such step.
     """
+    df = _scan(spark, path, schema)
+    return df if partitions is None else df.repartition(partitions)
+
+
+def _scan(spark: SparkSession, path: str, schema: T.StructType | None) -> DataFrame:
     if ".csv" in path or path.endswith(".gz"):
         if schema is None:
             raise ValueError("a CSV scan needs a schema: inferring one reads the data twice")

@@ -99,3 +99,9 @@ def test_selection_ignores_case(spark):
     assert ts.cols_starting(df, "f") == ["F1", "f2_M1"]
     assert ts.cols_containing(df, "m1") == ["f2_M1"]
     assert ts.cols_except(["a", "b"], ["b", "z"]) == ["a"]
+
+
+def test_index_label(spark):
+    df = spark.createDataFrame([("b",), ("a",), (None,), ("b",), ("c",)], "k string")
+    got = {r.k: r.label for r in ts.index_label(df, "k").collect()}
+    assert got == {"a": 0.0, "b": 1.0, "c": 2.0, None: None}

@@ -131,6 +131,11 @@ def test_performance(spark):
     assert r.mse == pytest.approx((0.01 + 0.36 + 0.04 + 0.36) / 4)
 
 
+def test_performance_by_group_keeps_the_null_group(spark):
+    df = spark.createDataFrame([("a", 1, 0.9), ("a", 0, 0.1), (None, 1, 0.2), (None, 0, 0.7)], "g string, y int, s double")
+    assert {r.g: r.auc for r in ts.performance(df, "y", "s", by=["g"]).collect()} == {"a": 1.0, None: 0.0}
+
+
 def test_accuracy(spark):
     assert ts.accuracy(frame(spark, [(1, 1.0), (0, 1.0)]), "y", "s").first().accuracy == 0.5
 

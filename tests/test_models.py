@@ -37,6 +37,23 @@ def test_gbt_finds_the_signal_and_repeats(parts, trees):
     assert all(0 <= p <= 1 for p in scores(trees, parts[1]).values())
 
 
+def test_many_models_in_one_scan(parts, trees):
+    other = ts.gbt(parts[0], SCALED, 1, 0.2, 2)
+    svm = ts.clustered_svm(parts[0], SCALED, centers=2, max_iter=5)
+    both = ts.score_many({"a": trees, "b": other, "c": svm}, parts[1], "id", ["target"])
+    assert both.columns == ["id", "target", "a", "b", "c"]
+    rows = both.collect()
+    assert {r.id: r.a for r in rows} == scores(trees, parts[1])
+    assert {r.id: r.b for r in rows} == scores(other, parts[1])
+    assert {r.id: r.c for r in rows} == scores(svm, parts[1])
+    assert both._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+
+
+def test_both_class_probabilities(parts, trees):
+    r = ts.score(trees, parts[1], "id", "p1", p0="p0").first()
+    assert r.p0 == pytest.approx(1 - r.p1)
+
+
 def test_save_and_load(parts, trees, tmp_path):
     ts.save_model(trees, str(tmp_path / "m"))
     assert scores(ts.load_model(str(tmp_path / "m")), parts[1]) == scores(trees, parts[1])
