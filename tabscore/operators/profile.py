@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from itertools import combinations_with_replacement
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabscore.operators.ordered import prefix_sums
@@ -22,24 +22,24 @@ def max_of(df: DataFrame, col: str | Column, name: str = "max") -> DataFrame:
     return df.agg(F.max(col).alias(name))
 
 
-def mean_and_sd(x: Column, rows: Column, na_policy: str = "propagate") -> tuple[Column, Column]:
-    """Aggregates (mean, sample sd) of ``x`` over the ``rows`` where that is true.
+def mean_and_sd(x: Column, na_policy: str = "propagate") -> tuple[Column, Column]:
+    """Aggregates (mean, sample sd) of ``x``.
 
     ``propagate``: one NULL makes both NULL. ``skip``: NULLs are left out.
     """
-    inside = F.when(rows, x.cast("double"))
-    mean, sd = F.avg(inside), F.stddev_samp(inside)
+    value = x.cast("double")
+    mean, sd = F.avg(value), F.stddev_samp(value)
     if na_policy == "skip":
         return mean, sd
     if na_policy != "propagate":
         raise ValueError(f"unknown na_policy {na_policy!r}")
-    complete = F.count(inside) == F.count_if(rows)
+    complete = F.count(value) == F.count("*")
     return F.when(complete, mean), F.when(complete, sd)
 
 
 def variable_stats(long: DataFrame, na_policy: str = "propagate", by: str = "variable") -> DataFrame:
     """Mean and sample sd per variable of a long table."""
-    mean, sd = mean_and_sd(F.col("value"), F.lit(True), na_policy)
+    mean, sd = mean_and_sd(F.col("value"), na_policy)
     return long.groupBy(by).agg(mean.alias("mean"), sd.alias("sd"))
 
 
@@ -53,10 +53,13 @@ def population_stats(
 ) -> DataFrame:
     """``variable, m_<p>, sd_<p>, ...`` for every population in one scan.
 
-    ``populations`` maps a name to a SQL condition. Rows are unpivoted inside
-    the scan stage and pre-aggregated there, so a task sends one row per
-    variable and no population needs a scan or join of its own.
+    ``populations`` maps a name to a SQL condition; they may overlap. A row is
+    counted once, in the cell of populations it belongs to: it is unpivoted and
+    pre-aggregated inside the scan stage, so a task sends one row per variable
+    and cell. The few cells are then merged into populations.
     """
+    if na_policy not in ("propagate", "skip"):
+        raise ValueError(f"unknown na_policy {na_policy!r}")
     flags = {p: f"__in_{i}" for i, p in enumerate(populations)}
     long = to_long(
         df.filter(any_of(populations.values())).select(
@@ -66,11 +69,35 @@ def population_stats(
         list(flags.values()),
         cols,
     )
+    cells = long.groupBy("variable", *flags.values()).agg(
+        F.count("*").alias("rows"),
+        F.count("value").alias("n"),
+        F.avg("value").alias("m"),
+        F.var_pop("value").alias("v"),
+        F.min("value").alias("low"),
+        F.max("value").alias("high"),
+    )
+    means, moments = Window.partitionBy("variable"), []
+    for p, flag in flags.items():
+        inside = F.col(flag) & (F.col("n") > 0)
+        total = F.sum(F.when(inside, F.col("n") * F.col("m"))).over(means)
+        moments.append((total / F.sum(F.when(inside, F.col("n"))).over(means)).alias(f"mean{flag}"))
+    cells = cells.select("*", *moments)
     aggregates = []
     for p, flag in flags.items():
-        mean, sd = mean_and_sd(F.col("value"), F.col(flag), na_policy)
-        aggregates += [mean.alias(f"m_{p}"), sd.alias(f"sd_{p}")]
-    return long.groupBy("variable").agg(*aggregates)
+        inside, mean = F.col(flag) & (F.col("n") > 0), F.col(f"mean{flag}")
+        n = F.sum(F.when(inside, F.col("n")))
+        squares = F.sum(F.when(inside, F.col("n") * (F.col("v") + (F.col("m") - mean) * (F.col("m") - mean))))
+        constant = F.min(F.when(inside, F.col("low"))) == F.max(F.when(inside, F.col("high")))
+        known = F.lit(True)
+        if na_policy == "propagate":
+            known = F.sum(F.when(F.col(flag), F.col("rows") - F.col("n"))) == 0
+        sd = F.when(constant, F.lit(0.0)).otherwise(F.sqrt(F.try_divide(squares, n - 1)))
+        aggregates += [
+            F.when(known, F.max(F.when(inside, mean))).alias(f"m_{p}"),
+            F.when(known & (n > 1), sd).alias(f"sd_{p}"),
+        ]
+    return cells.groupBy("variable").agg(*aggregates)
 
 
 def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ is a narrow scan: no shuffle, no join.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -20,6 +21,14 @@ from tabscore.operators.reshape import to_long
 Stat = tuple[float | None, float | None]
 
 
+def first_match(conditions: Iterable[str], values: list[Column]) -> Column:
+    """The value beside the first SQL condition that holds, else NULL."""
+    out = F
+    for condition, value in zip(conditions, values, strict=True):
+        out = out.when(F.expr(condition), value)
+    return out
+
+
 @dataclass(frozen=True)
 class ScalerModel:
     cols: tuple[str, ...]
@@ -71,16 +80,13 @@ class SplitScalerModel:
     stats: dict[str, dict[str, dict[str, Stat]]]  # kind -> split -> column -> (mean, sd)
 
     def _by_split(self, kind: str, col: str, value: Column) -> Column:
-        stats = {condition: self.stats[kind][s][col] for s, condition in self.splits.items()}
+        stats = [self.stats[kind][s][col] for s in self.splits]
+        conditions = list(self.splits.values())
         if len(stats) == 1:
-            [(condition, stat)] = stats.items()
-            return F.when(F.expr(condition), z(value, *stat))
+            return F.when(F.expr(conditions[0]), z(value, *stats[0]))
 
         def pick(i: int) -> Column:
-            out = F
-            for condition, stat in stats.items():
-                out = out.when(F.expr(condition), F.lit(stat[i]).cast("double"))
-            return out
+            return first_match(conditions, [F.lit(stat[i]).cast("double") for stat in stats])
 
         return z(value, pick(0), pick(1))
 
@@ -105,7 +111,8 @@ class SplitScalerModel:
 class SplitScaler:
     """Scale every split by its own statistics, with squares and anchor products.
 
-    ``splits`` maps a name to a SQL condition; a row in no split gets NULLs.
+    ``splits`` maps a name to a SQL condition. A row belongs to the first one
+    that holds; a row in no split gets NULLs.
     """
 
     cols: tuple[str, ...]
@@ -115,15 +122,13 @@ class SplitScaler:
     na_policy: str = "propagate"
 
     def fit(self, df: DataFrame) -> SplitScalerModel:
-        flags = {s: f"__in_{i}" for i, s in enumerate(self.splits)}
+        split = first_match(self.splits.values(), [F.lit(i) for i in range(len(self.splits))])
         anchor = F.col(self.anchor).cast("double") if self.anchor else F.lit(None).cast("double")
         long = to_long(
             df.filter(any_of(self.splits.values())).select(
-                *[F.col(c).cast("double") for c in self.cols],
-                anchor.alias("__anchor"),
-                *[F.coalesce(F.expr(self.splits[s]), F.lit(False)).alias(f) for s, f in flags.items()],
+                *[F.col(c).cast("double") for c in self.cols], anchor.alias("__anchor"), split.alias("__split")
             ),
-            ["__anchor", *flags.values()],
+            ["__anchor", "__split"],
             list(self.cols),
         )
         kinds = {"value": F.col("value")}
@@ -133,16 +138,18 @@ class SplitScaler:
             kinds["product"] = product("value", "__anchor")
         aggregates = []
         for kind, x in kinds.items():
-            for flag in flags.values():
-                mean, sd = mean_and_sd(x, F.col(flag), self.na_policy)
-                aggregates += [mean.alias(f"m_{kind}{flag}"), sd.alias(f"sd_{kind}{flag}")]
-        found = {r["variable"]: r for r in long.groupBy("variable").agg(*aggregates).collect()}  # row per column
+            mean, sd = mean_and_sd(x, self.na_policy)
+            aggregates += [mean.alias(f"m_{kind}"), sd.alias(f"sd_{kind}")]
+        # one row per column and split
+        rows = long.groupBy("variable", "__split").agg(*aggregates).collect()
+        found = {(r["variable"], r["__split"]): r for r in rows}
 
-        def stat(kind: str, flag: str, c: str) -> Stat:
-            return (found[c][f"m_{kind}{flag}"], found[c][f"sd_{kind}{flag}"]) if c in found else (None, None)
+        def stat(kind: str, i: int, c: str) -> Stat:
+            r = found.get((c, i))
+            return (None, None) if r is None else (r[f"m_{kind}"], r[f"sd_{kind}"])
 
         stats = {
-            kind: {s: {c: stat(kind, flag, c) for c in self.cols} for s, flag in flags.items()} for kind in kinds
+            kind: {s: {c: stat(kind, i, c) for c in self.cols} for i, s in enumerate(self.splits)} for kind in kinds
         }
         return SplitScalerModel(tuple(self.cols), dict(self.splits), self.squares, self.anchor, stats)
 

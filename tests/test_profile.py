@@ -3,6 +3,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import tabscore as ts
 from tabscore.operators.profile import PROBS
@@ -49,6 +50,26 @@ def test_population_stats(spark, df, frame):
     assert out["b"].m_all == pytest.approx(frame.b.mean())
 
 
+def test_overlapping_populations_merge_their_cells(spark, df, frame):
+    populations = {"all": "true", "low": "b < 3", "odd": "b % 2 = 1", "none": "b > 90", "one": "a = (b - b) + 99"}
+    for policy in ("skip", "propagate"):
+        out = {r.variable: r for r in ts.population_stats(df, ["a", "c", "k"], populations, policy).collect()}
+        for p, part in {"all": frame, "low": frame[frame.b < 3], "odd": frame[frame.b % 2 == 1]}.items():
+            for c in "ac":
+                gaps = policy == "propagate" and part[c].isna().any()
+                assert out[c][f"m_{p}"] == (None if gaps else pytest.approx(part[c].mean()))
+                assert out[c][f"sd_{p}"] == (None if gaps else pytest.approx(part[c].std()))
+            assert out["k"][f"m_{p}"] == 4.0 and out["k"][f"sd_{p}"] == 0.0
+        assert out["a"].m_none is None and out["a"].sd_none is None
+
+
+def test_constant_column_that_is_no_binary_fraction(spark):
+    df = spark.range(1000).select("id", F.lit(0.1).alias("x"), (F.lit(1e6) + F.col("id") % 2).alias("y"))
+    out = {r.variable: r for r in ts.population_stats(df, ["x", "y"], {"a": "true", "b": "id % 3 = 0"}).collect()}
+    assert out["x"].sd_a == 0 and out["x"].sd_b == 0
+    assert out["y"].sd_a == pytest.approx(0.5002501876563868, rel=1e-9)
+
+
 def test_corr_is_pairwise_complete(df, frame):
     corr = {(r.var_a, r.var_b): r["corr"] for r in ts.corr_matrix(df, list("abckd")).collect()}
     assert len(corr) == 25
