@@ -47,10 +47,10 @@ def to_binary(col: Column | str, width: int) -> Column:
 
 def bit_columns(df: DataFrame, col: Column | str, width: int, prefix: str = "c_") -> DataFrame:
     """Add ``prefix1..prefix<width>``, the most significant bit first."""
-    n = fits_bits(col, width)
-    return df.select(
-        "*", *[F.getbit(n, F.lit(width - i)).cast("int").alias(f"{prefix}{i}") for i in range(1, width + 1)]
-    )
+    # two projections: the code is parsed once a row, not once a bit
+    coded = df.withColumn("__n", _c(col)).withColumn("__n", fits_bits("__n", width))
+    bits = [F.getbit("__n", F.lit(width - i)).cast("int").alias(f"{prefix}{i}") for i in range(1, width + 1)]
+    return coded.select(*df.columns, *bits)
 
 
 def z(col: Column | str, mean: Column | float | None, sd: Column | float | None) -> Column:

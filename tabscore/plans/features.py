@@ -34,9 +34,11 @@ class BitEncoderModel:
 
     def transform(self, df: DataFrame) -> DataFrame:
         _, code = split_code(self.col)
-        if self.larger == "null":
-            code = F.when(code.between(0, 2**self.width - 1), code)
-        return bit_columns(df, code, self.width, self.prefix)
+        if self.larger == "error":
+            return bit_columns(df, code, self.width, self.prefix)
+        known = df.withColumn("__code", code)
+        fitting = F.when(F.col("__code").between(0, 2**self.width - 1), F.col("__code"))
+        return bit_columns(known, fitting, self.width, self.prefix).drop("__code")
 
 
 @dataclass(frozen=True)
@@ -53,7 +55,8 @@ class BitEncoder:
 
     def fit(self, df: DataFrame) -> BitEncoderModel:
         _, code = split_code(self.col)
-        largest = df.agg(F.max(code)).first()[0]
+        # parse every code once, not every row
+        largest = df.select(self.col).distinct().agg(F.max(code)).first()[0]
         return BitEncoderModel(self.col, max(1, int(largest or 0).bit_length()), self.prefix, self.larger)
 
 
