@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 import tabscore as ts
@@ -96,7 +94,7 @@ def corr_gaps(spark, sf_dir):
     return rounded(ts.corr_matrix(ts.order_features(spark, sf_dir, "left"), ["f1", "f4", "f8", "f13", "f14"]), "corr")
 
 
-_FULL_CORR = f"with c as ({_corr_sql('training', FEATURES).replace('round(corr', 'round(corr')})"
+_FULL_CORR = f"with c as ({_corr_sql('training', FEATURES)})"
 
 
 @query(

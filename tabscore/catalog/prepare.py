@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 import tabscore as ts
 from tabscore.catalog.registry import FLIST, query, r6, rounded, s6, standin
-from tabscore.operators.profile import mean_and_sd
 from tabscore.sources.scratch import scratch_path
 from tabscore.sources.tables import FEATURES, TRAINING_SCHEMA
 
@@ -310,9 +308,6 @@ def _keys_and_scaled(spark, sf_dir):
     return training.select("id", "validation", "target"), scaled.transform(training, keep=["id"])
 
 
-_TRAIN_STATS = _STATS
-
-
 @query(
     "join_features",
     f"""with s as (select {_STATS} from training)
