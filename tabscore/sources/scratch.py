@@ -1,27 +1,22 @@
-"""Shared scratch tables: cut a lineage by writing it once."""
+"""Intermediate tables: kept by Spark, or written to the folder all executors share."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """Folder for intermediate tables, taken from ``spark.checkpoint.dir``.
-
-    Executors must all see it, so a temporary folder is only made up for a
-    local master.
-    """
+def checkpoint_root(spark: SparkSession) -> str | None:
+    """The folder of ``spark.checkpoint.dir``, or None where none is configured."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can read")
-    root = tempfile.mkdtemp(prefix="tabscore-")
-    spark.sparkContext.setCheckpointDir(root)
-    return root
+    return root.rstrip("/") if root else None
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """Folder for files: the checkpoint folder, else the session's warehouse. Executors share both."""
+    return checkpoint_root(spark) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str = "table") -> str:
@@ -29,12 +24,30 @@ def scratch_path(spark: SparkSession, name: str = "table") -> str:
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` once to the shared scratch folder and read it back.
+    """Compute ``df`` once for several readers (a fit and a transform, the two passes of a prefix sum).
 
-    Use it where two consumers need the same rows (a fit and a transform, the
-    two passes of a prefix sum): the source is computed once, later readers
-    still prune columns, and a lost executor costs a re-read, not a re-run.
+    With a checkpoint folder the rows are written there and read back: later
+    readers prune columns, and a lost executor costs a re-read. Without one the
+    frame is persisted: the lineage stays, and ``release`` frees the storage.
     """
-    path = scratch_path(df.sparkSession, name)
+    spark = df.sparkSession
+    if checkpoint_root(spark) is None:
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    return write_table(df, scratch_path(spark, name))
+
+
+def write_table(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` to ``path`` and read it back with the same schema."""
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(df: DataFrame) -> None:
+    """Free what ``materialize`` keeps of ``df``; files in the checkpoint folder go with that folder."""
+    df.unpersist()
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete one scratch table through Spark's own file system layer."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -82,34 +82,27 @@ def test_orders_without_lines_keep_their_row(spark):
     assert gaps.filter("f1 is null").count() == 27
 
 
-def test_scratch_folder_comes_from_the_session(spark, monkeypatch):
-    root = scratch.scratch_root(spark)
-    assert root
-    set_root = spark.conf.get("spark.checkpoint.dir", None)
-    if set_root:
-        assert root == set_root.rstrip("/")
+def test_scratch_folder_is_the_checkpoint_folder_else_the_warehouse(spark, monkeypatch):
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    assert scratch.scratch_root(spark) == (scratch.checkpoint_root(spark) or warehouse)
     assert scratch.scratch_path(spark) != scratch.scratch_path(spark)
-
-
-class _Bare:
-    """A session of a cluster that names no checkpoint folder."""
-
-    class conf:
-        @staticmethod
-        def get(key, default=None):
-            return default
-
-    class sparkContext:
-        master = "yarn"
-
-        @staticmethod
-        def getCheckpointDir():
-            return None
-
-
-def test_a_cluster_without_a_shared_folder_is_an_error():
-    with pytest.raises(RuntimeError):
-        scratch.scratch_root(_Bare)
+    monkeypatch.setattr(scratch, "checkpoint_root", lambda session: "/shared/checkpoints")
+    assert scratch.scratch_path(spark, "x").startswith("/shared/checkpoints/tabscore-x-")
+
+
+def test_materialize_keeps_the_rows_with_and_without_a_folder(spark, tmp_path, monkeypatch):
+    df = spark.range(7).selectExpr("id", "id * id as sq")
+    monkeypatch.setattr(scratch, "checkpoint_root", lambda session: None)
+    kept = scratch.materialize(df)
+    assert sorted(kept.collect()) == sorted(df.collect()) and kept.is_cached
+    scratch.release(kept)
+    assert not kept.is_cached
+    monkeypatch.setattr(scratch, "checkpoint_root", lambda session: str(tmp_path))
+    written = scratch.materialize(df, "squares")
+    assert sorted(written.collect()) == sorted(df.collect())
+    assert [p.name.startswith("tabscore-squares-") for p in tmp_path.iterdir()] == [True]
+    scratch.delete_path(spark, str(next(tmp_path.iterdir())))
+    assert not list(tmp_path.iterdir())
 
 
 def test_tune_respects_the_user(spark):
