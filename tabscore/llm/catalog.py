@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabscore.llm import sharding
+from tabscore.llm import language, near_text, sharding
 from tabscore.llm.tables import documents
 from tabscore.sources.scratch import scratch_path
 
@@ -20,6 +20,19 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op5_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_text.near_duplicates(documents(spark, sf_dir), shingle=3, percent=85)
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    return found.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
+@query
+def op7_hierarchical_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language.identify(documents(spark, sf_dir), ["doc_id"])
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op9_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(documents(spark, sf_dir), scratch_path(spark, "slot-map"))
