@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabscore.llm import language, near_text, sharding
+from tabscore.llm import language, near_text, sharding, substring
 from tabscore.llm.tables import documents
 from tabscore.sources.scratch import scratch_path
 
@@ -20,6 +20,21 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op2_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.find_repeats(documents(spark, sf_dir))
+    cut = substring.cut_repeats(found).dropDuplicates(["doc_id", "text_hash"])
+    cut = cut.select("doc_id", "text_hash", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("sha"))
+    rows = found.scanned
+    same = rows.doc_id.eqNullSafe(cut.doc_id) & (rows.text_hash == cut.text_hash)
+    return rows.join(cut, same, "left").select(
+        rows.doc_id,
+        "n_words",
+        F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
+        F.coalesce("sha", "whole_sha256").alias("kept_sha256"),
+    )
+
+
 @query
 def op5_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_text.near_duplicates(documents(spark, sf_dir), shingle=3, percent=85)
