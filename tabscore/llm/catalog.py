@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabscore.llm import language, near_text, sharding, substring
+from tabscore.llm import decontaminate, language, near_text, sharding, substring
 from tabscore.llm.tables import documents
 from tabscore.sources.scratch import scratch_path
 
@@ -61,3 +61,9 @@ def op9_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"),
         "virtual_slot",
     )
+
+
+@query
+def op10_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaks = decontaminate.find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return leaks.drop("text_hash")
