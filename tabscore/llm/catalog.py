@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabscore.llm import decontaminate, language, near_text, sharding, substring
+from tabscore.llm import decontaminate, language, near_text, packing, sharding, substring
 from tabscore.llm.tables import documents
 from tabscore.sources.scratch import scratch_path
 
@@ -42,6 +42,18 @@ def op5_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
+def tokenizer_path() -> str:
+    """The public tokenizer's file, where its package is installed on each machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op6_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), tokenizer_path())
+
+
 @query
 def op7_hierarchical_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = language.identify(documents(spark, sf_dir), ["doc_id"])
