@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabscore.llm import decontaminate, language, near_text, packing, sharding, substring
+from tabscore.llm import decontaminate, language, near_text, near_vector, packing, sharding, substring
 from tabscore.llm.tables import documents
+from tabscore.llm.tokens import tokenizer_path
 from tabscore.sources.scratch import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +36,11 @@ def op2_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op4_spherical_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vector.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 @query
 def op5_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_text.near_duplicates(documents(spark, sf_dir), shingle=3, percent=85)
@@ -42,13 +48,6 @@ def op5_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
-def tokenizer_path() -> str:
-    """The public tokenizer's file, where its package is installed on each machine."""
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
 @query
 def op6_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_path())

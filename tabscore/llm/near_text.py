@@ -262,14 +262,16 @@ def _confirm(percent: int):
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id, text_hash, n_shingles, component_id`` for every row of ``docs``.
+    """``doc_id, text_hash, n_shingles, component_id, representative`` for every row of ``docs``.
 
     Rows are linked where 100 * intersection >= percent * union of their sets of
     shingles (A-Z lower-cased); component_id is the smallest doc_id reachable by
     links. Equal sets are one node, so copies cost one row each. A text that is
     null or has no word has an empty set and is its own component. Null doc_ids
     are never the smallest unless a component has no other; repeated rows stay.
-    An empty table gives no rows; other columns are not read.
+    An empty table gives no rows; other columns are not read. Of the rows of a
+    component, those with the smallest doc_id, then text_hash, are its representative
+    (more than one only where both repeat); a row with an empty set represents itself.
 
     Recall: a pair of similarity s shares a tree's node at depth d with
     probability s**d, so at the threshold 0.85 ten trees miss a pair that needs
@@ -311,10 +313,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     )
     rooted = scratch.save(rooted, "rooted")
     scratch.drop("sets", "members", "sketches", "reps")
-    least = rooted.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    first_row = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("r")
+    least = rooted.filter("root is not null").groupBy("root").agg(first_row)
+    alone = F.col("root").isNull()
+    same = F.col("doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("text_hash") == F.col("r.text_hash"))
     return rooted.join(least, "root", "left").select(
         "doc_id",
         "text_hash",
         "n_shingles",
-        F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("r.doc_id")).alias("component_id"),
+        (alone | same).alias("representative"),
     )

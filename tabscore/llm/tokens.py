@@ -23,6 +23,13 @@ KEPT_WORDS = 1_000_000  # words whose ids a task keeps; beyond it starts anew
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-Þß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
+def tokenizer_path() -> str:
+    """The public word-level BPE file, where its package is installed on each machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 class WordIds:
     """Ids of words, filled as words come."""
 
