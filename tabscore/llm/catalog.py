@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabscore.llm import decontaminate, language, near_text, near_vector, packing, sharding, substring
+from tabscore.llm import decontaminate, language, lattice, near_text, near_vector, packing, sharding, substring
 from tabscore.llm.tables import documents
 from tabscore.llm.tokens import tokenizer_path
 from tabscore.sources.scratch import scratch_path
@@ -21,6 +21,11 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.score_documents(documents(spark, sf_dir), lattice.vocabulary_path())
+
+
 @query
 def op2_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring.find_repeats(documents(spark, sf_dir))
