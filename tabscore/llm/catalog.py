@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabscore.llm import decontaminate, language, lattice, near_text, near_vector, packing, sharding, substring
+from tabscore.llm import decontaminate, language, lattice, licenses, near_text, near_vector, packing, sharding, substring, url_lists
 from tabscore.llm.tables import documents
 from tabscore.llm.tokens import tokenizer_path
 from tabscore.sources.scratch import scratch_path
@@ -41,6 +41,11 @@ def op2_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op3_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(documents(spark, sf_dir))
+
+
 @query
 def op4_spherical_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vector.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
@@ -64,6 +69,61 @@ def op7_hierarchical_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def _number(text: Column, begin: int) -> Column:
+    """A number of 32 bits from the MD5 of a text."""
+    return F.conv(F.substring(F.md5(text), begin, 8), 16, 10).cast("bigint")
+
+
+# Pages have no fetch time and no list comes with them: both follow from the URLs, by the same rule in SQL.
+ENTRIES = 6
+
+
+def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    seed = F.concat(F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("|"), F.coalesce("url", F.lit("")))
+    day = F.pmod(_number(seed, 1), F.lit(730)).cast("int")
+    return pages.select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), day).alias("fetched_on"))
+
+
+def list_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hosts = spark.read.parquet(f"{sf_dir}/pages.parquet").select(url_lists.host_of().alias("host")).distinct()
+    patterns = hosts.filter("host is not null").select(F.explode(url_lists.host_patterns()).alias("pattern")).distinct()
+    dated = patterns.crossJoin(spark.range(ENTRIES).select(F.col("id").cast("int").alias("nth")))
+    seed = F.concat("pattern", F.lit("|"), F.col("nth").cast("string"))
+    action = F.get(F.array(F.lit("block"), F.lit("allow"), F.lit("drop")), F.pmod(_number(seed, 9), F.lit(3)).cast("int"))
+    day = F.pmod(_number(seed, 1), F.lit(730)).cast("int")
+    return dated.select("pattern", F.date_add(F.lit("2024-01-01").cast("date"), day).alias("at"), "nth", action.alias("action"))
+
+
+@query
+def op8_temporal_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_lists.judge(captures(spark, sf_dir), list_entries(spark, sf_dir), at="fetched_on")
+
+
+ORACLES["op8_temporal_list"] = f"""
+with captures as (
+  select page_id, url, nullif(lower(regexp_extract(url, '{url_lists.HOST}', 1)), '') as host,
+    date '2024-01-01' + cast(cast('0x' || substr(md5(coalesce(cast(page_id as varchar), '') || '|' || coalesce(url, '')), 1, 8) as bigint) % 730 as integer) as fetched_on
+  from pages),
+hosts as (select distinct host, string_split(host, '.') as labels from captures where host is not null),
+patterns as (select distinct host, unnest(list_transform(range(1, greatest(len(labels) - 1, 1) + 1),
+    lambda i: array_to_string(labels[i:], '.'))) as pattern from hosts),
+entries as (
+  select pattern, nth, date '2024-01-01' + cast(cast('0x' || substr(md5(pattern || '|' || nth), 1, 8) as bigint) % 730 as integer) as since,
+    ['block', 'allow', 'drop'][cast('0x' || substr(md5(pattern || '|' || nth), 9, 8) as bigint) % 3 + 1] as action
+  from (select distinct pattern from patterns), range({ENTRIES}) r(nth)),
+held as (select *, lead(since) over (partition by pattern order by since, nth) as until from entries),
+active as (
+  select c.host, c.fetched_on, h.pattern, h.since, h.until, h.action = 'block' as blocked,
+    row_number() over (partition by c.host, c.fetched_on order by length(h.pattern) desc) as place
+  from (select distinct host, fetched_on from captures) c join patterns p on p.host = c.host
+  join held h on h.pattern = p.pattern and h.since <= c.fetched_on and (h.until is null or h.until > c.fetched_on)
+  where h.action <> 'drop')
+select c.page_id, c.url, c.fetched_on, c.host, coalesce(a.blocked, false) as blocked, a.pattern, a.since, a.until
+from captures c left join active a on a.host = c.host and a.fetched_on = c.fetched_on and a.place = 1
+"""
+
+
 @query
 def op9_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(documents(spark, sf_dir), scratch_path(spark, "slot-map"))
