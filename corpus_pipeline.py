@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabscore.llm import decontaminate, language, near_text, packing, substring
-from tabscore.llm.tables import Scratch, documents
+from tabscore.llm.tables import Scratch, documents, texts_of
 from tabscore.llm.tokens import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -38,9 +38,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = found.filter("representative").groupBy("doc_id", "text_hash").agg(F.count("*").alias("copies"))
     kept = Scratch(spark, "near-dedup").save(kept, "kept")
     rows, once, more = _keyed(docs), kept.filter("copies = 1"), kept.filter("copies > 1")
-    out = rows.join(once, _same(rows, once), "left_semi")
+    out = rows.join(texts_of(once), _same(rows, once), "left_semi")
     if not more.isEmpty():
-        out = out.union(rows.join(more, _same(rows, more), "left_semi").dropDuplicates(["doc_id", "text_hash"]))
+        out = out.union(rows.join(texts_of(more), _same(rows, more), "left_semi").dropDuplicates(["doc_id", "text_hash"]))
     return out.select(*COLUMNS)
 
 
@@ -52,7 +52,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     cut = substring.cut_repeats(substring.find_repeats(docs)).dropDuplicates(["doc_id", "text_hash"])
     rows = _keyed(docs)
-    joined = rows.join(cut, _same(rows, cut), "left")
+    joined = rows.join(texts_of(cut), _same(rows, cut), "left")
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(rows.text)
     chars = F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(rows.n_chars)
     out = joined.filter((F.coalesce("n_removed", F.lit(0)) == 0) | (F.col("kept") != ""))
@@ -64,7 +64,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     leaks = decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     leaks = leaks.select("doc_id", "text_hash").distinct()
     rows = _keyed(docs)
-    return rows.join(leaks, _same(rows, leaks), "left_anti").select(*COLUMNS)
+    return rows.join(texts_of(leaks), _same(rows, leaks), "left_anti").select(*COLUMNS)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

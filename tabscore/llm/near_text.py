@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabscore.llm.tables import Scratch, components, small
+from tabscore.llm.tables import Scratch, components, small, texts_of
 from tabscore.llm.words import mix, sequence_hash, slices, words_of
 
 TOKENS = 128  # minwise tokens of a document
@@ -291,7 +291,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     one = rows.join(wanted, "key").groupBy("key").agg(F.min(F.struct("doc_id", "text_hash")).alias("r"))
     one = scratch.save(one.select("r.doc_id", "r.text_hash").distinct(), "wanted")
     match = text.doc_id.eqNullSafe(one.doc_id) & (text.text_hash == one.text_hash)
-    members = text.join(one, match, "left_semi").mapInArrow(_full_sets(shingle), "key binary, members binary")
+    members = text.join(texts_of(one), match, "left_semi").mapInArrow(_full_sets(shingle), "key binary, members binary")
     members = scratch.save(members.dropDuplicates(["key"]), "members")
 
     def confirm(pairs: DataFrame) -> DataFrame:

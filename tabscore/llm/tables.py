@@ -41,6 +41,15 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def texts_of(keys: DataFrame) -> DataFrame:
+    """Mark keys for a join with the documents' texts by sorting both sides.
+
+    The keys grow with the documents, so they are never broadcast: a job moves the
+    texts once whatever its size, and its cost stays in proportion.
+    """
+    return keys.hint("merge")
+
+
 def crc(column: str = "doc_id") -> Column:
     """CRC-32 of a column as text; null counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))

@@ -1,0 +1,109 @@
+import random
+import zlib
+from itertools import product
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from tabscore.llm import packing
+from tabscore.llm.tables import Scratch
+from tabscore.llm.tokens import tokenizer_path, word_ids
+from tests.llm.fixtures import corpus, documents
+
+WHOLE = Tokenizer.from_file(tokenizer_path())
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(st.characters(codec="utf-8"), max_size=25), st.text(st.sampled_from("abÀéß'sT.,!?<|>endoftx w/1́İΣ　\t\n\x1c"), max_size=25)), max_size=4))
+def test_ids_are_the_tokenizers(texts):
+    ids, edges = word_ids(tokenizer_path()).encode(pa.array(texts, pa.string()))
+    for t, a, b in zip(texts, edges[:-1], edges[1:], strict=True):
+        assert ids[a:b].tolist() == WHOLE.encode(t or "", add_special_tokens=False).ids
+
+
+def test_ids_of_whole_documents_when_the_kept_words_run_out(monkeypatch):
+    import pyarrow.parquet as pq
+
+    from tabscore.llm import tokens
+
+    monkeypatch.setattr(tokens, "KEPT_WORDS", 500)
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist()[:60]
+    encoder = tokens.WordIds(tokenizer_path())
+    for k in range(0, 60, 7):
+        ids, edges = encoder.encode(pa.array(texts[k : k + 7]))
+        for t, a, b in zip(texts[k : k + 7], edges[:-1], edges[1:], strict=True):
+            assert ids[a:b].tolist() == WHOLE.encode(t, add_special_tokens=False).ids
+
+
+def fewest(lengths, capacity):
+    """The least number of sequences, by trying all."""
+    best = len(lengths)
+    for n in range(1, len(lengths)):
+        for at in product(range(n), repeat=len(lengths)):
+            if max(np.bincount(at, lengths)) <= capacity:
+                return n
+    return best
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_bounds_hold_and_packings_fit(seed):
+    rng = random.Random(seed)
+    lengths = np.array([rng.randrange(1, 21) for _ in range(rng.randrange(1, 7))])
+    sequence, offset, rooms = packing.best_fit(lengths, 20)
+    for s in range(len(rooms)):
+        own = sorted(zip(offset[sequence == s], lengths[sequence == s], strict=True))
+        assert [o for o, _ in own] == np.cumsum([0, *[n for _, n in own][:-1]]).tolist()
+        assert sum(n for _, n in own) + rooms[s] == 20
+    least = fewest(lengths.tolist(), 20)
+    assert packing.lower_bound(lengths, 20) <= least <= len(rooms)
+
+
+def test_bounds_see_more_than_the_sum():
+    assert packing.lower_bound(np.array([11] * 6), 20) == 6
+    assert packing.lower_bound(np.array([7] * 9), 20) == 5
+    assert packing.lower_bound(np.array([], np.int64), 20) == 0
+
+
+def check(rows, out, capacity):
+    per_doc, sequences = {}, {}
+    for r in out:
+        per_doc.setdefault(r.doc_id, []).append(r)
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for s in sequences.values():
+        s.sort()
+        assert [o for o, _ in s] == np.cumsum([0, *[n for _, n in s][:-1]]).tolist()
+        assert sum(n for _, n in s) <= capacity
+    want = []
+    for doc_id, text, *_ in rows:
+        ids = [*WHOLE.encode(text or "", add_special_tokens=False).ids, 1]
+        for piece, start in enumerate(range(0, len(ids), capacity)):
+            part = np.array(ids[start : start + capacity], "<u4")
+            want.append((str(doc_id), piece, start, len(part), zlib.crc32(part.tobytes())))
+    assert sorted((str(r.doc_id), r.piece, r.start, r.length, r.ids_crc32) for r in out) == sorted(want)
+    return len(sequences)
+
+
+@pytest.mark.parametrize("capacity, part", [(4096, 20_000), (100, 15)])
+def test_every_piece_has_a_place(spark, monkeypatch, capacity, part):
+    monkeypatch.setattr(packing, "PART", part)
+    out = packing.pack_documents(documents(spark), tokenizer_path(), capacity).collect()
+    n = check(corpus(), out, capacity)
+    assert n <= 1.25 * packing.lower_bound(np.array([r.length for r in out]), capacity)
+
+
+def test_exchange_saves_sequences(spark, monkeypatch):
+    """Halves dealt to many small partitions leave gaps that an exchange closes."""
+    monkeypatch.setattr(packing, "PART", 3)
+    items = spark.range(60).selectExpr("id as item", "50L as length").repartition(2)
+    alone = packing.pack(items, Scratch(spark, "t"), 100, rounds=0).select("round", "part", "sequence").distinct().count()
+    packed = packing.pack(items, Scratch(spark, "t"), 100, rounds=6)
+    assert packed.count() == packed.select("item").distinct().count() == 60
+    assert 30 <= packed.select("round", "part", "sequence").distinct().count() < alone
+
+
+def test_an_empty_table(spark):
+    assert packing.pack_documents(documents(spark, []), tokenizer_path()).count() == 0
