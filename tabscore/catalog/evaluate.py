@@ -421,7 +421,7 @@ def blend_flipped(spark, sf_dir):
 
 @query(
     "public_private_auc",
-    f"""with t as (select target, s2, case when (id * 7919) % 100 < 33 then 'public' else 'private' end as part
+    f"""with t as (select target, s2, case when cast('0x' || substr(md5(cast(id as varchar)), 1, 8) as bigint) % 100 < 33 then 'public' else 'private' end as part
       from standin where tournament),
     r as (select part, target as y, rank() over (partition by part order by s2)
       + (count(*) over (partition by part, s2) - 1) / 2.0 as rk from t)

@@ -21,10 +21,14 @@ SWAPPED_TOGETHER = 16  # columns whose permuted scores share one scan
 
 
 def first_fraction(df: DataFrame, key: str, fraction: float) -> tuple[DataFrame, DataFrame]:
-    """(the first ``fraction`` of the rows in ``key`` order, the rest); ``key`` is unique."""
+    """(the first ``fraction`` of the rows in ``key`` order, the rest); ``key`` is unique and never NULL."""
+    if not df.filter(F.col(key).isNull()).isEmpty():
+        raise ValueError(f"{key} is NULL in some rows")
     ranked = add_row_id(df.select(key), key, "rank")
     last = F.floor(F.lit(fraction) * F.lit(df.count())).cast("long")
     cut = ranked.filter(F.col("rank") <= last).agg(F.max(key)).first()[0]
+    if cut is None:  # the fraction is less than one row
+        return df.limit(0), df
     return df.filter(F.col(key) <= F.lit(cut)), df.filter(F.col(key) > F.lit(cut))
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import random
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
@@ -22,14 +21,9 @@ from tabscore.sources.scratch import materialize
 SCORED_TOGETHER = 16  # models whose validation scores share one scan and one AUC job
 
 
-def expand_grid(grid: dict[str, Iterable], max_models: int | None = None, seed: int = 2016) -> list[dict]:
-    """All combinations in order, or a seeded sample of ``max_models`` of them."""
-    names = list(grid)
-    settings = [dict(zip(names, values)) for values in product(*grid.values())]
-    if max_models is not None and max_models < len(settings):
-        picked = sorted(random.Random(seed).sample(range(len(settings)), max_models))
-        settings = [settings[i] for i in picked]
-    return settings
+def expand_grid(grid: dict[str, Iterable]) -> list[dict]:
+    """All combinations in order."""
+    return [dict(zip(grid, values)) for values in product(*grid.values())]
 
 
 def fit_all(make: Callable[..., PipelineModel], settings: list[dict], train: DataFrame, parallelism: int = 2) -> list:
@@ -60,8 +54,6 @@ def grid_search(
     label: str = "target",
     key: str = "id",
     metric: Callable[[DataFrame, str, str], DataFrame] | None = None,
-    max_models: int | None = None,
-    seed: int = 2016,
     parallelism: int = 2,
     in_sample: bool = False,
 ) -> DataFrame:
@@ -72,15 +64,17 @@ def grid_search(
     of all models, and the metric returns ``model_id`` and one value column.
     ``in_sample`` marks settings fitted on the rows that judge them.
     """
-    settings = expand_grid(grid, max_models, seed)
-    models = fit_all(make, settings, train, parallelism)
+    settings = expand_grid(grid)
     measure = metric or (lambda scores, y, p: auc(scores, y, p, ["model_id"]))
     parts = []
-    for start in range(0, len(models), SCORED_TOGETHER):
-        batch = {f"model_{i}": m for i, m in enumerate(models[start : start + SCORED_TOGETHER], start + 1)}
+    for start in range(0, len(settings), SCORED_TOGETHER):
+        # the driver holds the models of one batch, until their metrics are computed
+        models = fit_all(make, settings[start : start + SCORED_TOGETHER], train, parallelism)
+        batch = {f"model_{i}": m for i, m in enumerate(models, start + 1)}
         scores = score_many(batch, valid, key, [label])
-        parts.append(measure(to_long(scores, [key, label], list(batch), "model_id", "p1"), label, "p1"))
-    measured = materialize(reduce(DataFrame.unionByName, parts), "grid")
+        part = measure(to_long(scores, [key, label], list(batch), "model_id", "p1"), label, "p1")
+        parts.append(train.sparkSession.createDataFrame(part.collect(), part.schema))  # one row for each model
+    measured = reduce(DataFrame.unionByName, parts)
     return (
         _settings_frame(train, settings)
         .join(measured, "model_id")
@@ -97,7 +91,6 @@ def gbt_grid(
     etas: list[float],
     label: str = "target",
     seed: int = 2016,
-    max_models: int | None = None,
     parallelism: int = 2,
 ) -> DataFrame:
     """``model_id, ntrees, max_depth, learn_rate, auc, in_sample`` for boosted trees.
@@ -105,7 +98,7 @@ def gbt_grid(
     The first k trees of a longer fit are the k-round fit, so one fit per
     (depth, rate) serves every number of rounds.
     """
-    settings = expand_grid({"ntrees": rounds, "max_depth": depths, "learn_rate": etas}, max_models, seed)
+    settings = expand_grid({"ntrees": rounds, "max_depth": depths, "learn_rate": etas})
     longest: dict[tuple[int, float], set[int]] = {}
     for s in settings:
         longest.setdefault((s["max_depth"], s["learn_rate"]), set()).add(s["ntrees"])

@@ -18,7 +18,6 @@ def mlp(
     max_iter: int = 100,
     seed: int = 2016,
     label: str = "target",
-    step: float = 0.03,
     initial_weights=None,
 ) -> PipelineModel:
     """Net with sigmoid hidden layers and a two-class softmax output.
@@ -28,7 +27,7 @@ def mlp(
     """
     assembler = VectorAssembler(inputCols=list(cols), outputCol="features")
     learner = MultilayerPerceptronClassifier(
-        labelCol=label, layers=[len(cols), *hidden, 2], maxIter=max_iter, seed=seed, stepSize=step
+        labelCol=label, layers=[len(cols), *hidden, 2], maxIter=max_iter, seed=seed
     )
     if initial_weights is not None:
         learner = learner.setInitialWeights(initial_weights)
@@ -51,11 +50,14 @@ def mlp_early_stop(
 ) -> tuple[PipelineModel, list[float]]:
     """Train in chunks of iterations until the validation AUC stalls.
 
-    Returns the chunk with the best validation AUC and the AUC history.
+    Returns the chunk with the best validation AUC and the AUC history. The last
+    chunk is cut so that no more than ``max_iter`` iterations run. ``valid`` must hold both classes.
     """
+    if valid.select(label).distinct().count() < 2:
+        raise ValueError("the validation rows hold one class only, so they have no AUC")
     weights, history, best = None, [], None
-    for _ in range(0, max_iter, chunk):
-        model = mlp(train, cols, hidden, chunk, seed, label, initial_weights=weights)
+    for done in range(0, max_iter, chunk):
+        model = mlp(train, cols, hidden, min(chunk, max_iter - done), seed, label, initial_weights=weights)
         weights = model.stages[-1].weights
         area = auc(score(model, valid, key, "p1", [label]), label, "p1").first()["auc"]
         history.append(area)

@@ -4,25 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabscore.operators.ordered import add_row_id
 
-LOOKUP_ROWS = 10_000  # largest lookup table that is sent to every task
-
-
-def small_side(df: DataFrame, max_rows: int = LOOKUP_ROWS) -> DataFrame:
-    """``df`` as a broadcast lookup if it really is small, else unchanged.
-
-    At most ``max_rows + 1`` rows are read to find out; a larger table goes
-    through an ordinary shuffle join, where skewed keys are split at run time.
-    """
-    rows = df.take(max_rows + 1)
-    if len(rows) > max_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
-
 
 def join_features(keys: DataFrame, feats: DataFrame, key: str = "id") -> DataFrame:
     return keys.join(feats, key)
@@ -34,14 +20,24 @@ def join_blocks(dfs: list[DataFrame], key: str = "id") -> DataFrame:
 
 
 def lookup_stats(long: DataFrame, stats: DataFrame, on: str = "variable") -> DataFrame:
-    """Left join of a long table to its per-variable statistics."""
-    return long.join(small_side(stats), on, "left")
+    """Left join of a long table to its per-variable statistics, which have one row for each column."""
+    return long.join(F.broadcast(stats), on, "left")
 
 
 def join_anchor(long: DataFrame, anchor: str, key: str = "id") -> DataFrame:
-    """Each non-anchor row of a long table beside the anchor value of its ``key``."""
-    anchors = long.filter(F.col("variable") == anchor).select(key, F.col("value").alias("anchor_value"))
-    return long.filter(F.col("variable") != anchor).join(anchors, key)
+    """Each non-anchor row of a long table beside the anchor value of its ``key``.
+
+    A key has one row for each column, so the rows of a key meet in one pass. A
+    key without an anchor row has none in the result.
+    """
+    own = Window.partitionBy(key)
+    is_anchor = F.col("variable") == anchor
+    met = long.select(
+        "*",
+        F.max(F.when(is_anchor, F.col("value"))).over(own).alias("anchor_value"),
+        F.max(is_anchor).over(own).alias("__has_anchor"),
+    )
+    return met.filter((F.col("variable") != anchor) & F.col("__has_anchor") & F.col(key).isNotNull()).drop("__has_anchor")
 
 
 def join_predictions(a: DataFrame, b: DataFrame, key: str = "t_id") -> DataFrame:
@@ -49,15 +45,24 @@ def join_predictions(a: DataFrame, b: DataFrame, key: str = "t_id") -> DataFrame
 
 
 def bind_by_key(dfs: list[DataFrame], key: str) -> DataFrame:
-    """Put tables side by side by ``key``; a key missing on one side raises."""
+    """Put tables side by side by ``key``; a key that is NULL, repeated, or missing on one side raises.
+
+    The check is a filter on the joined rows, so it holds whatever columns are read.
+    """
+
+    def counted(df: DataFrame, n: str) -> DataFrame:
+        return df.withColumn(n, F.count("*").over(Window.partitionBy(key)))
 
     def bind(a: DataFrame, b: DataFrame) -> DataFrame:
-        left, right = a.withColumn("__left", F.lit(True)), b.withColumn("__right", F.lit(True))
-        both = F.col("__left").isNotNull() & F.col("__right").isNotNull()
-        message = F.concat(F.lit(f"{key} without a partner: "), F.col(key).cast("string"))
-        checked = F.when(both, F.col(key)).otherwise(F.raise_error(message)).alias(key)
+        both = counted(a, "__left").join(counted(b, "__right"), key, "full")
+        text = F.coalesce(F.col(key).cast("string"), F.lit("NULL"))
+        once = F.coalesce((F.col("__left") == 1) & (F.col("__right") == 1), F.lit(False))
+        repeated = (F.col("__left") > 1) | (F.col("__right") > 1)
+        message = F.when(repeated, F.concat(F.lit(f"{key} is repeated: "), text)).otherwise(
+            F.concat(F.lit(f"{key} without a partner: "), text)
+        )
         rest = [F.col(c) for c in [*a.columns, *b.columns] if c != key]
-        return left.join(right, key, "full").select(checked, *rest)
+        return both.filter(F.when(once, F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))).select(key, *rest)
 
     return reduce(bind, dfs)
 

@@ -105,9 +105,14 @@ def accuracy(df: DataFrame, label: str, pred: str) -> DataFrame:
 
 
 def performance(df: DataFrame, label: str, p: str, cut: float = 0.5, by: list[str] | tuple = ()) -> DataFrame:
-    """One row per group: n, AUC, log loss, MSE, accuracy and confusion counts at ``cut``."""
+    """One row per group: n, AUC, log loss, MSE, accuracy and confusion counts at ``cut``.
+
+    Every row must have a score; one that is NULL or NaN raises.
+    """
     by = list(by)
     y, prob = _binary(label), F.col(p).cast("double")
+    lacking = F.raise_error(F.lit(f"{p} is NULL or NaN")).cast("boolean")
+    df = df.filter(F.when(prob.isNotNull() & ~F.isnan(prob), F.lit(True)).otherwise(lacking))
     safe = F.least(F.greatest(prob, F.lit(1e-15)), F.lit(1 - 1e-15))
     yes, hit = prob > cut, y == 1.0
     rows = df.select(

@@ -146,7 +146,7 @@ def corr_mean(corr: DataFrame) -> DataFrame:
 
 def _value_counts(df: DataFrame, cols: list[str]) -> DataFrame:
     long = to_long(df.select(*[F.col(c).cast("double") for c in cols]), [], cols)
-    return long.filter("value is not null").groupBy("variable", "value").agg(F.count("*").alias("n"))
+    return long.filter("value is not null and not isnan(value)").groupBy("variable", "value").agg(F.count("*").alias("n"))
 
 
 def _order_statistics(df: DataFrame, cols: list[str], probs: tuple[float, ...]) -> DataFrame:
@@ -183,14 +183,14 @@ def quantile_profile(
     """``variable, prob, quantile`` with linear interpolation between ranks.
 
     Exact by default; ``accuracy`` switches to the sketch of
-    ``percentile_approx``, one pass without a global order. NULLs are left out.
+    ``percentile_approx``, one pass without a global order. NULL and NaN are left out.
     """
     if accuracy is None:
         stats = _order_statistics(df, cols, probs)
     else:
         long = to_long(df.select(*[F.col(c).cast("double") for c in cols]), [], cols)
         sketch = F.percentile_approx("value", F.array(*[F.lit(float(p)) for p in probs]), accuracy)
-        stats = long.groupBy("variable").agg(sketch.alias("qs"))
+        stats = long.filter("not isnan(value)").groupBy("variable").agg(sketch.alias("qs"))
     return stats.select("variable", F.posexplode("qs").alias("i", "quantile")).select(
         "variable", F.get(F.array(*[F.lit(float(p)) for p in probs]), F.col("i")).alias("prob"), "quantile"
     )
@@ -225,16 +225,17 @@ def bin_number(x: Column, width: Column | float) -> Column:
 
 
 def histogram(df: DataFrame, col: str, width: float) -> DataFrame:
-    """``bin, center, n`` for the bins that hold rows."""
-    counts = df.filter(F.col(col).isNotNull()).groupBy(bin_number(F.col(col), F.lit(width)).alias("bin"))
+    """``bin, center, n`` for the bins that hold rows; NULL and NaN are in none."""
+    x = F.col(col).cast("double")
+    counts = df.filter(x.isNotNull() & ~F.isnan(x)).groupBy(bin_number(F.col(col), F.lit(width)).alias("bin"))
     return counts.agg(F.count("*").alias("n")).select(
         "bin", (F.col("bin") * F.lit(float(width))).alias("center"), "n"
     )
 
 
 def histogram_bins(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
-    """Histogram with ``bins`` equal-width bins over the range of ``col``."""
-    x = F.col(col).cast("double")
+    """Histogram with ``bins`` equal-width bins over the range of ``col``; NULL and NaN are in none."""
+    x = F.nanvl(F.col(col).cast("double"), F.lit(None).cast("double"))
     width = df.agg(F.nullif((F.max(x) - F.min(x)) / F.lit(float(bins - 1)), F.lit(0.0)).alias("w")).scalar()
     known = df.filter(x.isNotNull())
     counts = known.groupBy(F.coalesce(bin_number(x, width), F.lit(0)).alias("bin")).agg(F.count("*").alias("n"))
@@ -242,10 +243,10 @@ def histogram_bins(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
 
 
 def histogram_by(df: DataFrame, cols: list[str], width: float) -> DataFrame:
-    """``variable, bin, n``: one histogram per column on common bins."""
+    """``variable, bin, n``: one histogram per column on common bins; NULL and NaN are in none."""
     long = to_long(df.select(*[F.col(c).cast("double") for c in cols]), [], cols)
     return (
-        long.filter("value is not null")
+        long.filter("value is not null and not isnan(value)")
         .groupBy("variable", bin_number(F.col("value"), F.lit(width)).alias("bin"))
         .agg(F.count("*").alias("n"))
     )

@@ -17,6 +17,7 @@ from tabscore.functions.columns import product, square, z
 from tabscore.operators.joins import join_anchor, lookup_stats
 from tabscore.operators.profile import any_of, mean_and_sd, population_stats, variable_stats
 from tabscore.operators.reshape import to_long
+from tabscore.sources.scratch import materialize
 
 Stat = tuple[float | None, float | None]
 
@@ -169,4 +170,4 @@ def zscore_product(long: DataFrame, anchor: str, by: str = "variable", key: str
     products = join_anchor(long, anchor, key).select(
         key, by, product("value", "anchor_value").alias("value")
     )
-    return zscore(products, by)
+    return zscore(materialize(products, "products"), by)

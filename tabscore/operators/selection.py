@@ -8,7 +8,6 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabscore.operators.joins import small_side
 from tabscore.operators.ordered import add_row_id
 
 
@@ -43,7 +42,7 @@ def index_label(df: DataFrame, col: str, out: str = "label") -> DataFrame:
     """
     levels = add_row_id(df.select(col).filter(F.col(col).isNotNull()).distinct(), col, "__n")
     numbers = levels.select(col, (F.col("__n") - 1).cast("double").alias(out))
-    return df.join(small_side(numbers), col, "left").select(*df.columns, out)
+    return df.join(numbers, col, "left").select(*df.columns, out)
 
 
 def assemble(df: DataFrame, cols: list[str], out: str = "features", invalid: str = "error") -> DataFrame:
@@ -51,7 +50,7 @@ def assemble(df: DataFrame, cols: list[str], out: str = "features", invalid: str
 
 
 def split_by_flag(df: DataFrame, flag: str = "validation") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows with flag 0, rows with flag 1, all rows)."""
+    """(rows with flag 0, rows with flag 1, all rows); a row with another or a NULL flag is in the last only."""
     return df.filter(F.col(flag) == 0), df.filter(F.col(flag) == 1), df
 
 

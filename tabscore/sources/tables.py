@@ -39,7 +39,7 @@ def read_table(
 
 
 def _scan(spark: SparkSession, path: str, schema: T.StructType | None) -> DataFrame:
-    if ".csv" in path or path.endswith(".gz"):
+    if path.rstrip("/").endswith((".csv", ".csv.gz")):
         if schema is None:
             raise ValueError("a CSV scan needs a schema: inferring one reads the data twice")
         return (

@@ -160,3 +160,11 @@ def test_early_stop(spark, k, maximize):
     assert stop_round(curve, k, 1e-2, maximize) == expected
     history = spark.createDataFrame([("m", i, v) for i, v in enumerate(curve, 1)], "model_id string, round int, metric double")
     assert ts.early_stop(history, k, 1e-2, maximize).first().stop_round == expected
+
+
+@pytest.mark.parametrize("bad", [None, float("nan")])
+def test_performance_needs_a_score_in_every_row(spark, bad):
+    df = spark.createDataFrame([(1, 0.9), (0, 0.2), (1, bad)], "y int, s double")
+    for report in (ts.performance(df, "y", "s"), ts.performance(df, "y", "s").select("n"), ts.performance(df, "y", "s", by=["y"])):
+        with pytest.raises(Exception, match="NULL or NaN"):
+            report.collect()

@@ -131,3 +131,12 @@ def test_contingency_skips_nulls(spark):
     assert sorted(ts.contingency(df, "a", "b").collect()) == [(0, 1, 2), (1, 0, 1)]
     wide = {r.a: (r["0"], r["1"]) for r in ts.contingency(df, "a", "b", wide=True).collect()}
     assert wide == {0: (0, 2), 1: (1, 0)}
+
+
+def test_nan_is_in_no_bin_and_no_quantile(spark):
+    df = spark.createDataFrame([(x,) for x in (0.0, 1.0, 2.0, None, float("nan"))], "v double")
+    assert sorted((r.bin, r.n) for r in ts.histogram(df, "v", 1.0).collect()) == [(0, 1), (1, 1), (2, 1)]
+    assert sum(r.n for r in ts.histogram_bins(df, "v", 3).collect()) == 3
+    assert sum(r.n for r in ts.histogram_by(df, ["v"], 1.0).collect()) == 3
+    assert {r.prob: r.quantile for r in ts.quantile_profile(df, ["v"], (0.0, 1.0)).collect()} == {0.0: 0.0, 1.0: 2.0}
+    assert ts.six_numbers(df, ["v"]).first().max == 2.0

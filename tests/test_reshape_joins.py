@@ -2,7 +2,6 @@ import pytest
 from pyspark.sql import functions as F
 
 import tabscore as ts
-from tabscore.operators import joins
 
 COLS = ["f1", "f2", "f10"]
 
@@ -64,15 +63,39 @@ def test_bind_by_order(spark):
         ts.bind_by_order(a, "k", b.filter("place < 3"), "place").collect()
 
 
-def test_lookup_gives_the_same_rows_beyond_the_broadcast_bound(spark, monkeypatch):
+def test_bind_by_key_checks_whatever_is_read(spark):
+    a = spark.createDataFrame([(1, 0.1), (2, 0.2)], "t_id long, a double")
+    b = spark.createDataFrame([(1, 0.3), (9, 0.4)], "t_id long, b double")
+    with pytest.raises(Exception, match="without a partner"):
+        ts.bind_by_key([a, b], "t_id").select("a", "b").collect()
+    with pytest.raises(Exception, match="without a partner"):
+        ts.bind_by_key([a, b], "t_id").count()
+    twice = spark.createDataFrame([(1, 0.3), (2, 0.4), (2, 0.5)], "t_id long, b double")
+    with pytest.raises(Exception, match="is repeated"):
+        ts.bind_by_key([a, twice], "t_id").select("b").collect()
+    null = spark.createDataFrame([(None, 0.3)], "t_id long, b double")
+    with pytest.raises(Exception, match="without a partner"):
+        ts.bind_by_key([null.withColumnRenamed("b", "a"), null], "t_id").collect()
+
+
+def test_building_lookups_starts_no_job(spark):
     long = spark.range(200).select("id", (F.col("id") % 7).cast("string").alias("variable"), F.col("id").alias("value"))
-    stats = ts.variable_stats(long)
-    small = ts.lookup_stats(long, stats)
-    assert "BroadcastHashJoin" in small._jdf.queryExecution().toString()
-    expected = sorted(map(tuple, small.collect()))
-    monkeypatch.setattr(joins.small_side, "__defaults__", (3,))
-    large = ts.lookup_stats(long, stats)
-    assert sorted(map(tuple, large.collect())) == expected
+    spark.sparkContext.setJobGroup("building", "no job yet")
+    try:
+        ts.lookup_stats(long, ts.variable_stats(long))
+        ts.zscore(long)
+        assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("building")) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_join_anchor_is_one_pass_over_the_keys(spark):
+    wide = spark.createDataFrame([(1, 2, 3), (2, 5, None), (None, 1, 1)], "id long, f1 int, f5 int")
+    long = ts.to_long(wide, ["id"], ["f1", "f5"]).union(spark.createDataFrame([(7, "f1", 4)], "id long, variable string, value int"))
+    out = ts.join_anchor(long, "f5")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    assert sorted((r.id, r.value, r.anchor_value) for r in out.collect()) == [(1, 2, 3), (2, 5, None)]
 
 
 def test_join_anchor(spark):

@@ -19,7 +19,6 @@ def test_submission_problems(spark):
         (2, "out_of_range"),
         (3, "no_probability"),
         (4, "no_probability"),
-        (4, "out_of_range"),
         (5, "out_of_range"),
         (6, "missing"),
         (9, "unknown"),
@@ -39,12 +38,28 @@ def test_public_and_private_parts(rows):
     scores = rows.filter("tournament").select(F.col("id").alias("t_id"), "target", (F.col("f14") / 97.0).alias("probability"))
     out = {r.part: r.auc for r in ts.public_private_auc(scores).collect()}
     assert set(out) == {"public", "private"}
-    public = scores.filter("(t_id * 7919) % 100 < 33")
+    bits = F.conv(F.substring(F.md5(F.col("t_id").cast("string")), 1, 8), 16, 10).cast("bigint")
+    public = scores.filter(bits % 100 < 33)
     assert ts.auc(public, "target", "probability").first().auc == pytest.approx(out["public"])
     everything = {r.part for r in ts.public_private_auc(scores, share=100).collect()}
     assert everything == {"public"}
 
 
+@pytest.mark.parametrize("first, step", [(9, 10), (0, 1), (10**16, 100)])
+def test_a_third_of_the_ids_is_public_whatever_their_pattern(spark, first, step):
+    ids = spark.range(6000).selectExpr(f"{first}L + id * {step} as t_id", "cast(id % 2 as int) target")
+    every = ids.withColumn("probability", F.lit(0.5))
+    part = F.conv(F.substring(F.md5(F.col("t_id").cast("string")), 1, 8), 16, 10).cast("bigint") % 100 < 33
+    assert 0.30 < every.filter(part).count() / 6000 < 0.36
+    assert {r.part for r in ts.public_private_auc(every).collect()} == {"public", "private"}
+
+
+def test_a_folder_named_like_a_csv_is_read_as_what_its_files_are(spark, tmp_path):
+    path = f"{tmp_path}/old.csv.d/features"
+    spark.range(3).write.parquet(path)
+    assert ts.read_table(spark, path).count() == 3
+
+
 def test_csv_round_trip_keeps_nulls(spark, tmp_path):
     df = spark.createDataFrame([(1, None, "c_2"), (2, 4, "c_3")], "t_id long, f1 int, c1 string")
     for fmt in ("csv", "csv.gz"):
