@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-from itertools import combinations_with_replacement
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,28 +101,72 @@ def population_stats(
     return cells.groupBy("variable").agg(*aggregates)
 
 
+def _moments(names: list[str]):
+    """Per task and column pair: rows, means, centred squares and products, pairwise complete.
+
+    Batches are taken around one value of each column, so large means cost no digits.
+    """
+    k = len(names)
+    first, second = np.triu_indices(k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre, sums = np.full(k, np.nan), np.zeros((6, k, k))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.columns])
+            there = ~np.isnan(x)
+            for i in np.flatnonzero(np.isnan(centre) & there.any(axis=0)):
+                centre[i] = np.quantile(x[there[:, i], i], 0.5, method="lower")
+            z = np.where(there, x - centre, 0.0)
+            m = there.astype(np.float64)
+            squares = z * z
+            sums += np.stack([m.T @ m, z.T @ m, m.T @ z, squares.T @ m, m.T @ squares, z.T @ z])
+        n, sx, sy, sxx, syy, sxy = (t[first, second] for t in sums)
+        used = n > 0
+        n, sx, sy, sxx, syy, sxy, i, j = (v[used] for v in (n, sx, sy, sxx, syy, sxy, first, second))
+        means = [centre[i] + sx / n, centre[j] + sy / n]
+        spreads = [sxx - sx * sx / n, syy - sy * sy / n, sxy - sx * sy / n]
+        columns = [i.astype(np.int32), j.astype(np.int32), n, *means, *spreads]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["i", "j", "n", "mx", "my", "vx", "vy", "c"])
+
+    return run
+
+
 def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
-    """``var_a, var_b, corr`` for all ordered pairs, pairwise complete.
+    """``var_a, var_b, corr`` for all ordered pairs, pairwise complete; NULL and NaN are missing.
 
-    A pair with a constant column is NULL. Each row is expanded to its column
-    pairs inside the scan stage; only one partial aggregate per pair leaves it.
+    A pair with a constant column is NULL. Each task reduces its rows to the
+    moments of the column pairs by matrix products over Arrow batches; these few
+    numbers are then merged around the common means.
     """
-    pairs = list(combinations_with_replacement(cols, 2))
-    in_pairs = ", ".join(f"(`{a}`, `{b}`) AS p{i}" for i, (a, b) in enumerate(pairs))
-    long = df.sparkSession.sql(
-        f"SELECT pair, x, y FROM {{values}} UNPIVOT INCLUDE NULLS ((x, y) FOR pair IN ({in_pairs}))",
-        values=df.select(*[F.col(c).cast("double") for c in cols]),
+    names = list(dict.fromkeys(cols))
+    values = df.select(*[F.col(c).cast("double") for c in names])
+    schema = "i int, j int, n double, mx double, my double, vx double, vy double, c double"
+    parts = values.mapInArrow(_moments(names), schema)
+    pair = Window.partitionBy("i", "j")  # one row for each task
+    n = F.sum("n").over(pair)
+    about = parts.select(
+        "*",
+        (F.sum(F.col("n") * F.col("mx")).over(pair) / n).alias("ax"),
+        (F.sum(F.col("n") * F.col("my")).over(pair) / n).alias("ay"),
     )
-    r = F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y"))
-    per_pair = long.filter("x is not null and y is not null").groupBy("pair").agg(r.alias("r"))
-
-    number = F.substring("pair", 2, 10).cast("int")
-    first = F.get(F.array(*[F.lit(a) for a, _ in pairs]), number)
-    second = F.get(F.array(*[F.lit(b) for _, b in pairs]), number)
-    both = F.array(F.struct(first.alias("a"), second.alias("b")), F.struct(second.alias("a"), first.alias("b")))
-    half = per_pair.select(F.explode(F.array_distinct(both)).alias("p"), "r").select("p.a", "p.b", "r")
+    dx, dy = F.col("mx") - F.col("ax"), F.col("my") - F.col("ay")
+
+    def spread(own: str, mean: str, off: Column) -> Column:
+        constant = (F.max(own) <= 0) & (F.min(mean) == F.max(mean))
+        return F.when(constant, F.lit(0.0)).otherwise(F.sum(F.col(own) + F.col("n") * off * off))
+
+    size = F.sqrt(spread("vx", "mx", dx)) * F.sqrt(spread("vy", "my", dy))
+    r = F.try_divide(F.sum(F.col("c") + F.col("n") * dx * dy), size)
+    per_pair = about.groupBy("i", "j").agg(r.alias("r"))
+    # a pair of columns that never meet has no row above
+    every = df.sparkSession.range(len(names)).select(F.col("id").cast("int").alias("i"))
+    every = every.select("i", F.explode(F.sequence(F.col("i"), F.lit(len(names) - 1))).alias("j"))
+    known = every.join(per_pair, ["i", "j"], "left")
+    label = F.array(*[F.lit(c) for c in names])
+    both = F.array(F.struct(F.col("i").alias("a"), F.col("j").alias("b")), F.struct(F.col("j").alias("a"), F.col("i").alias("b")))
+    half = known.select(F.explode(F.array_distinct(both)).alias("p"), "r").select("p.a", "p.b", "r")
     entry = F.when(F.col("a") != F.col("b"), F.col("r")).when(F.col("r").isNotNull(), F.lit(1.0))
-    return half.select(F.col("a").alias("var_a"), F.col("b").alias("var_b"), entry.alias("corr"))
+    return half.select(F.get(label, "a").alias("var_a"), F.get(label, "b").alias("var_b"), entry.alias("corr"))
 
 
 def corr_max(corr: DataFrame, mask_ones: bool = True) -> DataFrame:

@@ -140,3 +140,18 @@ def test_nan_is_in_no_bin_and_no_quantile(spark):
     assert sum(r.n for r in ts.histogram_by(df, ["v"], 1.0).collect()) == 3
     assert {r.prob: r.quantile for r in ts.quantile_profile(df, ["v"], (0.0, 1.0)).collect()} == {0.0: 0.0, 1.0: 2.0}
     assert ts.six_numbers(df, ["v"]).first().max == 2.0
+
+
+def test_corr_keeps_its_digits_and_expands_no_row(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=5000)
+    table = pd.DataFrame({"a": 1e9 + x, "b": 1e9 - x + rng.normal(size=5000), "k": 1e9 + 0.1, "x": x, "gone": None})
+    df = spark.createDataFrame(table.astype({"gone": float})).repartition(7)
+    out = ts.corr_matrix(df, ["a", "b", "k", "x", "gone"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Expand" not in plan
+    corr = {(r.var_a, r.var_b): r["corr"] for r in out.collect()}
+    assert len(corr) == 25
+    assert corr["a", "b"] == pytest.approx(np.corrcoef(table.a - 1e9, table.b - 1e9)[0, 1], abs=1e-9)
+    assert corr["x", "b"] == pytest.approx(np.corrcoef(table.x, table.b - 1e9)[0, 1], abs=1e-9)
+    assert all(corr["k", c] is None and corr["gone", c] is None for c in ("a", "b", "k", "x", "gone"))
