@@ -60,8 +60,11 @@ def judge(captures: DataFrame, entries: DataFrame, url: str = "url", at: str = "
     active = F.filter("intervals", lambda i: (i["since"] <= F.col("t")) & (i["until"].isNull() | (i["until"] > F.col("t"))))
     found = asked.join(small(lists), "pattern").withColumn("i", F.try_element_at(active, F.lit(1))).filter("i is not null")
     decision = F.max(F.struct(F.length("pattern").alias("n"), "pattern", "i")).alias("d")
-    judged = found.groupBy("host", "t").agg(decision).select(
-        F.col("host").alias("h"), "t", "d.pattern", "d.i.since", "d.i.until", (F.col("d.i.action") == "block").alias("b")
+    judged = found.groupBy("host", "t").agg(decision)
+    result = {"host": "host", "at": "t", "pattern": "d.pattern", "since": "d.i.since", "until": "d.i.until"}
+    judged = judged.select(
+        *[F.col(c).alias(f"__{name}") for name, c in result.items()], (F.col("d.i.action") == "block").alias("__blocked")
     )
-    out = rows.join(judged, (rows.host == judged.h) & (rows[at] == judged.t), "left")
-    return out.select(*rows.columns, F.coalesce("b", F.lit(False)).alias("blocked"), "pattern", "since", "until")
+    out = rows.join(judged, (F.col("host") == F.col("__host")) & (F.col(at) == F.col("__at")), "left")
+    found_columns = [F.col(f"__{name}").alias(name) for name in ("pattern", "since", "until")]
+    return out.select(*rows.columns, F.coalesce("__blocked", F.lit(False)).alias("blocked"), *found_columns)
