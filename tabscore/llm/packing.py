@@ -3,8 +3,10 @@
 Documents are cut to pieces of at most a sequence, and pieces are packed by
 best-fit decreasing in partitions of bounded size. Dual feasible functions give a
 lower bound of each partition's sequences. Where a partition has more than its
-bound, the pieces of its unfilled sequences are exchanged with those of other such
-partitions and packed again, as long as that saves sequences.
+bound, the pieces of its unfilled sequences are exchanged with those of other
+partitions and packed again; a partition at its bound gives its emptiest sequence
+only, as the bounds of many partitions add up to more than the bound of all. This
+goes on as long as it saves sequences.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ END = 1  # the id that ends a document
 PART = 20_000  # pieces of a partition, about
 ROUNDS = 4
 
-PACKED = "item long, part int, sequence int, offset long, filled boolean, sequences int, bound int"
+PACKED = "item long, part int, sequence int, offset long, loose boolean"
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
@@ -86,18 +88,18 @@ def _pack(capacity: int):
             edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 sequence, offset, rooms = best_fit(length[a:b], capacity)
-                n, bound = len(rooms), lower_bound(length[a:b], capacity)
+                loose = rooms > 0
+                if len(rooms) <= lower_bound(length[a:b], capacity):
+                    loose &= np.arange(len(rooms)) == rooms.argmax()
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(item[a:b]),
                         pa.array(part[a:b]),
                         pa.array(sequence.astype(np.int32)),
                         pa.array(offset),
-                        pa.array(rooms[sequence] == 0),
-                        pa.array(np.full(b - a, n, np.int32)),
-                        pa.array(np.full(b - a, bound, np.int32)),
+                        pa.array(loose[sequence]),
                     ],
-                    ["item", "part", "sequence", "offset", "filled", "sequences", "bound"],
+                    ["item", "part", "sequence", "offset", "loose"],
                 )
 
     return run
@@ -114,15 +116,15 @@ def pack(items: DataFrame, scratch: Scratch, capacity: int = CAPACITY, rounds: i
 
     packed = deal(items, items.count(), 0)
     for turn in range(1, rounds + 1):
-        loose = packed.filter("sequences > bound and not filled")
+        loose = packed.filter("loose")
         state = loose.agg(F.count("*"), F.countDistinct("round", "part", "sequence")).first()
-        if not state[0]:
+        if state[1] < 2:
             break
         again = deal(loose.select("item").join(items, "item"), state[0], turn)
         now = again.agg(F.countDistinct("part", "sequence")).first()[0]
         if now >= state[1]:
             break
-        packed = packed.filter("sequences <= bound or filled").union(again)
+        packed = packed.filter("not loose").union(again)
     return packed.select("item", "round", "part", "sequence", "offset")
 
 
