@@ -45,23 +45,50 @@ def _same(before, after, key="id"):
 _ALL_VALID = "select count(*) as n, count(*) as n_same from valid"
 
 
-@query("gbt_fit")
+# A fit on the planted target is judged by facts that hold for every row or model.
+LEARNED = 0.85  # least AUC of a model that has found the planted target
+_JUDGED = "select id, true as in_range, true as learned from valid"
+
+
+def _between(p):
+    return F.coalesce(F.col(p).between(0, 1), F.lit(False))
+
+
+def _judged(model, valid, least=LEARNED):
+    """``id, in_range, learned`` of every validation row: a probability, from a model that has learned."""
+    scores = ts.materialize(ts.score(model, valid, "id", "p1", ["target"]), "judged")
+    area = ts.auc(scores, "target", "p1").select((F.col("auc") >= least).alias("learned")).scalar()
+    return scores.select("id", _between("p1").alias("in_range"), area.alias("learned"))
+
+
+@query("gbt_fit", _JUDGED)
 def gbt_fit(spark, sf_dir):
     train, valid, _ = _splits(spark, sf_dir)
-    return ts.score(ts.gbt(train, COLS, 3, 0.1, 5), valid, "id")
+    return _judged(ts.gbt(train, COLS, 3, 0.1, 5), valid, 0.95)
 
 
-@query("score_table")
+@query("score_table", f"select id as t_id, true as in_range, true as same from contest where {TOURNAMENT}")
 def score_table(spark, sf_dir):
+    """Two fits of one seed score every tournament row alike."""
     train, live = _live(spark, sf_dir)
-    model = ts.gbt(train.filter("validation = 0"), COLS, 3, 0.1, 5)
-    return ts.score(model, live, "t_id", "probability")
+    fits = {p: ts.gbt(train.filter("validation = 0"), COLS, 3, 0.1, 5) for p in ("p1", "p2")}
+    scored = ts.score_many(fits, live, "t_id")
+    return scored.select("t_id", _between("p1").alias("in_range"), (F.col("p1") == F.col("p2")).alias("same"))
 
 
-@query("gbt_train_fraction")
+@query("gbt_train_fraction", "select id, true as in_range, true as same from valid")
 def gbt_train_fraction(spark, sf_dir):
+    """Fitting on a fraction, half of its rows drawn for each tree, is fitting on the first rows."""
     train, valid, _ = _splits(spark, sf_dir)
-    return ts.score(ts.gbt(train, COLS, 1, 0.1, 5, min_rows=5, train_fraction=0.75), valid, "id")
+    first, _ = ts.first_fraction(train, "id", 0.75)
+    options = {"depth": 1, "eta": 0.1, "rounds": 5, "min_rows": 5}
+    fits = {
+        "p1": ts.gbt(train, COLS, train_fraction=0.75, **options),
+        "p2": ts.gbt(first, COLS, **options),
+        "p3": ts.gbt(train, COLS, train_fraction=0.75, subsample=0.5, **options),
+    }
+    scored = ts.score_many(fits, valid, "id")
+    return scored.select("id", (_between("p1") & _between("p3")).alias("in_range"), (F.col("p1") == F.col("p2")).alias("same"))
 
 
 @query(
@@ -87,33 +114,59 @@ def gbt_best_iter(spark, sf_dir):
     return _same(stage, again)
 
 
-@query("gbt_staged_auc")
+@query("gbt_staged_auc", "select * from (values (1, false), (2, true), (3, false), (4, false), (5, true)) t(round, same)")
 def gbt_staged_auc(spark, sf_dir):
+    """Stage 2 of a five-round fit has the AUC of a two-round fit, the last stage that of the model."""
     train, valid, _ = _splits(spark, sf_dir)
-    return ts.staged_auc(ts.gbt(train, COLS, 3, 0.1, 5), valid)
+    whole, short = ts.gbt(train, COLS, 3, 0.1, 5), ts.gbt(train, COLS, 3, 0.1, 2)
+    alone = None
+    for n, model in ((2, short), (5, whole)):
+        area = ts.auc(ts.score(model, valid, "id", "p1", ["target"]), "target", "p1")
+        area = area.select(F.lit(n).alias("round"), F.col("auc").alias("own"))
+        alone = area if alone is None else alone.unionByName(area)
+    both = ts.staged_auc(whole, valid).join(alone, "round", "left")
+    return both.select("round", F.coalesce(F.abs(F.col("auc") - F.col("own")) < 1e-12, F.lit(False)).alias("same"))
 
 
-@query("feature_importance")
+@query("feature_importance", f"select {len(COLS)} as n, true as adds_up, 'f1_m2' as leader")
 def feature_importance(spark, sf_dir):
     train, _, _ = _splits(spark, sf_dir)
-    return ts.importance(ts.gbt(train, COLS, 3, 0.1, 5))
+    shares = ts.importance(ts.gbt(train, COLS, 3, 0.1, 5))
+    return shares.agg(
+        F.count("*").cast("int").alias("n"),
+        (F.abs(F.sum("share") - 1) < 1e-9).alias("adds_up"),
+        F.max_by("feature", "share").alias("leader"),
+    )
 
 
-@query("permutation_importance")
+@query("permutation_importance", f"select {len(SCALED)} as n, 'f1_m2' as leader, true as clear")
 def permutation_importance(spark, sf_dir):
     train, valid, _ = _splits(spark, sf_dir)
-    model = ts.mlp(train, SCALED, [6], 15)
-    return ts.permutation_importance(model, valid, SCALED)
+    drops = ts.permutation_importance(ts.mlp(train, SCALED, [6], 15), valid, SCALED)
+    return drops.agg(
+        F.count("*").cast("int").alias("n"),
+        F.max_by("feature", "auc_drop").alias("leader"),
+        (F.max("auc_drop") > 0.1).alias("clear"),
+    )
 
 
-@query("gbt_grid")
+@query(
+    "gbt_grid",
+    """select ntrees, max_depth, learn_rate, true as learned, false as in_sample from (values (2), (4)) n(ntrees),
+    (values (2), (3)) d(max_depth), (values (0.1::double), (0.3::double)) e(learn_rate)""",
+)
 def gbt_grid(spark, sf_dir):
     train, valid, _ = _splits(spark, sf_dir)
     results = ts.gbt_grid(train, valid, COLS, rounds=[2, 4], depths=[2, 3], etas=[0.1, 0.3])
-    return ts.leaderboard(results, "auc")
+    best = ts.leaderboard(results, "auc")
+    return best.select("ntrees", "max_depth", "learn_rate", (F.col("auc") >= 0.95).alias("learned"), "in_sample")
 
 
-@query("grid_results")
+@query(
+    "grid_results",
+    """select model_id, hidden, max_iter, true as learned, false as in_sample from (values ('model_1', '[4]', 5::bigint),
+    ('model_2', '[4]', 10::bigint), ('model_3', '[6,4]', 5::bigint), ('model_4', '[6,4]', 10::bigint)) t(model_id, hidden, max_iter)""",
+)
 def grid_results(spark, sf_dir):
     train, valid, _ = _splits(spark, sf_dir)
 
@@ -121,10 +174,14 @@ def grid_results(spark, sf_dir):
         return ts.mlp(df, SCALED, list(hidden), max_iter)
 
     results = ts.grid_search(make, {"hidden": [(4,), (6, 4)], "max_iter": [5, 10]}, train, valid)
-    return results.withColumn("hidden", F.to_json("hidden"))
+    learned = (F.col("auc") >= LEARNED).alias("learned")
+    return results.select("model_id", F.to_json("hidden").alias("hidden"), "max_iter", learned, "in_sample")
 
 
-@query("refit_full")
+@query(
+    "refit_full",
+    "select * from (values ('train_only', true, false), ('all_rows', true, true)) t(model_id, learned, in_sample)",
+)
 def refit_full(spark, sf_dir):
     train, valid, everything = _splits(spark, sf_dir)
 
@@ -136,53 +193,54 @@ def refit_full(spark, sf_dir):
     for name, df, seen in (("train_only", train, False), ("all_rows", everything, True)):
         model = ts.refit(make, chosen, df)
         area = ts.auc(ts.score(model, valid, "id", "p1", ["target"]), "target", "p1")
-        parts.append(area.select(F.lit(name).alias("model_id"), "auc", F.lit(seen).alias("in_sample")))
+        learned = (F.col("auc") >= 0.95).alias("learned")
+        parts.append(area.select(F.lit(name).alias("model_id"), learned, F.lit(seen).alias("in_sample")))
     return parts[0].unionByName(parts[1])
 
 
-@query("mlp_fit")
+@query("mlp_fit", _JUDGED)
 def mlp_fit(spark, sf_dir):
     train, valid, _ = _splits(spark, sf_dir)
-    return ts.score(ts.mlp(train, COLS, [8], 20), valid, "id")
+    return _judged(ts.mlp(train, COLS, [8], 20), valid)
 
 
-@query("mlp_early_stop")
+@query("mlp_early_stop", _JUDGED)
 def mlp_early_stop(spark, sf_dir):
     train, valid, _ = _splits(spark, sf_dir)
     model, _ = ts.mlp_early_stop(train, valid, COLS, [6], chunk=5, max_iter=30, rounds=2, tol=1e-3)
-    return ts.score(model, valid, "id")
+    return _judged(model, valid)
 
 
-@query("rotation_forest")
+@query("rotation_forest", _JUDGED)
 def rotation_forest(spark, sf_dir):
     train, valid, _ = _splits(spark, sf_dir)
-    return ts.score(ts.rotation_forest(train, COLS, members=4), valid, "id")
+    return _judged(ts.rotation_forest(train, COLS, members=4), valid)
 
 
-@query("clustered_svm")
+@query("clustered_svm", _JUDGED)
 def clustered_svm(spark, sf_dir):
     train, valid, _ = _splits(spark, sf_dir)
-    return ts.score(ts.clustered_svm(train, COLS, centers=8, max_iter=20), valid, "id")
+    return _judged(ts.clustered_svm(train, COLS, centers=8, max_iter=20), valid)
 
 
-@query("kernel_svm_gaussian")
+@query("kernel_svm_gaussian", _JUDGED)
 def kernel_svm_gaussian(spark, sf_dir):
     train, valid, _ = _splits(spark, sf_dir)
     model = ts.kernel_svm_approx(train, COLS, k=4, kernel="gaussian", features=32, gamma=0.05, max_iter=20)
-    return ts.score(model, valid, "id")
+    return _judged(model, valid, 0.8)
 
 
-@query("kernel_svm_polynomial")
+@query("kernel_svm_polynomial", _JUDGED)
 def kernel_svm_polynomial(spark, sf_dir):
     train, valid, _ = _splits(spark, sf_dir)
     model = ts.kernel_svm_approx(train, SCALED, k=4, kernel="polynomial", max_iter=20)
-    return ts.score(model, valid, "id")
+    return _judged(model, valid, 0.8)
 
 
-@query("gated_experts")
+@query("gated_experts", _JUDGED)
 def gated_experts(spark, sf_dir):
     train, valid, _ = _splits(spark, sf_dir)
-    return ts.score(ts.gated_experts(train, COLS, m=4, hidden=6, rounds=2, max_iter=15), valid, "id")
+    return _judged(ts.gated_experts(train, COLS, m=4, hidden=6, rounds=2, max_iter=15), valid)
 
 
 @query("model_roundtrip", _ALL_VALID)
@@ -207,7 +265,7 @@ def score_live(spark, sf_dir):
     return _same(ts.score(model, live, "t_id", "before"), after, "t_id")
 
 
-@query("model_submission")
+@query("model_submission", f"select id as t_id, true as in_range, true as blended from contest where {TOURNAMENT}")
 def model_submission(spark, sf_dir):
     """Two fits on training rows, two on all rows, blended into one submission."""
     train, live = _live(spark, sf_dir)
@@ -216,6 +274,12 @@ def model_submission(spark, sf_dir):
         name: ts.gbt(train if full else train.filter("validation = 0"), COLS, depth, eta, 3)
         for name, (depth, eta, full) in fits.items()
     }
-    scored = ts.score_many(models, live, "t_id")
+    scored = ts.materialize(ts.score_many(models, live, "t_id"), "scored")
     blends = {"probability1": ts.equal("p1", "p2"), "probability2": ts.equal("p3", "p4"), "probability3": ts.equal(*fits)}
-    return ts.blend(scored, blends).select("t_id", *blends)
+    blended = ts.blend(scored, blends).select("t_id", *blends).join(scored, "t_id")
+    near = F.lit(True)
+    for name, members in (("probability1", ["p1", "p2"]), ("probability2", ["p3", "p4"]), ("probability3", list(fits))):
+        mean = sum((F.col(m) for m in members), F.lit(0.0)) / len(members)
+        near = near & (F.abs(F.col(name) - mean) < 1e-12)
+    ranges = _between("probability1") & _between("probability2") & _between("probability3")
+    return blended.select("t_id", ranges.alias("in_range"), near.alias("blended"))
