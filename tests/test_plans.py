@@ -74,3 +74,11 @@ def test_ordered_auc_shuffles_the_rows_once(rows):
     text = plan(ts.auc(rows, "target", "f7", ties="order", order_by="id"))
     assert text.count("rangepartitioning") == 1
     assert text.count("Window") <= 2  # only the one over ranges
+
+
+def test_line_items_move_once(spark):
+    from tabscore.sources.contest import order_features
+
+    text = plan(order_features(spark, SF))
+    assert text.count("Exchange hashpartitioning(l_orderkey") == 1
+    assert text.count("Exchange hashpartitioning") + text.count("BroadcastExchange") <= 2
