@@ -20,9 +20,11 @@ from tabscore.models.gbt import (
     first_fraction,
     gbt,
     importance,
+    metric_history,
     permutation_importance,
     staged_auc,
     staged_scores,
+    watchlist,
 )
 from tabscore.models.grid import gbt_grid, grid_search, refit
 from tabscore.models.mlp import mlp, mlp_early_stop

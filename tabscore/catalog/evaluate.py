@@ -301,6 +301,26 @@ def staged_auc(spark, sf_dir):
     return rounded(ts.auc(long, "target", "value", ["round"]), "auc")
 
 
+@query(
+    "watchlist",
+    f"""with stages as (select target, case when validation = 1 then 'valid' else 'train' end as split,
+      {', '.join(f"{' + '.join(_ADDED[:i])} as r{i}" for i in range(1, 6))} from training),
+    long as (select target, split, cast(substr(variable, 2) as int) as round, value
+      from stages unpivot (value for variable in (r1, r2, r3, r4, r5))),
+    r as (select split, round, target as y, rank() over (partition by split, round order by value)
+      + (count(*) over (partition by split, round, value) - 1) / 2.0 as rk from long)
+    select 'sums' as model_id, round, split, {s6(_AUC)} as metric from r group by split, round""",
+)
+def watchlist(spark, sf_dir):
+    """The metric after each round on both splits, from scores that add one column a round."""
+    split = F.when(F.col("validation") == 1, "valid").otherwise("train").alias("split")
+    stages = [sum((F.col(c) for c in _ADDED[1:i]), F.col(_ADDED[0])).alias(str(i)) for i in range(1, 6)]
+    table = train(spark, sf_dir).select("target", split, *stages)
+    long = ts.to_long(table, ["target", "split"], [str(i) for i in range(1, 6)], "round", "score")
+    long = long.select("*", F.lit("sums").alias("model_id")).withColumn("round", F.col("round").cast("int"))
+    return rounded(ts.metric_history(long), "metric")
+
+
 @query(
     "early_stop",
     """with h as (select c1 as model_id, f14 as round, avg(f13) as metric from contest group by all),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.ml import PipelineModel
@@ -98,15 +98,21 @@ def staged_scores(
         data = tree.copy().setFeaturesCol("features").setPredictionCol(names[-1]).transform(data)
     weighted = F.array(*[F.col(n) * F.lit(float(w)) for n, w in zip(names, trees.treeWeights)])
     wanted = list(rounds) if rounds is not None else list(range(1, len(names) + 1))
-    data = data.select(*keep, weighted.alias("__t"))
-    total = F.transform(
-        F.array(*[F.lit(r) for r in wanted]),
-        lambda r: F.struct(
-            r.alias("round"),
-            F.aggregate(F.slice("__t", 1, r), F.lit(0.0), lambda acc, t: acc + t).alias("score"),
-        ),
-    )
-    return data.select(*keep, F.inline(total))
+    none = F.array().cast("array<double>")
+
+    def add(acc, t):
+        return F.struct((acc["sum"] + t).alias("sum"), F.concat(acc["all"], F.array(acc["sum"] + t)).alias("all"))
+
+    running = F.aggregate(weighted, F.struct(F.lit(0.0).alias("sum"), none.alias("all")), add)["all"]
+
+    def pick(sums):
+        return F.transform(
+            F.array(*[F.lit(r) for r in wanted]),
+            lambda r: F.struct(r.alias("round"), F.element_at(sums, r).alias("score")),
+        )
+
+    # the outer transform computes the running sums once for all rounds
+    return data.select(*keep, F.inline(F.get(F.transform(F.array(running), pick), 0)))
 
 
 def staged_auc(
@@ -116,6 +122,40 @@ def staged_auc(
     return auc(staged_scores(model, df, [label], rounds), label, "score", ["round"])
 
 
+def watchlist(
+    model: PipelineModel,
+    splits: dict[str, DataFrame],
+    label: str = "target",
+    rounds: Iterable[int] | None = None,
+    metric: Callable[[DataFrame, str, str, list[str]], DataFrame] | None = None,
+    model_id: str = "model_1",
+) -> DataFrame:
+    """``model_id, round, split, metric`` after each round on every split, in one job.
+
+    ``metric(scores, label, 'score', by)`` replaces the AUC; it returns ``by`` and one
+    value. The table is what ``early_stop`` reads, for one split of it.
+    """
+    parts = [
+        staged_scores(model, df, [label], None if rounds is None else list(rounds)).withColumn("split", F.lit(name))
+        for name, df in splits.items()
+    ]
+    scores = reduce(DataFrame.unionByName, parts).withColumn("model_id", F.lit(model_id))
+    return metric_history(scores, label, metric=metric)
+
+
+def metric_history(
+    scores: DataFrame,
+    label: str = "target",
+    score: str = "score",
+    metric: Callable[[DataFrame, str, str, list[str]], DataFrame] | None = None,
+) -> DataFrame:
+    """``model_id, round, split, metric`` of scored rows that carry these three names."""
+    by = ["model_id", "round", "split"]
+    table = (metric or auc)(scores, label, score, by)
+    value = next(c for c in table.columns if c not in by)
+    return table.select(*by, F.col(value).alias("metric"))
+
+
 def importance(model: PipelineModel) -> DataFrame:
     """``feature, share`` of the split gains, largest first."""
     assembler, trees = _parts(model)

@@ -72,6 +72,24 @@ def test_last_stage_is_the_model(parts, trees):
     assert staged[-1].auc == pytest.approx(area(trees, parts[1]), abs=1e-12)
 
 
+def test_watchlist_feeds_early_stopping(parts, trees):
+    train, valid, _ = parts
+    table = ts.watchlist(trees, {"train": train, "valid": valid})
+    assert table.columns == ["model_id", "round", "split", "metric"]
+    got = {(r["round"], r.split): r.metric for r in table.collect()}
+    assert len(got) == 10
+    staged = {r["round"]: r.auc for r in ts.staged_auc(trees, valid).collect()}
+    assert all(got[k, "valid"] == pytest.approx(a, abs=1e-12) for k, a in staged.items())
+    stop = ts.early_stop(table.filter("split = 'valid'"), 1, 0.5).first()
+    assert stop.model_id == "model_1" and stop.stop_round == 2
+
+    def mse(scores, y, s, by):
+        return scores.groupBy(*by).agg(F.avg((F.col(s) - F.col(y)) ** 2).alias("mse"))
+
+    custom = ts.watchlist(trees, {"valid": valid}, rounds=[1, 5], metric=mse, model_id="m").collect()
+    assert {(r.model_id, r["round"]) for r in custom} == {("m", 1), ("m", 5)} and all(r.metric > 0 for r in custom)
+
+
 def test_best_rounds_minimises_the_deviance(parts, trees):
     losses = ts.deviance_by_round(trees, parts[1])
     assert losses[ts.best_rounds(trees, parts[1]) - 1] == min(losses)
