@@ -19,7 +19,7 @@ COLUMNS = {
     5: ["doc_id", "n_shingles", "component_id", "kept"],
     6: ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
     7: ["doc_id", "held_out", "lang_pred", "score"],
-    8: ["page_id", "blocked"],
+    8: ["page_id", "url", "fetched_on", "host", "blocked"],
     9: ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"],
     10: ["doc_id", "item_id"],
 }
@@ -64,7 +64,7 @@ def test_stages_keep_what_brute_force_keeps(spark, tmp_path):
     before = out
     out = rows_of(stages["substring_dedup"](spark, documents(spark, before), str(tmp_path)))
     left = {i: n - gone for i, n, gone, _ in substring_brute(before, 35)}
-    assert sorted((str(r[0]), len(r[1].split())) for r in out if r[0] != 3) == sorted(
+    assert sorted((str(r[0]), len(r[1].encode().split())) for r in out if r[0] != 3) == sorted(
         (i, n) for i, n in left.items() if n and i != "3"
     )
     clean = {i for i, _, gone, _ in substring_brute(before, 35) if not gone}
