@@ -34,6 +34,8 @@ FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in code
 BITS = 11  # 2**11 features
 TRAIN_ROWS = 8_000  # the bound of the labelled sample that the machines are fitted on
 UNDECIDED = "und"
+FIT_TASKS = 12
+GRAM_BYTES = 250_000  # texts whose n-grams (24 bytes for each byte) a task holds at once
 
 # ASCII letters; bytes from 0xC3 on begin letters of the two-byte scripts and beyond.
 _FOLD = np.arange(256, dtype=np.uint64)
@@ -63,7 +65,7 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in (s.slice(k, 256) for s in slices(batches) for k in range(0, len(s), 256)):
+    for part in (s.slice(k, 256) for s in slices(batches, size=GRAM_BYTES) for k in range(0, len(s), 256)):
         at, begin, end = grams(part.column("text"))
         rows = np.zeros((len(part), 1 << BITS))
         for i, (a, b) in enumerate(zip(begin, end, strict=True)):
@@ -101,7 +103,8 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS, max_iter: int = 25) -
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, each / n))])
     at = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003)) / 1_000_003.0
     sample = rows.filter(at < F.element_at(share, F.col("lang"))).select("text", "lang")
-    points = sample.mapInArrow(_features, "lang string, x array<double>").select(
+    # each step of a fit is a job over the sample, which is small: few tasks
+    points = sample.repartition(FIT_TASKS).mapInArrow(_features, "lang string, x array<double>").select(
         "lang", array_to_vector("x").alias("features")
     )
     points = points.persist()
@@ -139,7 +142,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         families, languages = sorted(model.families), model.languages
-        for part in slices(batches):
+        for part in slices(batches, size=GRAM_BYTES):
             n = len(part)
             text = part.column("text")
             margins: dict[tuple[str, str], np.ndarray] = {}
@@ -179,7 +182,9 @@ def identify(docs: DataFrame, keep: list[str], train_rows: int = TRAIN_ROWS) ->
     Learns from rows that are not held out and have text and label; lang, source
     and doc_id are no inputs of a prediction. A text that is null or has no letter gets ``und``
     and 0. Repeated rows keep their number; with no labelled row all are ``und``.
-    An empty table gives no rows. Equal votes go to the first name.
+    An empty table gives no rows. Equal votes go to the first name. Columns of
+    ``keep`` that are named like the two results are replaced by them.
     """
     model = fit(docs.filter(~held_out()), train_rows)
-    return predict(docs.select(*dict.fromkeys([*keep, "text"])), model)
+    kept = [c for c in dict.fromkeys([*keep, "text"]) if c not in ("lang_pred", "score")]
+    return predict(docs.select(*kept), model)

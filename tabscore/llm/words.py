@@ -114,13 +114,23 @@ def sequence_hash(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix((total[k:] - total[:n]) * down[:n] + np.uint64(k))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut batches so that the texts of each slice have about ``SLICE_BYTES``."""
+def span_hash(hashes: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of n values from ``begin`` on; runs of one length compare like ``sequence_hash``."""
+    up, down = powers(len(hashes) + 1)
+    total = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * up[: len(hashes)], out=total[1:])
+    return mix((total[begin + n] - total[begin]) * down[begin] + n.astype(np.uint64))
+
+
+def slices(
+    batches: Iterator[pa.RecordBatch], column: str = "text", size: int | None = None
+) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that the texts of each slice have about ``size`` bytes (``SLICE_BYTES`` by default)."""
     for batch in batches:
         if not len(batch):
             continue
         sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        cut = np.cumsum(sizes.astype(np.int64)) // SLICE_BYTES
+        cut = np.cumsum(sizes.astype(np.int64)) // (size or SLICE_BYTES)
         edges = [0, *(np.flatnonzero(np.diff(cut)) + 1).tolist(), len(batch)]
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             yield batch.slice(a, b - a)
