@@ -8,7 +8,7 @@ repeats, and neighbouring ones of a document join to maximal repeats.
 Suffixes that can't repeat are left out early. Of the seeds (runs of ``seed``
 words) of a suffix, the one with the smallest hash picks the suffix's group, so equal
 suffixes are in one group, and neighbouring suffixes mostly too: they travel as
-one piece of text. A piece whose seed occurs once in the corpus is a leaf. A group
+one piece of text. Of equal pieces of one text, one travels. A piece whose seed occurs once in the corpus is a leaf. A group
 with more pieces than ``GROUP`` is split by longer seeds, at last by whole suffixes.
 """
 
@@ -25,13 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabscore.llm.near_text import runs
-from tabscore.llm.tables import Scratch
-from tabscore.llm.words import Words, sequence_hash, signed, slices, words_of
+from tabscore.llm.tables import Scratch, texts_of
+from tabscore.llm.words import Words, mix, sequence_hash, signed, slices, span_hash, words_of
 
 WINDOW = 35
 SEED = 14
 GROUP = 4096  # pieces of a group that one subtree is built of
 
+OWN = "array<struct<begin:int,stop:int>>"
 PIECE = "struct<start:int,n:int,key:bigint>"
 ROW = "key long, doc_id long, text_hash long, start int, n int, piece binary"
 SPAN = "doc_id long, text_hash long, begin int, stop int"
@@ -71,11 +72,46 @@ def pieces_of(words: Words, seed: int, window: int) -> Pieces:
     return Pieces(low[at[begin]], begin, n, text[begin])
 
 
+def once_each(words: Words, found: Pieces, window: int) -> tuple[Pieces, np.ndarray]:
+    """One piece of each different content of a text, and the words (flags) that equal pieces of one text cover.
+
+    A text that says the same over and over has a piece at every word; these
+    repeat whatever other texts hold, and one of them stands for all.
+    """
+    length = found.n + window - 1
+    content = span_hash(words.hashes, found.starts, length)
+    _, first, which, times = np.unique(
+        mix(content ^ mix(found.text.astype(np.uint64))), return_index=True, return_inverse=True, return_counts=True
+    )
+    again = times[which] > 1
+    edge = np.zeros(len(words.hashes) + 1, np.int64)
+    np.add.at(edge, found.starts[again], 1)
+    np.add.at(edge, (found.starts + length)[again], -1)
+    keep = np.sort(first)
+    return Pieces(found.keys[keep], found.starts[keep], found.n[keep], found.text[keep]), np.cumsum(edge[:-1]) > 0
+
+
+def _flag_spans(words: Words, flags: np.ndarray) -> pa.Array:
+    """For each text, the runs of flagged words as ``begin, stop``."""
+    head = np.zeros(len(flags) + 1, bool)
+    head[words.first] = True
+    before = np.concatenate([[False], flags[:-1]]) if len(flags) else flags
+    begin = np.flatnonzero(flags & (~before | head[:-1]))
+    after = np.concatenate([flags[1:], [False]]) if len(flags) else flags
+    stop = np.flatnonzero(flags & (~after | head[1:])) + 1
+    text = np.searchsorted(words.first, begin, "right") - 1
+    spans = pa.StructArray.from_arrays(
+        [pa.array((x - words.first[text]).astype(np.int32)) for x in (begin, stop)], ["begin", "stop"]
+    )
+    edges = np.searchsorted(text, np.arange(len(words.counts) + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(edges), spans)
+
+
 def _scan(seed: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             words = words_of(part.column("text"))
-            found = pieces_of(words, seed, window)
+            found, own = once_each(words, pieces_of(words, seed, window), window)
             digests = []
             for text in part.column("text").to_pylist():
                 digests.append(hashlib.sha256(b" ".join((text or "").encode().split())).hexdigest())
@@ -95,8 +131,9 @@ def _scan(seed: int, window: int):
                     pa.array(words.counts.astype(np.int64)),
                     pa.array(digests),
                     pa.ListArray.from_arrays(pa.array(edges), rows),
+                    _flag_spans(words, own),
                 ],
-                ["doc_id", "text_hash", "n_words", "whole_sha256", "pieces"],
+                ["doc_id", "text_hash", "n_words", "whole_sha256", "pieces", "own"],
             )
 
     return run
@@ -281,17 +318,20 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> Rep
     scanned = scratch.save(
         text.mapInArrow(
             _scan(min(seed, window), window),
-            f"doc_id long, text_hash long, n_words long, whole_sha256 string, pieces array<{PIECE}>",
+            f"doc_id long, text_hash long, n_words long, whole_sha256 string, pieces array<{PIECE}>, own {OWN}",
         ),
         "scanned",
     )
     pieces = scanned.select("doc_id", "text_hash", F.inline("pieces"))
     sizes = pieces.groupBy("key").agg(F.count("*").cast("int").alias("members")).filter("members > 1")
-    of_text = F.collect_set(F.struct("start", "n", "key", "members")).alias("pieces")
-    shared = scratch.save(pieces.join(sizes, "key").groupBy("doc_id", "text_hash").agg(of_text), "shared")
+    row = F.struct("start", "n", "key", "members")
+    found = pieces.join(sizes, "key").select("doc_id", "text_hash", row.alias("piece"))
+    alone = scanned.filter(F.size("own") > 0).select("doc_id", "text_hash", F.lit(None).alias("piece"))
+    of_text = F.collect_set("piece").alias("pieces")  # leaves out null
+    shared = scratch.save(found.union(alone).groupBy("doc_id", "text_hash").agg(of_text), "shared")
     same = text.doc_id.eqNullSafe(shared.doc_id) & (text.text_hash == shared.text_hash)
     texts = scratch.save(
-        text.join(shared, same).select(text.doc_id, text.text_hash, "text", "pieces"), "texts"
+        text.join(texts_of(shared), same).select(text.doc_id, text.text_hash, "text", "pieces"), "texts"
     )
 
     def pieces_where(condition) -> DataFrame:
@@ -304,11 +344,12 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> Rep
     if not crowded.isEmpty():
         for more in _crowded(scratch, pieces_where(lambda p: p["members"] > GROUP), window):
             spans = spans.union(more)
+    spans = spans.union(scanned.select("doc_id", "text_hash", F.inline("own")))
     by_text = spans.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("begin", "stop")).alias("spans"))
     one = texts.select("doc_id", "text_hash", "text")
     match = one.doc_id.eqNullSafe(by_text.doc_id) & (one.text_hash == by_text.text_hash)
-    marked = one.join(by_text, match).select(one.doc_id, one.text_hash, "text", "spans")
-    return Repeats(scanned.drop("pieces"), marked)
+    marked = one.join(texts_of(by_text), match).select(one.doc_id, one.text_hash, "text", "spans")
+    return Repeats(scanned.drop("pieces", "own"), marked)
 
 
 def covered(n: int, spans: list[dict]) -> np.ndarray:
