@@ -1,7 +1,7 @@
 """Words of whole texts as numpy columns: positions, 64-bit hashes, shingle hashes.
 
 A word is ``[^\\x20\\x09-\\x0D]+`` over the UTF-8 bytes of a text. All texts of a
-slice are handled at once; a slice holds a few megabytes (or one longer text),
+slice are handled at once; a slice holds about a megabyte (or one longer text),
 so a task's memory does not depend on its input.
 """
 
@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1_500_000
+SLICE_BYTES = 1_000_000
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
