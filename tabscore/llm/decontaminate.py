@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabscore.llm.tables import Scratch, small
+from tabscore.llm.tables import Scratch, small, texts_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -114,7 +114,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     touched = scratch.save(touched, "touched")
 
     same = text.doc_id.eqNullSafe(touched.doc_id) & (text.text_hash == touched.text_hash)
-    found = text.join(touched, same).select(text.doc_id, text.text_hash, "windows", *[
+    found = text.join(texts_of(touched), same).select(text.doc_id, text.text_hash, "windows", *[
         shingles(word_list(), k).alias(f"s{k}") for k in sizes
     ])
     found = scratch.save(found.dropDuplicates(["doc_id", "text_hash"]), "found")
