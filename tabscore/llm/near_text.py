@@ -26,9 +26,10 @@ TOKENS = 128  # minwise tokens of a document
 TREES = 10
 DEPTH = 6
 NODE = 48  # a node of so many documents at most is compared exhaustively
+BLOCK = 500  # sets of a block of a node that stays larger, about; its blocks are compared in pairs
+BLOCK_SHINGLES = 500_000  # and the shingles of a block, about
 # A sketch estimates the similarity with a deviation of 0.032 near 0.85; pairs 4.5 deviations below are not confirmed.
 SLACK = 0.145
-SURE = 0.07  # so far above the threshold an estimate is taken for a link
 
 _SEEDS = mix(np.arange(1, TOKENS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
@@ -131,6 +132,24 @@ def runs(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[pa.Table]:
         yield rest.combine_chunks()
 
 
+def find(root: np.ndarray) -> np.ndarray:
+    while True:
+        up = root[root]
+        if (up == root).all():
+            return root
+        root = up
+
+
+def union(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Join the trees of linked nodes, in place, until every link is inside one."""
+    while len(i):
+        root[:] = find(root)
+        x, y = root[i], root[j]
+        apart = x != y
+        i, j, x, y = i[apart], j[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+
+
 def _compare(least: float):
     """Pairs of documents of one node whose estimated similarity is at least ``least``."""
 
@@ -177,16 +196,16 @@ def _nearest_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         )
 
 
-def candidates(scratch: Scratch, sets: DataFrame, least: float, sure: float) -> DataFrame:
-    """``a, b``: pairs of different sets that meet in a small node of some tree with similar sketches.
+def candidates(scratch: Scratch, sets: DataFrame, least: float) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs ``a, b`` of different sets that meet in a small node of some tree with similar sketches,
+    and ``node, key, size`` of the nodes that are large at every depth, if there are any.
 
-    A node that is large at every depth holds documents that share all tokens
-    chosen so far. They are compared with pivots of the node; those not surely
-    like a pivot meet others in parts of the node, so no task gets the whole node.
+    The documents of such a node share all tokens chosen so far. Each is paired with the
+    nearest of four pivots here, which brings most copies of one text together;
+    ``crowd_links`` compares what is still apart.
     """
-    reps = scratch.save(
-        sets.filter("key is not null").groupBy("key").agg(F.first("tokens").alias("tokens")), "reps"
-    )
+    reps = sets.filter("key is not null").groupBy("key").agg(F.first("tokens").alias("tokens"), F.first("n_shingles").alias("size"))
+    reps = scratch.save(reps, "reps")
     open_ = scratch.save(
         reps.mapInArrow(_paths, "key binary, " + ", ".join(f"p{d} long" for d in range(1, DEPTH + 1))), "paths-0"
     )
@@ -201,13 +220,12 @@ def candidates(scratch: Scratch, sets: DataFrame, least: float, sure: float) ->
         open_ = kept.filter(f"n > {NODE}").drop("n")
         if open_.isEmpty():
             break
-    sketches = reps.select("key", F.concat(*[F.substring("tokens", 4 * i + 1, 1) for i in range(TOKENS)]).alias("sketch"))
-    sketches = scratch.save(sketches, "sketches")
-    pairs = []
+    sketch = F.concat(*[F.substring("tokens", 4 * i + 1, 1) for i in range(TOKENS)]).alias("sketch")
+    sketches = scratch.save(reps.select("key", "size", sketch), "sketches")
+    pairs, dense = [], None
     if depth == DEPTH and not open_.isEmpty():
         dense = open_.select(F.col(node).alias("node"), "key").join(sketches, "key")
         pivots = dense.groupBy("node").agg(
-            F.count("*").alias("n"),
             F.struct(
                 *[
                     F.min(F.struct(F.xxhash64("key", "node", F.lit(s)).alias("h"), "key", "sketch")).alias(f"v{s}")
@@ -216,26 +234,109 @@ def candidates(scratch: Scratch, sets: DataFrame, least: float, sure: float) ->
             ).alias("pivots"),
         )
         pivots = scratch.save(pivots, "pivots")
-        met = scratch.save(
-            dense.join(small(pivots.drop("n"), 2_000), "node").mapInArrow(
-                _nearest_pivot, "node long, key binary, pivot binary, near double"
-            ),
-            "met",
+        met = dense.join(small(pivots, 2_000), "node").mapInArrow(
+            _nearest_pivot, "node long, key binary, pivot binary, near double"
         )
         pairs.append(met.filter(F.col("near") >= least).select(F.col("key").alias("a"), F.col("pivot").alias("b")))
-        parts = F.ceil(F.col("n") / NODE)
-        unsure = met.filter(F.col("near") < sure).groupBy("node").agg(F.count("*").alias("n"))
-        leaves.append(
-            met.filter(F.col("near") < sure)
-            .join(small(unsure), "node")
-            .select(F.xxhash64("node", F.pmod(F.xxhash64("key", "node"), parts)).alias("node"), "key")
-        )
-    rows = reduce(DataFrame.union, leaves).join(sketches, "key")
+        dense = scratch.save(dense.select("node", "key", "size"), "dense")
+    rows = reduce(DataFrame.union, leaves).join(sketches.drop("size"), "key")
     pairs.append(
         rows.repartition("node").sortWithinPartitions("node").mapInArrow(_compare(least), "a binary, b binary")
     )
     every = reduce(DataFrame.union, pairs).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return scratch.save(every.filter("a <> b").distinct(), "pairs")
+    return scratch.save(every.filter("a <> b").distinct(), "pairs"), dense
+
+
+def shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """The number of shingles that each set of ``left`` shares with each of ``right``, exactly."""
+    sets = [*left, *right]
+    _, ids, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    again = times > 1  # a shingle of one set is shared by none
+    ids, owner = (np.cumsum(again) - 1)[ids[again[ids]]], owner[again[ids]]
+    order = np.argsort(ids, kind="stable")
+    ids, owner = ids[order], owner[order]
+    both, step = np.zeros((len(left), len(right))), max(1, 4_000_000 // len(sets))
+    for begin in range(0, int(again.sum()), step):
+        some = slice(*np.searchsorted(ids, [begin, begin + step]))
+        has = np.zeros((len(sets), step), np.float32)
+        has[owner[some], ids[some] - begin] = 1
+        both += has[: len(left)] @ has[len(left) :].T
+    return both
+
+
+def _block_links(percent: int):
+    """Each linked set of a pair of blocks with its root in the forest of links there.
+
+    ``side`` is -1 for the sets of the first block, 1 for those of the second, 0 for a block with itself.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, "pair"):
+            pair, side = table.column("pair").to_numpy(), table.column("side").to_numpy()
+            keys, members = table.column("key"), table.column("members")
+            edges = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1], [True]]))
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                left, right = np.flatnonzero(side[a:b] <= 0), np.flatnonzero(side[a:b] >= 0)
+                if not len(left) or not len(right):
+                    continue
+                sets = [np.frombuffer(x, np.uint64) for x in members.slice(a, b - a).to_pylist()]
+                n = np.array([len(x) for x in sets])
+                both = shared([sets[i] for i in left], [sets[j] for j in right])
+                i, j = np.nonzero(100 * both >= percent * (n[left][:, None] + n[right][None, :] - both))
+                root = np.arange(b - a)
+                union(root, left[i], right[j])
+                root = find(root)
+                hit = np.flatnonzero(root != np.arange(b - a))
+                own = pa.array(keys.slice(a, b - a).to_pylist(), pa.binary())
+                yield pa.RecordBatch.from_arrays([own.take(pa.array(hit)), own.take(pa.array(root[hit]))], ["a", "b"])
+
+    return run
+
+
+def crowd_links(scratch: Scratch, dense: DataFrame, roots: DataFrame, members: DataFrame, percent: int) -> DataFrame | None:
+    """``a, b``: links that join what confirmed links left apart in large nodes; None where nothing is apart.
+
+    Sets of a node's largest component are not compared with each other. All others are
+    compared with each other and with the largest component, block by block on the full sets.
+    """
+    named = dense.join(roots.select(F.col("node").alias("key"), "root"), "key", "left")
+    named = scratch.save(named.withColumn("root", F.coalesce("root", "key")), "crowds")
+    groups = named.groupBy("node", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    nodes = groups.groupBy("node").agg(
+        F.sum("n").alias("n"), F.sum("size").alias("size"), F.max(F.struct("n", "root", "size")).alias("top")
+    )
+
+    def blocks(n, size):
+        return F.ceil(F.greatest(n / BLOCK, size / BLOCK_SHINGLES)).cast("int")
+
+    nodes = nodes.filter("n > top.n").select(
+        "node",
+        F.col("top.root").alias("top"),
+        blocks(F.col("n") - F.col("top.n"), F.col("size") - F.col("top.size")).alias("others"),
+        blocks(F.col("top.n"), F.col("top.size")).alias("tops"),
+    )
+    nodes = scratch.save(nodes, "apart-nodes")
+    if nodes.isEmpty():
+        return None
+    in_top = F.col("root") == F.col("top")
+    rows = named.join(small(nodes), "node").withColumn("in_top", in_top)
+    at = F.pmod(F.xxhash64("key", F.lit(5)), F.when(F.col("in_top"), F.col("tops")).otherwise(F.col("others"))).cast("int")
+    rows = rows.withColumn("at", at)
+
+    def up_to(count: str):
+        return F.sequence(F.lit(0), F.col(count) - 1)
+
+    def pair(kind: int, i, j, side):
+        return F.struct(F.xxhash64("node", F.lit(kind), i, j).alias("pair"), side.cast("int").alias("side"))
+
+    own = F.col("at")
+    with_others = F.transform(up_to("others"), lambda j: pair(0, F.least(own, j), F.greatest(own, j), F.signum(own - j)))
+    with_tops = F.transform(up_to("tops"), lambda j: pair(1, own, j, F.lit(-1)))
+    as_top = F.transform(up_to("others"), lambda i: pair(1, i, own, F.lit(1)))
+    pairs = F.when(F.col("in_top"), as_top).otherwise(F.concat(with_others, with_tops))
+    met = rows.select("key", F.inline(pairs)).join(members, "key").repartition("pair").sortWithinPartitions("pair")
+    return scratch.save(met.mapInArrow(_block_links(percent), "a binary, b binary"), "crowd-links")
 
 
 def _full_sets(k: int):
@@ -285,10 +386,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         ),
         "sets",
     )
-    found = candidates(scratch, sets, percent / 100 - SLACK, percent / 100 + SURE)
+    found, dense = candidates(scratch, sets, percent / 100 - SLACK)
     rows = sets.select("doc_id", "text_hash", "n_shingles", "key")
-    wanted = found.select(F.col("a").alias("key")).union(found.select(F.col("b").alias("key"))).distinct()
-    one = rows.join(wanted, "key").groupBy("key").agg(F.min(F.struct("doc_id", "text_hash")).alias("r"))
+    wanted = found.select(F.col("a").alias("key")).union(found.select(F.col("b").alias("key")))
+    if dense is not None:
+        wanted = wanted.union(dense.select("key"))
+    one = rows.join(wanted.distinct(), "key").groupBy("key").agg(F.min(F.struct("doc_id", "text_hash")).alias("r"))
     one = scratch.save(one.select("r.doc_id", "r.text_hash").distinct(), "wanted")
     match = text.doc_id.eqNullSafe(one.doc_id) & (text.text_hash == one.text_hash)
     members = text.join(texts_of(one), match, "left_semi").mapInArrow(_full_sets(shingle), "key binary, members binary")
@@ -306,7 +409,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     sides = sides.join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
     apart = sides.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
     more = scratch.save(confirm(apart), "more")
-    roots = components(scratch, first.union(more), "links")
+    links = first.union(more)
+    roots = components(scratch, links, "links")
+    if dense is not None:
+        roots = scratch.save(roots, "roots")
+        crowd = crowd_links(scratch, dense, roots, members, percent)
+        if crowd is not None:
+            roots = components(scratch, links.union(crowd), "all-links")
 
     rooted = rows.join(roots, rows.key == roots.node, "left").select(
         "doc_id", "text_hash", "n_shingles", F.coalesce("root", "key").alias("root")

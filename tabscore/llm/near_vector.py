@@ -21,7 +21,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabscore.llm.near_text import runs
+from tabscore.llm.near_text import find, runs, union
 from tabscore.llm.tables import Scratch, components
 
 THRESHOLD = 0.95
@@ -97,24 +97,6 @@ def _assign(centres: np.ndarray, reach: float):
     return run
 
 
-def _find(root: np.ndarray) -> np.ndarray:
-    while True:
-        up = root[root]
-        if (up == root).all():
-            return root
-        root = up
-
-
-def _union(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
-    """Join the trees of linked vectors, in place, until every link is inside one."""
-    while len(i):
-        root[:] = _find(root)
-        x, y = root[i], root[j]
-        apart = x != y
-        i, j, x, y = i[apart], j[apart], x[apart], y[apart]
-        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
-
-
 def _block_links(threshold: float, dim: int):
     """Cosines of block pairs: each vector's number of links there, and its root in the forest of links.
 
@@ -146,8 +128,8 @@ def _block_links(threshold: float, dim: int):
                     if not itself:
                         degree[right] += n[a + some] @ linked
                     i, j = np.nonzero(linked)
-                    _union(root, some[i], right[j])
-                top = _find(root)
+                    union(root, some[i], right[j])
+                top = find(root)
                 hit = np.flatnonzero(degree > 0)
                 yield pa.RecordBatch.from_arrays(
                     [copy.take(pa.array(a + hit)), copy.take(pa.array(a + top[hit])), pa.array(degree[hit])],

@@ -1,3 +1,4 @@
+import random
 from itertools import combinations
 
 import pytest
@@ -55,3 +56,27 @@ def test_one_representative_for_each_component(spark):
 
 def test_an_empty_table(spark):
     assert near_text.near_duplicates(documents(spark, [])).count() == 0
+
+
+def altered(rng, text, n, tag):
+    """A text with ``n`` of its words replaced by new ones, none beside another."""
+    for i, at in enumerate(rng.sample(range(1, len(text) // 4), n)):
+        text = [*text[: 4 * at], f"{tag}x{i}", *text[4 * at + 1 :]]
+    return text
+
+
+def test_links_inside_a_crowd_just_below_the_threshold(spark, monkeypatch):
+    """Pages of one template, at 0.75 to 0.83 to each other, that hold pairs and chains just over 0.85."""
+    monkeypatch.setattr(near_text, "DEPTH", 2)
+    rng = random.Random(2)
+    template = [f"t{i}" for i in range(200)]
+    pages = [altered(rng, template, 4, f"p{i}") for i in range(300)]
+    for i in range(60):
+        pages.append(altered(rng, pages[i], 5, f"c{i}"))
+    for i in range(60, 90):  # base - light copy - heavier copy
+        light = altered(rng, pages[i], 2, f"l{i}")
+        pages += [light, altered(rng, light, 5, f"h{i}")]
+    rows = [(i, " ".join(p), "en", "s0", 1) for i, p in enumerate(pages)]
+    want = brute(rows, 3, 85)
+    assert 150 < len({c for _, _, c in want}) < 300
+    assert found(near_text.near_duplicates(documents(spark, rows), 3, 85)) == want
