@@ -11,6 +11,7 @@ Pagh and Sivertsen, "Scalable and robust set similarity join", 2018.)
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -23,8 +24,9 @@ from tabscore.llm.tables import Scratch, components, small, texts_of
 from tabscore.llm.words import mix, sequence_hash, slices, words_of
 
 TOKENS = 128  # minwise tokens of a document
-TREES = 10
+SHALLOW = 3  # documents whose nodes are still large at this depth get more trees
 DEPTH = 6
+MISS = 1e-4  # a pair at the threshold is missed so often at most, for nodes that close at SHALLOW or at DEPTH
 NODE = 48  # a node of so many documents at most is compared exhaustively
 BLOCK = 500  # sets of a block of a node that stays larger, about; its blocks are compared in pairs
 BLOCK_SHINGLES = 500_000  # and the shingles of a block, about
@@ -34,6 +36,26 @@ SLACK = 0.145
 _SEEDS = mix(np.arange(1, TOKENS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
 
+def miss_rate(similarity: float, depth: int, trees: int) -> float:
+    """How often no tree puts a pair of sets into one node at a depth.
+
+    Trees draw from the same ``TOKENS`` tokens, so they are independent only for a
+    given number of equal tokens, which is binomial.
+    """
+    equal = np.arange(TOKENS + 1)
+    ways = np.array([math.comb(TOKENS, m) for m in equal], float)
+    chance = ways * similarity**equal * (1 - similarity) ** (TOKENS - equal)
+    return float(chance @ (1 - (equal / TOKENS) ** depth) ** trees)
+
+
+def trees_for(similarity: float, depth: int) -> int:
+    """The number of trees that keeps ``miss_rate`` within ``MISS``."""
+    trees = 1
+    while miss_rate(similarity, depth, trees) > MISS:
+        trees += 1
+    return trees
+
+
 def shingle_sets(batch: pa.RecordBatch, k: int) -> list[np.ndarray]:
     """The sorted distinct k-word shingles of each text; with fewer words, all of them as one."""
     words = words_of(batch.column("text"), lower=True)
@@ -87,23 +109,27 @@ def _sets(k: int):
     return run
 
 
-def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _paths(trees: range):
     """For each document and tree, its node at each depth; a node's path picks the next token."""
-    for batch in batches:
-        if not len(batch):
-            continue
-        tokens = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), np.uint32).reshape(-1, TOKENS)
-        rows = np.arange(len(tokens))
-        for tree in range(TREES):
-            path = np.full(len(tokens), mix(np.array([tree + 1], np.uint64))[0])
-            nodes = []
-            for _ in range(DEPTH):
-                chosen = (path % np.uint64(TOKENS)).astype(np.int64)
-                path = mix(path ^ mix(tokens[rows, chosen].astype(np.uint64) + (chosen.astype(np.uint64) << np.uint64(32))))
-                nodes.append(pa.array(path.view(np.int64)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), *nodes], ["key", *[f"p{d}" for d in range(1, DEPTH + 1)]]
-            )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            tokens = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), np.uint32).reshape(-1, TOKENS)
+            rows = np.arange(len(tokens))
+            for tree in trees:
+                path = np.full(len(tokens), mix(np.array([tree + 1], np.uint64))[0])
+                nodes = []
+                for _ in range(DEPTH):
+                    chosen = (path % np.uint64(TOKENS)).astype(np.int64)
+                    path = mix(path ^ mix(tokens[rows, chosen].astype(np.uint64) + (chosen.astype(np.uint64) << np.uint64(32))))
+                    nodes.append(pa.array(path.view(np.int64)))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("key"), *nodes], ["key", *[f"p{d}" for d in range(1, DEPTH + 1)]]
+                )
+
+    return run
 
 
 def _sketch_matrix(column: pa.Array) -> np.ndarray:
@@ -196,35 +222,54 @@ def _nearest_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         )
 
 
-def candidates(scratch: Scratch, sets: DataFrame, least: float) -> tuple[DataFrame, DataFrame | None]:
+def _grow(scratch: Scratch, reps: DataFrame, trees: range, name: str) -> tuple[list[DataFrame], DataFrame | None, DataFrame | None]:
+    """``node, key`` of the small nodes of each depth; the keys in large nodes at ``SHALLOW``; ``node, key`` of those at ``DEPTH``."""
+    schema = "key binary, " + ", ".join(f"p{d} long" for d in range(1, DEPTH + 1))
+    open_ = scratch.save(reps.select("key", "tokens").mapInArrow(_paths(trees), schema), f"{name}-0")
+    leaves, deep = [], None
+    for depth in range(1, DEPTH + 1):
+        node = f"p{depth}"
+        sizes = open_.groupBy(node).agg(F.count("*").alias("n")).filter("n > 1")
+        kept = scratch.save(open_.drop(*[f"p{d}" for d in range(1, depth)]).join(sizes, node), f"{name}-{depth}")
+        if depth == 1:
+            scratch.drop(f"{name}-0")
+        leaves.append(kept.filter(f"n <= {NODE}").select(F.col(node).alias("node"), "key"))
+        open_ = kept.filter(f"n > {NODE}").drop("n")
+        if open_.isEmpty():
+            return leaves, deep, None
+        if depth == SHALLOW:
+            deep = open_.select("key").distinct()
+    return leaves, deep, open_.select(F.col(node).alias("node"), "key")
+
+
+def candidates(scratch: Scratch, sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame | None]:
     """Pairs ``a, b`` of different sets that meet in a small node of some tree with similar sketches,
     and ``node, key, size`` of the nodes that are large at every depth, if there are any.
 
     The documents of such a node share all tokens chosen so far. Each is paired with the
     nearest of four pivots here, which brings most copies of one text together;
     ``crowd_links`` compares what is still apart.
+
+    The first trees are as many as ``SHALLOW`` asks for. A pair that they put into one node there either
+    meets in it, or both its documents are in a node that goes on branching: those
+    get the other trees that ``DEPTH`` asks for.
     """
+    least = threshold - SLACK
     reps = sets.filter("key is not null").groupBy("key").agg(F.first("tokens").alias("tokens"), F.first("n_shingles").alias("size"))
     reps = scratch.save(reps, "reps")
-    open_ = scratch.save(
-        reps.mapInArrow(_paths, "key binary, " + ", ".join(f"p{d} long" for d in range(1, DEPTH + 1))), "paths-0"
-    )
-    leaves = []
-    for depth in range(1, DEPTH + 1):
-        node = f"p{depth}"
-        sizes = open_.groupBy(node).agg(F.count("*").alias("n")).filter("n > 1")
-        kept = scratch.save(open_.drop(*[f"p{d}" for d in range(1, depth)]).join(sizes, node), f"paths-{depth}")
-        if depth == 1:
-            scratch.drop("paths-0")
-        leaves.append(kept.filter(f"n <= {NODE}").select(F.col(node).alias("node"), "key"))
-        open_ = kept.filter(f"n > {NODE}").drop("n")
-        if open_.isEmpty():
-            break
+    first, last = trees_for(threshold, min(SHALLOW, DEPTH)), trees_for(threshold, DEPTH)
+    leaves, deep, crowded = _grow(scratch, reps, range(first), "paths")
+    if deep is not None and first < last:
+        deep = reps.join(scratch.save(deep, "deep"), "key", "left_semi")
+        more, _, more_crowded = _grow(scratch, deep, range(first, last), "more-paths")
+        leaves += more
+        if more_crowded is not None:
+            crowded = more_crowded if crowded is None else crowded.union(more_crowded)
     sketch = F.concat(*[F.substring("tokens", 4 * i + 1, 1) for i in range(TOKENS)]).alias("sketch")
     sketches = scratch.save(reps.select("key", "size", sketch), "sketches")
     pairs, dense = [], None
-    if depth == DEPTH and not open_.isEmpty():
-        dense = open_.select(F.col(node).alias("node"), "key").join(sketches, "key")
+    if crowded is not None:
+        dense = crowded.join(sketches, "key")
         pivots = dense.groupBy("node").agg(
             F.struct(
                 *[
@@ -374,9 +419,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     component, those with the smallest doc_id, then text_hash, are its representative
     (more than one only where both repeat); a row with an empty set represents itself.
 
-    Recall: a pair of similarity s shares a tree's node at depth d with
-    probability s**d, so at the threshold 0.85 ten trees miss a pair that needs
-    depth 3 with probability 0.00007, and fewer pairs above it.
+    Recall: a pair of which a share m of the ``TOKENS`` tokens is equal shares a tree's node
+    at depth d with probability m**d. The number of trees follows from the threshold so
+    that a pair at it is missed with probability 0.0001 at most (``miss_rate``) where
+    nodes close at depth 3, and with 0.0002 at most where they close deeper.
     """
     scratch = Scratch(docs.sparkSession, "near-text")
     text = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
@@ -386,7 +432,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         ),
         "sets",
     )
-    found, dense = candidates(scratch, sets, percent / 100 - SLACK)
+    found, dense = candidates(scratch, sets, percent / 100)
     rows = sets.select("doc_id", "text_hash", "n_shingles", "key")
     wanted = found.select(F.col("a").alias("key")).union(found.select(F.col("b").alias("key")))
     if dense is not None:

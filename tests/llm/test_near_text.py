@@ -80,3 +80,21 @@ def test_links_inside_a_crowd_just_below_the_threshold(spark, monkeypatch):
     want = brute(rows, 3, 85)
     assert 150 < len({c for _, _, c in want}) < 300
     assert found(near_text.near_duplicates(documents(spark, rows), 3, 85)) == want
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_trees_hold_pairs_at_the_threshold_at_every_depth(spark, monkeypatch, percent):
+    """Pairs just over the threshold that meet nowhere above the last depth, as no node of two is small."""
+    monkeypatch.setattr(near_text, "NODE", 1)
+    rng = random.Random(percent)
+    n = 1
+    while 100 * (198 - 3 * n - 3) >= percent * (198 + 3 * n + 3):
+        n += 1
+    pages = []
+    for i in range(150):
+        page = [f"p{i}w{j}" for j in range(200)]
+        pages += [page, altered(rng, page, n, f"c{i}")]
+    rows = [(i, " ".join(p), "en", "s0", 1) for i, p in enumerate(pages)]
+    want = brute(rows, 3, percent)
+    assert len({c for _, _, c in want}) == 150
+    assert found(near_text.near_duplicates(documents(spark, rows), 3, percent)) == want
