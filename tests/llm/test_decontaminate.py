@@ -86,3 +86,18 @@ def test_the_blocks_hold_every_fingerprint_within_the_radius(spark, flips):
     a = df.select("i", F.col("x").alias("fingerprint")).select("i", F.inline(decontaminate.block_values(True)))
     b = df.select("i", F.col("y").alias("fingerprint")).select("i", F.inline(decontaminate.block_values(False)))
     assert a.join(b, ["i", "block", "value"]).select("i").distinct().count() == 60
+
+
+def test_windows_whose_altered_part_repeats_one_shingle(spark):
+    """At 0.8 by weight, but many bits apart: the run of one word counts often in each bit."""
+    rng = random.Random(8)
+    items = [(i, prose(rng, 200, 3000)) for i in range(16)]
+    rows = []
+    for i, text in items:
+        near = text.split()[:-21] + ["again"] * 21
+        rows.append((i, f"{prose(rng, 10, 3000)} {' '.join(near)} {prose(rng, 10, 3000)}", "en", "s", 1))
+    want = brute(items, rows, 0.8)
+    assert len(want) == 16
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.find_leaks(documents(spark, rows), benchmark).collect()}
+    assert got == pytest.approx(want)
