@@ -16,11 +16,12 @@ from tabscore.llm import (
     near_text,
     near_vector,
     packing,
+    periods,
     sharding,
     substring,
     url_lists,
 )
-from tabscore.llm.tables import documents
+from tabscore.llm.tables import crc, documents
 from tabscore.llm.tokens import tokenizer_path
 from tabscore.sources.scratch import scratch_path
 
@@ -157,6 +158,42 @@ def op10_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.drop("text_hash")
 
 
+def with_periods(docs: DataFrame) -> DataFrame:
+    """Documents in a tenth of which the words from one on repeat a few of them; the others as they are."""
+    words = F.filter(F.split("text", "[ \\t-\\r]+"), lambda w: w != "")
+    rows = docs.select("doc_id", "text", crc().alias("__h"))
+    rows = rows.withColumn("__w", F.when((F.col("__h") % 10 == 0) & F.col("text").isNotNull(), words))
+    n, g = F.size("__w").cast("long"), F.floor(F.col("__h") / 10)
+    a = F.when(n > 0, F.pmod(g, F.when(n > 0, n)))
+    rows = rows.withColumns({"__a": a.cast("int"), "__p": (1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))).cast("int")})
+    left = (F.size("__w") - F.col("__a")).cast("int")
+    unit = F.slice("__w", F.col("__a") + 1, F.col("__p"))
+    again = F.slice(F.flatten(F.array_repeat(unit, F.ceil(left / F.col("__p")).cast("int"))), F.lit(1), left)
+    text = F.array_join(F.concat(F.slice("__w", F.lit(1), F.col("__a")), again), " ")
+    return rows.select("doc_id", F.when(F.col("__a").isNotNull(), text).otherwise(F.col("text")).alias("text"))
+
+
+def runs_report(docs: DataFrame) -> DataFrame:
+    """The number of runs of each document, its longest one, and digests of all runs and of the collapsed text."""
+    found = periods.find_runs(docs).withColumn("top", periods.longest_run())
+    length = -F.col("top.length")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("top.start").alias("start"),
+        length.alias("length"),
+        F.col("top.period").alias("period"),
+        F.floor(length * 1000 / F.col("top.period")).alias("exponent_milli"),
+        "runs_sha256",
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+@query
+def op12_square_catchers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs_report(with_periods(documents(spark, sf_dir)))
+
+
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The given turns, and a conversation whose texts are control strings."""
     hard = [(-7, i, role, "</s>[INST] ok [/INST]") for i, role in enumerate(("user", "assistant"))]
