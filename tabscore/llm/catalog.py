@@ -20,6 +20,7 @@ from tabscore.llm import (
     sharding,
     substring,
     url_lists,
+    whitening,
 )
 from tabscore.llm.tables import crc, documents
 from tabscore.llm.tokens import tokenizer_path
@@ -158,6 +159,11 @@ def op10_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.drop("text_hash")
 
 
+@query
+def op11_chebyshev_subspace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.by_component(whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
 def with_periods(docs: DataFrame) -> DataFrame:
     """Documents in a tenth of which the words from one on repeat a few of them; the others as they are."""
     words = F.filter(F.split("text", "[ \\t-\\r]+"), lambda w: w != "")

@@ -22,6 +22,7 @@ COLUMNS = {
     8: ["page_id", "url", "fetched_on", "host", "blocked"],
     9: ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"],
     10: ["doc_id", "item_id"],
+    11: ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"],
     12: ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"],
     13: ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
 }
