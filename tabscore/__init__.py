@@ -26,8 +26,9 @@ from tabscore.models.gbt import (
     staged_scores,
     watchlist,
 )
-from tabscore.models.grid import gbt_grid, grid_search, refit
+from tabscore.models.grid import gbt_grid, grid_search, net_grid, refit
 from tabscore.models.mlp import mlp, mlp_early_stop
+from tabscore.models.net import NetSettings, NetTrainer, net, net_importance, net_model, train_net
 from tabscore.models.rotation import rotation_forest
 from tabscore.models.score import score, score_many
 from tabscore.models.store import load_model, save_model

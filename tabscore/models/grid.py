@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabscore.models.gbt import gbt, staged_auc
+from tabscore.models.net import NetSettings, NetState, NetTrainer, scored_rows, with_options
 from tabscore.models.score import score_many
-from tabscore.operators.metrics import auc
+from tabscore.operators.metrics import auc, stop_round
 from tabscore.operators.reshape import to_long
 from tabscore.sources.scratch import materialize
 
@@ -130,3 +131,83 @@ def gbt_grid(
 def refit(make: Callable[..., PipelineModel], params: dict, df: DataFrame) -> PipelineModel:
     """Fit the chosen setting on other rows (all of them, for the final model)."""
     return make(df, **params)
+
+
+STOPPING = ("epochs", "stopping_rounds", "stopping_tolerance")
+
+
+def net_grid(
+    train: DataFrame,
+    valid: DataFrame,
+    cols: list[str],
+    grid: dict[str, Iterable],
+    label: str = "target",
+    key: str = "id",
+    epochs: int = 10,
+    stopping_rounds: int = 5,
+    stopping_tolerance: float = 1e-3,
+    tasks: int | None = None,
+    seed: int = 2016,
+) -> tuple[DataFrame, DataFrame, dict[str, tuple[NetSettings, NetState]]]:
+    """Nets that train side by side and stop by their own rules: results, history, best nets.
+
+    ``grid`` names fields of ``NetSettings`` and, if wanted, ``epochs``,
+    ``stopping_rounds`` and ``stopping_tolerance``. Settings that differ in these three only
+    are one net, judged by several rules. Every pass over the training rows is one
+    epoch of all nets of a batch that no rule has closed for good; one scan and one
+    grouped job then measure their AUC on ``valid``.
+
+    Results: ``model_id, <settings>, net_id, rounds, best_round, auc, early``, one row for each setting:
+    the epochs it ran, and the best AUC among them. History: ``net_id, round, metric``, which
+    ``early_stop`` reads. The third value has each setting's net at its best round.
+    """
+    if valid.select(label).distinct().count() < 2:
+        raise ValueError("the validation rows hold one class only, so they have no AUC")
+    settings = expand_grid(grid)
+    rules = [
+        (int(s.get("epochs", epochs)), int(s.get("stopping_rounds", stopping_rounds)), s.get("stopping_tolerance", stopping_tolerance))
+        for s in settings
+    ]
+    base = NetSettings(seed=seed)
+    nets: dict[NetSettings, list[int]] = {}
+    for i, s in enumerate(settings):
+        nets.setdefault(with_options(base, {k: v for k, v in s.items() if k not in STOPPING}), []).append(i)
+    names = {own: f"net_{n}" for n, own in enumerate(nets, 1)}
+    history: dict[NetSettings, list[float]] = {own: [] for own in nets}
+    ran: dict[int, tuple[int, bool]] = {}
+    best: dict[int, tuple[float, int, NetState]] = {}
+    trainer = NetTrainer(train, list(cols), label, key, seed, tasks)
+    everything = list(nets)
+    for start in range(0, len(everything), SCORED_TOGETHER):
+        states = {own: NetState.start(own, len(cols)) for own in everything[start : start + SCORED_TOGETHER]}
+        epoch = 0
+        while states:
+            states = dict(zip(states, trainer.average(list(states), list(states.values()), epoch)))
+            epoch += 1
+            scored = scored_rows(valid, cols, label, {names[own]: (own, state) for own, state in states.items()})
+            areas = {r["model_id"]: r["auc"] for r in auc(scored, label, "score", ["model_id"]).collect()}
+            for own in list(states):
+                history[own].append(areas[names[own]])
+                open_rules = [i for i in nets[own] if i not in ran]
+                for i in open_rules:
+                    if i not in best or areas[names[own]] > best[i][0]:
+                        best[i] = (areas[names[own]], epoch, states[own])
+                    most, rounds, tol = rules[i]
+                    early = stop_round(history[own], rounds, tol) is not None
+                    if early or epoch >= most:
+                        ran[i] = (epoch, early)
+                if all(i in ran for i in nets[own]):
+                    del states[own]
+    trainer.close()
+    spark = train.sparkSession
+    owner = {i: own for own, members in nets.items() for i in members}
+    outcome = [
+        (f"model_{i + 1}", names[owner[i]], ran[i][0], best[i][1], best[i][0], ran[i][1]) for i in range(len(settings))
+    ]
+    measured = spark.createDataFrame(
+        outcome, "model_id string, net_id string, rounds int, best_round int, auc double, early boolean"
+    )
+    told = [(names[own], r, m) for own, values in history.items() for r, m in enumerate(values, 1)]
+    table = spark.createDataFrame(told, "net_id string, round int, metric double")
+    kept = {f"model_{i + 1}": (owner[i], best[i][2]) for i in range(len(settings))}
+    return _settings_frame(train, settings).join(measured, "model_id"), table, kept
