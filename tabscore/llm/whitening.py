@@ -32,11 +32,11 @@ from tabscore.llm.tables import Scratch
 from tabscore.llm.words import lists
 
 COMPONENTS = 32
-GUARD = 8  # vectors of the block beyond the wanted ones
+GUARD = 16  # vectors of the block beyond the wanted ones
 UNIT, SHIFT = 64.0, 1_000_000  # an entry c becomes floor(UNIT * c) + SHIFT
 LARGEST = 2.0**40  # entries beyond it (after UNIT) have no exact sums
-LANCZOS = 10
-DEGREE = 20
+LANCZOS = 6
+DEGREE = 12
 GROWTH = 1e10
 LOCKED = 2e-14  # residual of a locked vector, as a part of the largest eigenvalue
 CERTIFIED = 1e-12

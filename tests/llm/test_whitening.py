@@ -89,7 +89,7 @@ def test_equal_eigenvalues_and_narrow_blocks(equal):
     np.testing.assert_allclose(got, values[:8], rtol=1e-12)
     np.testing.assert_allclose(q.T @ q, np.eye(8), atol=1e-13)
     assert np.linalg.norm(v.v @ q - q * got) < 1e-11
-    assert max(v.widths) <= (16 if equal < 9 else 128)  # never the whole matrix
+    assert max(v.widths) < 100  # never the whole matrix
 
 
 def test_the_filter_is_the_polynomial():
