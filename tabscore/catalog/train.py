@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import tabscore as ts
@@ -114,40 +115,39 @@ def gbt_best_iter(spark, sf_dir):
     return _same(stage, again)
 
 
-@query("gbt_staged_auc", "select * from (values (1, false), (2, true), (3, false), (4, false), (5, true)) t(round, same)")
+@query("gbt_staged_auc", "select n as round, true as same from range(1, 6) t(n)")
 def gbt_staged_auc(spark, sf_dir):
-    """Stage 2 of a five-round fit has the AUC of a two-round fit, the last stage that of the model."""
+    """Every stage of a five-round fit has the AUC of a fit of that many rounds."""
     train, valid, _ = _splits(spark, sf_dir)
-    whole, short = ts.gbt(train, COLS, 3, 0.1, 5), ts.gbt(train, COLS, 3, 0.1, 2)
-    alone = None
-    for n, model in ((2, short), (5, whole)):
-        area = ts.auc(ts.score(model, valid, "id", "p1", ["target"]), "target", "p1")
-        area = area.select(F.lit(n).alias("round"), F.col("auc").alias("own"))
-        alone = area if alone is None else alone.unionByName(area)
-    both = ts.staged_auc(whole, valid).join(alone, "round", "left")
+    fits = {str(n): ts.gbt(train, COLS, 3, 0.1, n) for n in range(1, 6)}
+    scores = ts.to_long(ts.score_many(fits, valid, "id", ["target"]), ["id", "target"], list(fits), "round", "p1")
+    alone = ts.auc(scores, "target", "p1", ["round"]).select(F.col("round").cast("int"), F.col("auc").alias("own"))
+    both = ts.staged_auc(ts.gbt(train, COLS, 3, 0.1, 5), valid).join(alone, "round", "full")
     return both.select("round", F.coalesce(F.abs(F.col("auc") - F.col("own")) < 1e-12, F.lit(False)).alias("same"))
 
 
-@query("feature_importance", f"select {len(COLS)} as n, true as adds_up, 'f1_m2' as leader")
+def _named(cols, *facts):
+    """SQL: one row for each feature and facts of it, which may name ``feature``."""
+    return f"select feature, {', '.join(facts)} from (select unnest({list(cols)}) as feature)"
+
+
+@query("feature_importance", _named(COLS, "true as in_range", "true as adds_up", "feature = 'f1_m2' as leads"))
 def feature_importance(spark, sf_dir):
     train, _, _ = _splits(spark, sf_dir)
     shares = ts.importance(ts.gbt(train, COLS, 3, 0.1, 5))
-    return shares.agg(
-        F.count("*").cast("int").alias("n"),
-        (F.abs(F.sum("share") - 1) < 1e-9).alias("adds_up"),
-        F.max_by("feature", "share").alias("leader"),
-    )
+    total, most = F.sum("share").over(Window.partitionBy()), F.max("share").over(Window.partitionBy())
+    adds_up = (F.abs(total - 1) < 1e-9).alias("adds_up")  # one row for each feature
+    return shares.select("feature", _between("share").alias("in_range"), adds_up, (F.col("share") == most).alias("leads"))
 
 
-@query("permutation_importance", f"select {len(SCALED)} as n, 'f1_m2' as leader, true as clear")
+@query("permutation_importance", _named(SCALED, "true as in_range", "feature in ('f1_m2', 'f9_m2') as matters", "feature = 'f1_m2' as leads"))
 def permutation_importance(spark, sf_dir):
+    """A drop for each feature: clear for the two that the target is made of."""
     train, valid, _ = _splits(spark, sf_dir)
     drops = ts.permutation_importance(ts.mlp(train, SCALED, [6], 15), valid, SCALED)
-    return drops.agg(
-        F.count("*").cast("int").alias("n"),
-        F.max_by("feature", "auc_drop").alias("leader"),
-        (F.max("auc_drop") > 0.1).alias("clear"),
-    )
+    most = F.max("auc_drop").over(Window.partitionBy())  # one row for each feature
+    drop = F.col("auc_drop")
+    return drops.select("feature", drop.between(-1, 1).alias("in_range"), (drop > 0.02).alias("matters"), (drop == most).alias("leads"))
 
 
 @query(
@@ -211,6 +211,78 @@ def mlp_early_stop(spark, sf_dir):
     return _judged(model, valid)
 
 
+# No sum of features tells this target.
+CROSSED = "cast((f14 >= 48) <> (f1 >= 100) as int)"
+CROSSED_COLS = ["f1_m2", "f6_m2", "f7_m2", "f14_m2"]
+
+
+def _crossed(spark, sf_dir):
+    contest = ts.materialize(rows(spark, sf_dir).withColumn("target", F.expr(CROSSED)), "contest")
+    table = ts.materialize(ts.feature_set(contest, "train_only"), "features")
+    train, valid, _ = ts.split_by_flag(table)
+    return train, valid
+
+
+@query("net_fit", _JUDGED)
+def net_fit(spark, sf_dir):
+    """Averaged copies of a rectifier net with dropout and L1 find a target that is no sum of features."""
+    train, valid = _crossed(spark, sf_dir)
+    passes = max(8, 40_000 // train.count())
+    options = {"input_dropout": 0.02, "hidden_dropout": (0.1, 0.1), "l1": 1e-6, "batch": 16}
+    return _judged(ts.net(train, CROSSED_COLS, (32, 16), passes, tasks=2, **options), valid, 0.9)
+
+
+@query("net_gradient_fit", _JUDGED)
+def net_gradient_fit(spark, sf_dir):
+    """Gradient steps with Nesterov momentum."""
+    train, valid = _crossed(spark, sf_dir)
+    options = {"activation": "tanh", "adaptive": False, "rate": 0.6, "momentum": 0.9}
+    model = ts.net(train, CROSSED_COLS, (16,), 10, "gradient", batch=max(100, train.count() // 8), **options)
+    return _judged(model, valid, 0.9)
+
+
+@query("net_importance", _named(CROSSED_COLS, "true as in_range", "feature in ('f1_m2', 'f14_m2') as matters"))
+def net_importance(spark, sf_dir):
+    """By the net's weights, the two crossed features matter more than an equal share, the others less."""
+    train, _ = _crossed(spark, sf_dir)
+    shares = ts.net_importance(ts.net(train, CROSSED_COLS, (16,), max(8, 40_000 // train.count()), activation="tanh", tasks=2, batch=16, l1=1e-4))
+    return shares.select("feature", _between("share").alias("in_range"), (F.col("share") > 1 / len(CROSSED_COLS)).alias("matters"))
+
+
+@query(
+    "net_grid",
+    """select hidden, activation, stopping_rounds, stopping_tolerance, true as by_rule, true as best, true as in_range
+    from (values ('[8]'), ('[6,4]')) h(hidden), (values ('maxout'), ('rectifier')) a(activation),
+    (values (0::bigint), (2::bigint)) r(stopping_rounds), (values (0.01::double), (0.2::double)) t(stopping_tolerance)""",
+)
+def net_grid(spark, sf_dir):
+    """Sixteen settings of four nets: each stops where ``early_stop`` says on the history, and reports its best round."""
+    train, valid = _crossed(spark, sf_dir)
+    grid = {
+        "hidden": [(8,), (6, 4)],
+        "activation": ["maxout", "rectifier"],
+        "stopping_rounds": [0, 2],
+        "stopping_tolerance": [0.01, 0.2],
+    }
+    results, history, _ = ts.net_grid(train, valid, CROSSED_COLS, grid, epochs=6, tasks=2)
+    told = history.withColumnRenamed("net_id", "model_id")
+    rules = None
+    for rounds in grid["stopping_rounds"]:
+        for tol in grid["stopping_tolerance"]:
+            stops = ts.early_stop(told, rounds, tol).withColumns({"stopping_rounds": F.lit(rounds).cast("long"), "stopping_tolerance": F.lit(tol)})
+            rules = stops if rules is None else rules.unionByName(stops)
+    rules = rules.withColumnRenamed("model_id", "net_id")
+    ruled = results.join(rules, ["net_id", "stopping_rounds", "stopping_tolerance"], "left")
+    run = history.withColumnRenamed("net_id", "run_id")
+    seen = ruled.join(run, (F.col("net_id") == F.col("run_id")) & (F.col("round") <= F.col("rounds")))
+    keys = ["hidden", "activation", "stopping_rounds", "stopping_tolerance"]
+    return seen.groupBy("model_id", *keys).agg(
+        F.bool_and(F.col("rounds") == F.coalesce("stop_round", F.lit(6))).alias("by_rule"),
+        (F.max("metric") == F.max("auc")).alias("best"),
+        F.bool_and(F.col("auc").between(0, 1)).alias("in_range"),
+    ).select(F.to_json("hidden").alias("hidden"), *keys[1:], "by_rule", "best", "in_range")
+
+
 @query("rotation_forest", _JUDGED)
 def rotation_forest(spark, sf_dir):
     train, valid, _ = _splits(spark, sf_dir)
