@@ -14,6 +14,7 @@ from tabscore.functions.columns import (
     when_agree,
     z,
 )
+from tabscore.models.boost import boost, boost_importance, boost_stages, boost_trees
 from tabscore.models.gbt import (
     best_rounds,
     deviance_by_round,

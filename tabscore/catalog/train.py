@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import tabscore as ts
 from tabscore.catalog.prepare import rows
-from tabscore.catalog.registry import query
+from tabscore.catalog.registry import query, rounded, s6
 from tabscore.plans.features import TOURNAMENT
 from tabscore.sources.scratch import scratch_path
 from tabscore.sources.tables import FEATURES
@@ -211,6 +211,93 @@ def mlp_early_stop(spark, sf_dir):
     return _judged(model, valid)
 
 
+# One feature tells most of this target.
+ONE = "cast(f14 >= 48 and f1 >= 60 or f14 < 10 as int)"
+
+
+@query(
+    "newton_stump",
+    f"""with t as (select f14 as x, {ONE} as y from training where validation = 0),
+    v as (select x, sum(0.5 - y) as g, sum(0.25) as h from t group by x),
+    c as (select x, sum(g) over w as gl, sum(h) over w as hl, sum(g) over () as g, sum(h) over () as h from v window w as (order by x)),
+    s as (select *, gl * gl / (hl + 1) + (g - gl) * (g - gl) / (h - hl + 1) - g * g / (h + 1) as gain from c where hl >= 1 and h - hl >= 1)
+    select 'f14' as feature, x::double as threshold, {s6('gain::double')} as gain, {s6('(-0.1 * gl / (hl + 1))::double')} as left_value,
+      {s6('(-0.1 * (g - gl) / (h - hl + 1))::double')} as right_value from s order by s.gain desc, x limit 1""",
+)
+def newton_stump(spark, sf_dir):
+    """One second-order stump: its split, gain and leaves, as sums over the feature's values give them."""
+    contest = rows(spark, sf_dir).withColumn("target", F.expr(ONE))
+    train = ts.training(contest).filter("validation = 0").select("id", "target", "f14")
+    nodes = ts.boost_trees(ts.boost(train, ["f14"], rounds=1, depth=1, eta=0.1, bins=255))
+    leaves = nodes.filter("feature is null").select("node", F.col("value").alias("leaf"))
+    split = nodes.filter("feature is not null")
+    sides = split.join(leaves.toDF("left_node", "left_value"), "left_node").join(leaves.toDF("right_node", "right_value"), "right_node")
+    return rounded(sides.select("feature", "threshold", "gain", "left_value", "right_value"), "gain", "left_value", "right_value")
+
+
+@query(
+    "best_first_tree",
+    """select tree, 6::bigint as n_leaves, n, n as in_leaves, true as best_first
+    from (values (1), (2), (3)) t(tree), (select count(*) as n from training where validation = 0)""",
+)
+def best_first_tree(spark, sf_dir):
+    """Five splits make six leaves that share all rows; each split has the greatest gain of the leaves open then."""
+    # the contest's own target is mostly noise, so there is always one more split
+    train, _, _ = ts.split_by_flag(ts.materialize(ts.feature_set(rows(spark, sf_dir), "train_only"), "features"))
+    options = {"splits": 5, "eta": 0.1, "criterion": "variance", "start": "mean", "min_rows": 5, "min_hessian": 0.0}
+    nodes = ts.boost_trees(ts.boost(train, COLS, rounds=3, **options))
+    split = nodes.filter("feature is not null")
+    born = nodes.select("tree", F.col("node").alias("parent"), "split_order", F.explode(F.array("left_node", "right_node")).alias("node"))
+    born = born.filter("node is not null").select("tree", "node", F.col("split_order").alias("since"))
+    later = split.join(born, ["tree", "node"], "left").select("tree", F.coalesce("since", F.lit(0)).alias("since"), F.col("split_order").alias("later"), F.col("gain").alias("other"))
+    passed_over = split.join(later, "tree").filter("since < split_order and later > split_order and other > gain")
+    wrong = passed_over.groupBy("tree").agg(F.count("*").alias("wrong"))
+    counted = nodes.groupBy("tree").agg(
+        F.count_if(F.col("feature").isNull()).alias("n_leaves"),
+        F.max(F.when(F.col("node") == 0, F.col("n_rows"))).alias("n"),
+        F.sum(F.when(F.col("feature").isNull(), F.col("n_rows"))).alias("in_leaves"),
+    )
+    return counted.join(wrong, "tree", "left").select("tree", "n_leaves", "n", "in_leaves", F.col("wrong").isNull().alias("best_first"))
+
+
+@query("boost_fit", _JUDGED)
+def boost_fit(spark, sf_dir):
+    """Deep second-order trees on bags of half the rows."""
+    train, valid, _ = _splits(spark, sf_dir)
+    return _judged(ts.boost(train, COLS, rounds=3, depth=25, eta=0.3, bag=0.5, min_hessian=5.0), valid, 0.95)
+
+
+@query("boost_node_bins", _JUDGED)
+def boost_node_bins(spark, sf_dir):
+    """Sixteen bins a node, laid over its own range of features that are raw and skewed."""
+    contest = rows(spark, sf_dir).withColumn("target", F.expr(PLANTED))
+    train, valid, _ = ts.split_by_flag(ts.materialize(ts.training(contest).select("id", "validation", "target", *FEATURES), "raw"))
+    skewed = {f: F.pow(F.col(f).cast("double"), 5) for f in ("f1", "f4", "f13")}
+    model = ts.boost(train.withColumns(skewed), FEATURES, rounds=3, depth=4, bins=16, binning="node", eta=0.3)
+    return _judged(model, valid.withColumns(skewed), 0.95)
+
+
+@query("boost_stages", "select n as round, true as same, true as falls from range(1, 5) t(n)")
+def boost_stages(spark, sf_dir):
+    """Every stage has the AUC of a shorter fit, and the training loss falls from stage to stage."""
+    train, valid, _ = _splits(spark, sf_dir)
+    model = ts.boost(train, COLS, rounds=4, depth=2, eta=0.3)
+    scores = ts.boost_stages(model, valid, ["target"])
+    staged = ts.auc(scores, "target", "score", ["round"])
+    fits = {str(n): ts.boost(train, COLS, rounds=n, depth=2, eta=0.3) for n in range(1, 5)}
+    alone = ts.to_long(ts.score_many(fits, valid, "id", ["target"]), ["id", "target"], list(fits), "round", "p1")
+    alone = ts.auc(alone, "target", "p1", ["round"]).select(F.col("round").cast("int"), F.col("auc").alias("own"))
+    margin, y = F.col("score"), F.col("target")
+    loss = ts.boost_stages(model, train, ["target"]).groupBy("round").agg(F.avg(F.log1p(F.exp(margin)) - y * margin).alias("loss"))
+    before = loss.select((F.col("round") + 1).alias("round"), F.col("loss").alias("before"))
+    both = staged.join(alone, "round", "full").join(loss, "round").join(before, "round", "left")
+    return both.select(
+        F.col("round").cast("long").alias("round"),
+        (F.abs(F.col("auc") - F.col("own")) < 1e-9).alias("same"),
+        (F.col("loss") < F.coalesce("before", F.lit(0.6931471805599453))).alias("falls"),
+    )
+
+
 # No sum of features tells this target.
 CROSSED = "cast((f14 >= 48) <> (f1 >= 100) as int)"
 CROSSED_COLS = ["f1_m2", "f6_m2", "f7_m2", "f14_m2"]
