@@ -43,7 +43,16 @@ from tabscore.operators.joins import (
     join_predictions,
     lookup_stats,
 )
-from tabscore.operators.metrics import accuracy, auc, early_stop, performance, stop_round
+from tabscore.operators.metrics import (
+    accuracy,
+    auc,
+    best_thresholds,
+    early_stop,
+    gains_lift,
+    performance,
+    stop_round,
+    threshold_sweep,
+)
 from tabscore.operators.ordered import add_row_id, prefix_sums
 from tabscore.operators.profile import (
     contingency,

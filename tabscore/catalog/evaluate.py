@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 import tabscore as ts
 from tabscore.catalog.prepare import code, rows, train
 from tabscore.catalog.registry import FLIST, query, r6, rounded, s6, standin
+from tabscore.operators.metrics import THRESHOLD_METRICS
 from tabscore.plans.features import FOUR_POPULATIONS
 from tabscore.sources.tables import FEATURES
 
@@ -280,6 +281,55 @@ def performance_total(spark, sf_dir):
     return rounded(ts.performance(scores, "target", "s3"), "logloss", "mse", "accuracy", "auc")
 
 
+# Distinct scores of both splits with the rows at or above each; s1 has many ties.
+_SWEEP = """with d as (select validation, s1 as threshold, sum(target)::double as pos, sum(1 - target)::double as neg
+    from standin where not tournament group by validation, s1),
+  c as (select *, sum(pos) over w as tp, sum(neg) over w as fp, sum(pos) over g as p_all, sum(neg) over g as n_all
+    from d window w as (partition by validation order by threshold desc), g as (partition by validation)),
+  r as (select validation, threshold, pos, neg, tp, fp, n_all - fp as tn, p_all - tp as fn, p_all, n_all from c),
+  m as (select *, 2 * tp / nullif(2 * tp + fn + fp, 0) as f1, 5 * tp / nullif(5 * tp + 4 * fn + fp, 0) as f2,
+    1.25 * tp / nullif(1.25 * tp + 0.25 * fn + fp, 0) as f0point5, (tp + tn) / (tp + fp + tn + fn) as accuracy,
+    tp / nullif(tp + fp, 0) as precision, tp / nullif(tp + fn, 0) as recall, tn / nullif(tn + fp, 0) as specificity,
+    (tp * tn - fp * fn) / nullif(sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 0) as mcc,
+    least(tp / nullif(tp + fn, 0), tn / nullif(tn + fp, 0)) as min_class_accuracy,
+    (tp / nullif(tp + fn, 0) + tn / nullif(tn + fp, 0)) / 2 as mean_class_accuracy from r)"""
+_COUNTS = ", ".join(f"{c}::bigint as {c}" for c in ("tp", "fp", "tn", "fn"))
+
+
+def _split_scores(spark, sf_dir):
+    return ts.materialize(standin(rows(spark, sf_dir)).filter("not tournament"))
+
+
+@query("threshold_sweep", f"{_SWEEP} select validation, threshold, {_COUNTS}, {', '.join(s6(x) + ' as ' + x for x in THRESHOLD_METRICS)} from m")
+def threshold_sweep(spark, sf_dir):
+    return rounded(ts.threshold_sweep(_split_scores(spark, sf_dir), "target", "s1", ["validation"]), *THRESHOLD_METRICS)
+
+
+@query(
+    "best_thresholds",
+    f"""{_SWEEP}, u as (select * from (select validation, threshold, {_COUNTS}, {', '.join(THRESHOLD_METRICS)} from m)
+      unpivot (v for metric in ({', '.join(THRESHOLD_METRICS)}))),
+    b as (select *, row_number() over (partition by validation, metric order by v desc, threshold desc) as place from u)
+    select validation, metric, {s6('v')} as value, threshold, tp, fp, tn, fn from b where place = 1""",
+)
+def best_thresholds(spark, sf_dir):
+    return rounded(ts.best_thresholds(_split_scores(spark, sf_dir), "target", "s1", ["validation"]), "value")
+
+
+@query(
+    "gains_lift",
+    f"""{_SWEEP}, g as (select *, (floor((tp + fp - pos - neg) * 16 / (p_all + n_all)) + 1)::int as part from r),
+    t as (select validation, part, sum(pos + neg) as n, sum(pos) as n_pos, min(threshold) as lower, max(tp + fp) as cum_n, max(tp) as cum_pos,
+      max(p_all) as p, max(p_all + n_all) as total from g group by validation, part)
+    select validation, part as "group", n::bigint as n, n_pos::bigint as n_pos, lower, cum_n::bigint as cum_n, cum_pos::bigint as cum_pos,
+      {s6('n_pos / n')} as response, {s6('n_pos / n / (p / total)')} as lift, {s6('n_pos / p')} as capture,
+      {s6('cum_pos / cum_n / (p / total)')} as cum_lift, {s6('cum_pos / p')} as cum_capture from t""",
+)
+def gains_lift(spark, sf_dir):
+    out = ts.gains_lift(_split_scores(spark, sf_dir), "target", "s1", 16, ["validation"])
+    return rounded(out, "response", "lift", "capture", "cum_lift", "cum_capture")
+
+
 # Stand-in for boosting rounds: every round adds one column to the raw score.
 _ADDED = ["f7", "f6", "f14", "f9", "f12"]
 

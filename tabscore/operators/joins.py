@@ -20,8 +20,12 @@ def join_blocks(dfs: list[DataFrame], key: str = "id") -> DataFrame:
 
 
 def lookup_stats(long: DataFrame, stats: DataFrame, on: str = "variable") -> DataFrame:
-    """Left join of a long table to its per-variable statistics, which have one row for each column."""
-    return long.join(F.broadcast(stats), on, "left")
+    """Left join of a long table to statistics of its groups.
+
+    Statistics by ``variable`` have one row for each column of a wide table and are
+    sent to every task; those of other groups may be as many as the rows and are joined as they come.
+    """
+    return long.join(F.broadcast(stats) if on == "variable" else stats, on, "left")
 
 
 def join_anchor(long: DataFrame, anchor: str, key: str = "id") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabscore.operators.ordered import number_within_ranges, order_columns, position_of, range_of
+from tabscore.operators.ordered import number_within_ranges, order_columns, position_of, range_of, tag_ranges
 
 
 def _binary(label: str) -> Column:
@@ -45,20 +45,20 @@ def auc(
     return _auc_order(df, label, score, list(by), order_columns(order_by), fractional)
 
 
+def _score_counts(df: DataFrame, label: str, score: str, by: list[str]) -> DataFrame:
+    """``*by, __score, pos, neg``, one row for each distinct score: a hot score is one row before it travels."""
+    rows = df.select(*by, F.col(score).cast("double").alias("__score"), _binary(label).alias("__y"))
+    return rows.groupBy(*by, "__score").agg(F.sum("__y").alias("pos"), F.sum(1 - F.col("__y")).alias("neg"))
+
+
 def _auc_average(df: DataFrame, label: str, score: str, by: list[str]) -> DataFrame:
-    # Equal scores are counted before they travel, so a hot score is one row.
-    counts = (
-        df.select(*by, F.col(score).cast("double").alias("__score"), _binary(label).alias("__y"))
-        .groupBy(*by, "__score")
-        .agg(F.sum("__y").alias("pos"), F.sum(1 - F.col("__y")).alias("neg"))
-    )
+    # Two exchanges of distinct scores: the one that counts them, and the one of the window.
     below = (
         Window.partitionBy("__range", *by).orderBy("__score").rowsBetween(Window.unboundedPreceding, -1)
     )
     won = F.col("pos") * (F.coalesce(F.sum("neg").over(below), F.lit(0.0)) + F.col("neg") / 2)
     per_range = (
-        counts.repartitionByRange(*[F.col(b) for b in by], F.col("__score"))
-        .withColumn("__range", F.spark_partition_id())
+        tag_ranges(_score_counts(df, label, score, by), "__score")
         .select("__range", *by, "pos", "neg", won.alias("won"))
         .groupBy("__range", *by)
         .agg(F.sum("won").alias("won"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
@@ -140,6 +140,147 @@ def performance(df: DataFrame, label: str, p: str, cut: float = 0.5, by: list[st
     return report.join(named, match).select(*report.columns, "auc")
 
 
+def _running(df: DataFrame, label: str, p: str, by: list[str]) -> DataFrame:
+    """Distinct scores with the rows (``tp``, ``fp``) of that score or a greater one, and the totals ``p_all``, ``n_all``.
+
+    Runs inside ranges of scores; what is joined back is one row for each range and group.
+    """
+    x = F.col(p).cast("double")
+    lacking = F.raise_error(F.lit(f"{p} is NULL or NaN")).cast("boolean")
+    known = df.filter(F.when(x.isNotNull() & ~F.isnan(x), F.lit(True)).otherwise(lacking))
+    tagged = tag_ranges(_score_counts(known, label, p, by), "__score")
+    down = Window.partitionBy("__range", *by).orderBy(F.desc("__score")).rowsBetween(Window.unboundedPreceding, 0)
+    runs = tagged.select("*", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"))
+    ranges = tagged.groupBy("__range", *by).agg(F.sum("pos").alias("rp"), F.sum("neg").alias("rn"))
+    whole = Window.partitionBy(*by)
+    later = whole.orderBy("__range").rowsBetween(1, Window.unboundedFollowing)
+
+    def above(c: str) -> Column:
+        return F.coalesce(F.sum(c).over(later), F.lit(0.0))
+
+    starts = ranges.select(
+        F.col("__range").alias("__r"),
+        *[F.col(b).alias(f"__b_{b}") for b in by],
+        above("rp").alias("above_p"),
+        above("rn").alias("above_n"),
+        F.sum("rp").over(whole).alias("p_all"),
+        F.sum("rn").over(whole).alias("n_all"),
+    )
+    match = F.col("__range") == F.col("__r")
+    for b in by:
+        match = match & F.col(b).eqNullSafe(F.col(f"__b_{b}"))
+    return runs.join(starts, match).select(
+        *by,
+        F.col("__score").alias("threshold"),
+        "pos",
+        "neg",
+        (F.col("tp") + F.col("above_p")).alias("tp"),
+        (F.col("fp") + F.col("above_n")).alias("fp"),
+        "p_all",
+        "n_all",
+    )
+
+
+THRESHOLD_METRICS = (
+    "f1", "f2", "f0point5", "accuracy", "precision", "recall", "specificity", "mcc", "min_class_accuracy", "mean_class_accuracy",
+)
+
+
+def threshold_sweep(df: DataFrame, label: str, p: str, by: list[str] | tuple = ()) -> DataFrame:
+    """``*by, threshold, tp, fp, tn, fn`` and ``THRESHOLD_METRICS``: one row for each distinct score.
+
+    A row is predicted 1 where its score is the threshold or greater. A metric
+    whose denominator is 0 is NULL. A score that is NULL or NaN raises.
+    """
+    by = list(by)
+    counts = _running(df, label, p, by).select(
+        *by,
+        "threshold",
+        "tp",
+        "fp",
+        (F.col("n_all") - F.col("fp")).alias("tn"),
+        (F.col("p_all") - F.col("tp")).alias("fn"),
+    )
+    tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
+
+    def part(a: Column, b: Column) -> Column:
+        return a / F.nullif(b, F.lit(0.0))
+
+    def f_score(beta: float) -> Column:
+        w = beta * beta
+        return part((1 + w) * tp, (1 + w) * tp + w * fn + fp)
+
+    recall, specificity = part(tp, tp + fn), part(tn, tn + fp)
+    metrics = {
+        "f1": f_score(1.0),
+        "f2": f_score(2.0),
+        "f0point5": f_score(0.5),
+        "accuracy": part(tp + tn, tp + fp + tn + fn),
+        "precision": part(tp, tp + fp),
+        "recall": recall,
+        "specificity": specificity,
+        "mcc": part(tp * tn - fp * fn, F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))),
+        # NULL where a class has no rows
+        "min_class_accuracy": F.when(recall.isNotNull() & specificity.isNotNull(), F.least(recall, specificity)),
+        "mean_class_accuracy": (recall + specificity) / 2,
+    }
+    whole = [F.col(c).cast("long").alias(c) for c in ("tp", "fp", "tn", "fn")]
+    return counts.select(*by, "threshold", *whole, *[metrics[m].alias(m) for m in THRESHOLD_METRICS])
+
+
+def best_thresholds(df: DataFrame, label: str, p: str, by: list[str] | tuple = ()) -> DataFrame:
+    """``*by, metric, value, threshold, tp, fp, tn, fn``: where each metric is greatest; of equal values the greatest threshold."""
+    by = list(by)
+    sweep = threshold_sweep(df, label, p, by)
+    at = ["threshold", "tp", "fp", "tn", "fn"]
+    best = [F.max(F.when(F.col(m).isNotNull(), F.struct(F.col(m).alias("value"), *at))).alias(m) for m in THRESHOLD_METRICS]
+    wide = sweep.groupBy(*by).agg(*best)
+    each = [F.struct(F.lit(m).alias("metric"), F.col(m).alias("at")) for m in THRESHOLD_METRICS]
+    return wide.select(*by, F.inline(F.array(*each))).select(*by, "metric", "at.*")
+
+
+def gains_lift(df: DataFrame, label: str, p: str, groups: int = 16, by: list[str] | tuple = ()) -> DataFrame:
+    """``*by, group, n, n_pos, lower, response, lift, capture, cum_n, cum_pos, cum_lift, cum_capture``.
+
+    Rows go into ``groups`` equal parts by falling score; rows of one score stay
+    together, in the part where the first of them falls. ``lift`` is the part's
+    rate of 1 over that of all rows, ``capture`` its share of all 1s; ``cum_``
+    counts this part and all above it.
+    """
+    by = list(by)
+    running = _running(df, label, p, by)
+    before = F.col("tp") + F.col("fp") - F.col("pos") - F.col("neg")
+    total = F.col("p_all") + F.col("n_all")
+    parts = (
+        running.withColumn("group", (F.floor(before * groups / total) + 1).cast("int"))
+        .groupBy(*by, "group")
+        .agg(
+            F.sum(F.col("pos") + F.col("neg")).alias("n"),
+            F.sum("pos").alias("n_pos"),
+            F.min("threshold").alias("lower"),
+            F.max(F.col("tp") + F.col("fp")).alias("cum_n"),
+            F.max("tp").alias("cum_pos"),
+            F.first("p_all").alias("p_all"),
+            F.first(total).alias("total"),
+        )
+    )
+    rate, positives = F.nullif(F.col("p_all"), F.lit(0.0)) / F.col("total"), F.nullif(F.col("p_all"), F.lit(0.0))
+    return parts.select(
+        *by,
+        "group",
+        F.col("n").cast("long").alias("n"),
+        F.col("n_pos").cast("long").alias("n_pos"),
+        "lower",
+        (F.col("n_pos") / F.col("n")).alias("response"),
+        (F.col("n_pos") / F.col("n") / rate).alias("lift"),
+        (F.col("n_pos") / positives).alias("capture"),
+        F.col("cum_n").cast("long").alias("cum_n"),
+        F.col("cum_pos").cast("long").alias("cum_pos"),
+        (F.col("cum_pos") / F.col("cum_n") / rate).alias("cum_lift"),
+        (F.col("cum_pos") / positives).alias("cum_capture"),
+    )
+
+
 def early_stop(
     history: DataFrame,
     rounds: int,

@@ -90,3 +90,21 @@ def prefix_sums(df: DataFrame, order_by, cols: list[str], by: list[str] | tuple
     return local.join(F.broadcast(starts), match, "left").select(
         *[F.col(c) for c in df.columns], *[total(c) for c in cols]
     )
+
+
+def tag_ranges(df: DataFrame, value: str) -> DataFrame:
+    """Add ``__range``: ranges of a double column that rise with it, NULL in the first, NaN in the last.
+
+    The split points are quantiles of the values of ``df``, no more than the shuffle
+    has partitions. Unlike a range exchange, the tag is a column: a window by it
+    needs one exchange, and no other. Every column of ``df`` counts as used by the
+    quantiles, so that they read the same exchange that ``df`` ends with.
+    """
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    x = F.col(value)
+    probs = F.array(*[F.lit((i + 1) / parts) for i in range(parts)])
+    used = F.greatest(*[F.col(c).isNotNull().cast("int") for c in df.columns], F.lit(0)) >= 0
+    splits = df.agg(F.array_distinct(F.percentile_approx(F.when(used, x), probs, 10 * parts)).alias("q")).scalar()
+    place = F.size(F.filter(F.coalesce("__splits", F.array().cast("array<double>")), lambda s: s < x))
+    tagged = df.withColumn("__splits", splits).withColumn("__range", F.when(x.isNull(), F.lit(-1)).otherwise(place))
+    return tagged.drop("__splits")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import sys
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -9,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabscore.operators.ordered import prefix_sums
 from tabscore.operators.reshape import to_long
+from tabscore.sources.scratch import materialize, release
 
 PROBS = (0.0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0)
 
@@ -189,37 +191,96 @@ def corr_mean(corr: DataFrame) -> DataFrame:
     )
 
 
-def _value_counts(df: DataFrame, cols: list[str]) -> DataFrame:
-    long = to_long(df.select(*[F.col(c).cast("double") for c in cols]), [], cols)
-    return long.filter("value is not null and not isnan(value)").groupBy("variable", "value").agg(F.count("*").alias("n"))
+BUCKETS = 512  # of each open interval in a pass
+LISTED = 20_000  # rows of the open intervals that are few enough to list their values
 
 
-def _order_statistics(df: DataFrame, cols: list[str], probs: tuple[float, ...]) -> DataFrame:
-    """Per variable: ``qs`` (array of quantiles in ``probs`` order), ``mean``.
+def _bucketed(values: DataFrame, spans: list[tuple]) -> list:
+    """Count, least and greatest value of each bucket of the open intervals: one pass, pre-aggregated in each task.
 
-    Values are counted first, so equal values travel once, then cumulated in
-    value order across ranges. No task sees all values of a variable.
+    Infinite values have the buckets below and above the equal ones between the
+    interval's finite ends.
     """
-    ranked = prefix_sums(_value_counts(df, cols), "value", ["n"], by=["variable"])
-    # one row per entry of ``cols``
-    totals = ranked.groupBy("variable").agg(F.sum("n").alias("total"))
-    ranked = ranked.join(F.broadcast(totals), "variable")
+    spark = values.sparkSession
+    table = spark.createDataFrame(spans, "variable string, span int, least double, most double, low double, high double")
+    met = values.join(F.broadcast(table), "variable").filter("value between least and most")
+    half = [F.col(c) / 2 for c in ("value", "low", "high")]  # the width of all doubles would be infinite
+    equal = F.least(F.floor((half[0] - half[1]) / (half[2] - half[1]) * BUCKETS), F.lit(BUCKETS - 1)) + 1
+    bucket = (
+        F.when(F.col("value") < F.col("low"), 0)
+        .when(F.col("value") > F.col("high"), BUCKETS + 1)
+        .when(F.col("low") >= F.col("high"), 1)
+        .otherwise(equal)
+    )
+    counts = met.groupBy("variable", "span", bucket.alias("bucket"))
+    counts = counts.agg(F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
+    return sorted(counts.collect(), key=lambda r: r["bucket"])  # intervals x buckets
 
-    def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("n_cum") - F.col("n") < rank) & (rank <= F.col("n_cum")), F.col("value")))
 
-    aggregates = []
-    for i, p in enumerate(probs):
-        h = (F.col("total") - 1) * F.lit(float(p))
-        aggregates += [at(F.floor(h) + 1).alias(f"lo{i}"), at(F.ceil(h) + 1).alias(f"hi{i}")]
-    mean = F.sum(F.col("value") * F.col("n")) / F.first("total")
-    stats = ranked.groupBy("variable").agg(mean.alias("mean"), F.first("total").alias("total"), *aggregates)
+def _listed(values: DataFrame, spans: list[tuple]) -> list:
+    """Every value of the open intervals, which hold few rows, with its count."""
+    table = values.sparkSession.createDataFrame([s[:4] for s in spans], "variable string, span int, least double, most double")
+    met = values.join(F.broadcast(table), "variable").filter("value between least and most")
+    counts = met.groupBy("variable", "span", "value").agg(F.count("*").alias("n")).collect()
+    return sorted(counts, key=lambda r: r["value"])
+
 
-    def interpolate(i: int, p: float) -> Column:
-        h = (F.col("total") - 1) * F.lit(float(p))
-        return F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (h - F.floor(h))
+def _select_ranks(values: DataFrame, ends: dict, ranks: dict[str, set[int]]) -> dict[tuple[str, int], float]:
+    """The values at the wanted ranks (from 1) of each variable, by counting in ever smaller intervals.
 
-    return stats.select("variable", "mean", F.array(*[interpolate(i, p) for i, p in enumerate(probs)]).alias("qs"))
+    Each pass counts the buckets of the open intervals and keeps those that hold a
+    rank, with their own least and greatest values; a bucket of one value is an answer. No
+    row travels, and nothing is ordered but counts.
+    """
+    found: dict[tuple[str, int], float] = {}
+    # variable, least and greatest value, rows before, rows inside, ranks inside
+    spans = [(v, *ends[v][:2], 0, ends[v][2], sorted(r)) for v, r in ranks.items() if r]
+    while spans:
+        asked = []
+        for i, (v, least, most, _, _, _) in enumerate(spans):
+            low, high = max(least, -sys.float_info.max), min(most, sys.float_info.max)
+            asked.append((v, i, least, most, low, high))
+        few = sum(s[4] for s in spans) <= LISTED
+        rows = _listed(values, asked) if few else _bucketed(values, asked)
+        cells: dict[int, list] = {}
+        for r in rows:
+            least, most = (r["value"], r["value"]) if few else (r["least"], r["most"])
+            cells.setdefault(r["span"], []).append((least, most, r["n"]))
+        again = []
+        for i, (v, _, _, before, _, wanted) in enumerate(spans):
+            for least, most, n in cells[i]:
+                inside = [r for r in wanted if before < r <= before + n]
+                if inside and least == most:
+                    found |= {(v, r): least for r in inside}
+                elif inside:
+                    again.append((v, least, most, before, n, inside))
+                before += n
+        spans = again
+    return found
+
+
+def _order_statistics(df: DataFrame, cols: list[str], probs: tuple[float, ...]) -> DataFrame:
+    """Per variable: ``qs`` (array of quantiles in ``probs`` order), ``mean``, ``total``."""
+    names = list(dict.fromkeys(cols))
+    wide = materialize(df.select(*[F.col(c).cast("double").alias(c) for c in names]), "quantiles")
+    values = to_long(wide, [], names).filter("value is not null and not isnan(value)")
+    totals = values.groupBy("variable").agg(
+        F.min("value").alias("least"), F.max("value").alias("most"), F.count("*").alias("n"), F.avg("value").alias("mean")
+    )
+    seen = {r["variable"]: r for r in totals.collect()}  # one row for each column
+    ends = {v: (r["least"], r["most"], r["n"]) for v, r in seen.items()}
+    spots = {v: [(n - 1) * float(p) for p in probs] for v, (_, _, n) in ends.items()}
+    ranks = {v: {k + 1 for h in hs for k in (math.floor(h), math.ceil(h))} for v, hs in spots.items()}
+    at = _select_ranks(values, ends, ranks)
+    release(wide)
+    out = []
+    for v, hs in spots.items():
+        qs = []
+        for h in hs:
+            low, high = at[v, math.floor(h) + 1], at[v, math.ceil(h) + 1]
+            qs.append(low if low == high else low + (high - low) * (h - math.floor(h)))
+        out.append((v, seen[v]["mean"], seen[v]["n"], qs))
+    return df.sparkSession.createDataFrame(out, "variable string, mean double, total long, qs array<double>")
 
 
 def quantile_profile(
@@ -227,8 +288,8 @@ def quantile_profile(
 ) -> DataFrame:
     """``variable, prob, quantile`` with linear interpolation between ranks.
 
-    Exact by default; ``accuracy`` switches to the sketch of
-    ``percentile_approx``, one pass without a global order. NULL and NaN are left out.
+    Exact by default, in a few passes that count buckets; ``accuracy`` switches to the sketch of
+    ``percentile_approx``, one pass. NULL and NaN are left out.
     """
     if accuracy is None:
         stats = _order_statistics(df, cols, probs)

@@ -168,3 +168,77 @@ def test_performance_needs_a_score_in_every_row(spark, bad):
     for report in (ts.performance(df, "y", "s"), ts.performance(df, "y", "s").select("n"), ts.performance(df, "y", "s", by=["y"])):
         with pytest.raises(Exception, match="NULL or NaN"):
             report.collect()
+
+
+def brute_sweep(pairs):
+    """tp, fp, tn, fn at each distinct score, by counting all rows for each."""
+    out = {}
+    for t in {s for _, s in pairs}:
+        hit = [(y, s >= t) for y, s in pairs]
+        out[t] = tuple(sum((y == 1) == a and yes == b for y, yes in hit) for a, b in ((1, 1), (0, 1), (0, 0), (1, 0)))
+    return out
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(pairs=PAIRS)
+def test_sweep_against_counting(spark, pairs):
+    got = {r["threshold"]: (r["tp"], r["fp"], r["tn"], r["fn"]) for r in ts.threshold_sweep(frame(spark, pairs), "y", "s").collect()}
+    assert got == brute_sweep(pairs)
+
+
+@pytest.mark.parametrize("n", [1, 3, 16])
+def test_sweep_by_group_with_a_hot_score(spark, partitions, n):
+    partitions(n)
+    pairs = [(y, 0.5 if i % 3 else s) for i, (y, s) in enumerate(sample(500))]
+    df = frame(spark, pairs).withColumn("g", F.expr("case when id % 5 = 0 then null else id % 2 end"))
+    got = {}
+    for r in ts.threshold_sweep(df, "y", "s", ["g"]).collect():
+        got.setdefault(r["g"], {})[r["threshold"]] = (r["tp"], r["fp"], r["tn"], r["fn"])
+    groups = {}
+    for i, pair in enumerate(pairs):
+        groups.setdefault(None if i % 5 == 0 else i % 2, []).append(pair)
+    assert got == {g: brute_sweep(p) for g, p in groups.items()}
+    best = {(r["g"], r["metric"]): r for r in ts.best_thresholds(df, "y", "s", ["g"]).collect()}
+    assert len(best) == 3 * 10
+    for g, counts in got.items():
+        f1 = {t: 2 * tp / (2 * tp + fp + fn) for t, (tp, fp, _, fn) in counts.items()}
+        r = best[g, "f1"]
+        assert r["value"] == max(f1.values())
+        assert r["threshold"] == max(t for t, v in f1.items() if v == r["value"])
+        assert (r["tp"], r["fp"], r["tn"], r["fn"]) == counts[r["threshold"]]
+
+
+def test_gains_and_lift(spark):
+    pairs = sample(333)
+    parts = ts.gains_lift(frame(spark, pairs), "y", "s", 10).orderBy("group").collect()
+    rate = sum(y for y, _ in pairs) / len(pairs)
+    part_of = {}
+    for t in {s for _, s in pairs}:
+        part_of[t] = sum(s > t for _, s in pairs) * 10 // len(pairs) + 1
+    assert [r["group"] for r in parts] == sorted(set(part_of.values()))
+    seen = pos = 0
+    for r in parts:
+        mine = [y for y, s in pairs if part_of[s] == r["group"]]
+        seen, pos = seen + len(mine), pos + sum(mine)
+        assert (r["n"], r["n_pos"], r["cum_n"], r["cum_pos"]) == (len(mine), sum(mine), seen, pos)
+        assert r["lift"] == pytest.approx(sum(mine) / len(mine) / rate)
+        assert r["cum_capture"] == pytest.approx(pos / (rate * len(pairs)))
+        assert r["lower"] == min(t for t, part in part_of.items() if part == r["group"])
+    assert seen == len(pairs) and parts[-1]["cum_lift"] == pytest.approx(1.0)
+
+
+def test_sweep_of_one_class_and_of_nothing(spark):
+    rows = {r["threshold"]: r for r in ts.threshold_sweep(frame(spark, [(0, 0.2), (0, 0.7)]), "y", "s").collect()}
+    assert rows[0.7]["recall"] is None and rows[0.7]["specificity"] == 0.5 and rows[0.7]["mean_class_accuracy"] is None
+    assert ts.threshold_sweep(frame(spark, []), "y", "s").count() == 0
+    assert ts.gains_lift(frame(spark, []), "y", "s").count() == 0
+    with pytest.raises(Exception, match="s is NULL or NaN"):
+        ts.threshold_sweep(frame(spark, [(1, None)]), "y", "s").collect()
+
+
+def test_auc_of_null_and_nan_scores(spark):
+    """NULL ranks lowest, NaN highest, whatever the ranges."""
+    pairs = [(1, None), (0, None), (0, 0.3), (1, 0.4), (0, float("nan")), (1, float("nan")), (1, -1.0), (0, float("-inf"))]
+    rank = {None: -3.0, "nan": 9.0}
+    plain = [(y, rank[None] if s is None else rank["nan"] if s != s else max(s, -2.0)) for y, s in pairs]
+    assert value(ts.auc(frame(spark, pairs), "y", "s")) == pytest.approx(brute_average(plain))

@@ -32,10 +32,14 @@ def single_partition_inputs(text):
     return below
 
 
+VECTORISED = {"corr_matrix"}  # moments of Arrow batches
+
+
 @pytest.mark.parametrize("name", TABLE_QUERIES)
 def test_no_python_no_cross_join_no_global_window(spark, name):
     text = plan(entry_points.queries()[name](spark, SF))
     assert not re.search(r"PythonUDF|ArrowEval|MapInPandas|BatchEvalPython", text)
+    assert ("MapInArrow" in text) == (name in VECTORISED)
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     assert all("HashAggregate" in line or "TakeOrdered" in line for line in single_partition_inputs(text))
 
@@ -70,6 +74,27 @@ def test_hot_scores_are_counted_before_the_shuffle(rows):
     assert "HashAggregate" in lines[deepest + 1] and "partial_sum" in lines[deepest + 1]
 
 
+def test_averaged_auc_exchanges_scores_twice(rows):
+    """Once to count them, once for the window; everything after has one row for each range."""
+    area = ts.auc(rows, "target", "f7", ["validation"])
+    area.collect()
+    text = plan(area)
+    assert "rangepartitioning" not in text
+    assert "ReusedExchange [validation" in text  # the split points read the counted scores, too
+    before = text.split("== Initial Plan ==")[0]  # of the split points, what is above is the plan of the rows
+    assert before.count("Exchange hashpartitioning(__range") == 1
+
+
+def test_lookups_by_other_columns_are_not_broadcast(spark):
+    long = spark.createDataFrame([(1, 2.0)], "k long, value double")
+    from tabscore.operators.joins import lookup_stats
+
+    joined = lookup_stats(long, long.groupBy("k").count(), "k")
+    assert "strategy=broadcast" not in joined._jdf.queryExecution().analyzed().toString()
+    named = lookup_stats(long.withColumn("variable", F.lit("a")), spark.createDataFrame([("a", 1.0)], "variable string, mean double"))
+    assert "strategy=broadcast" in named._jdf.queryExecution().analyzed().toString()
+
+
 def test_ordered_auc_shuffles_the_rows_once(rows):
     text = plan(ts.auc(rows, "target", "f7", ties="order", order_by="id"))
     assert text.count("rangepartitioning") == 1

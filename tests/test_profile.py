@@ -100,6 +100,49 @@ def test_quantiles_are_type_7(df, frame, partitions):
             assert [got[c, p] for p in PROBS] == pytest.approx(list(frame[c].dropna().quantile(PROBS)))
 
 
+@pytest.mark.parametrize("buckets, listed", [(2, 0), (512, 0), (5, 40)])
+def test_quantiles_of_awkward_values(spark, monkeypatch, buckets, listed):
+    """Infinite, huge, tiny, tied and skewed values, with intervals that stay open for many passes."""
+    from tabscore.operators import profile
+
+    monkeypatch.setattr(profile, "BUCKETS", buckets)
+    monkeypatch.setattr(profile, "LISTED", listed)
+    rng = np.random.default_rng(4)
+    values = {
+        "skew": np.exp(rng.uniform(-9, 9, 90)),
+        "tied": np.array([1.0] * 70 + [0.0] * 19 + [7.5]),
+        "wide": np.concatenate([[-1.7e308, 1.7e308, -math.inf, math.inf, 5e-324, 0.0], rng.normal(size=84)]),
+        "one": np.full(90, -3.25),
+    }
+    df = spark.createDataFrame(pd.DataFrame(values))
+    probs = (0.0, 0.013, 0.25, 0.5, 0.77, 0.99, 1.0)
+    got = {(r.variable, r.prob): r.quantile for r in ts.quantile_profile(df, list(values), probs).collect()}
+    for c, v in values.items():
+        ordered = np.sort(v)
+        for p in probs:
+            h = 89 * p
+            low, high = ordered[math.floor(h)], ordered[math.ceil(h)]
+            want = low if low == high else low + (high - low) * (h - math.floor(h))
+            assert got[c, p] == want or (math.isnan(want) and math.isnan(got[c, p]))
+
+
+def test_quantiles_move_no_rows(spark, df):
+    """What a pass exchanges is counted before: buckets, not rows."""
+    from tabscore.operators.profile import _bucketed, to_long
+
+    long = to_long(df.select(F.col("a").cast("double")), [], ["a"])
+    seen = []
+    monitor = pytest.MonkeyPatch()
+    with monitor.context() as m:
+        collect = type(df).collect
+        m.setattr(type(df), "collect", lambda self: seen.append(self._jdf.queryExecution().executedPlan().toString()) or collect(self))
+        _bucketed(long, [("a", 0, -9.0, 9.0, -9.0, 9.0)])
+    lines = seen[0].splitlines()
+    first = max(i for i, line in enumerate(lines) if "Exchange hashpartitioning" in line)
+    assert "HashAggregate" in lines[first + 1] and "partial_count" in lines[first + 1]
+    assert "rangepartitioning" not in seen[0]
+
+
 def test_approximate_quantiles_are_close(df, frame):
     got = {r.prob: r.quantile for r in ts.quantile_profile(df, ["a"], (0.1, 0.5, 0.9), accuracy=1000).collect()}
     assert got[0.5] == pytest.approx(frame.a.median(), abs=0.05)
