@@ -12,12 +12,11 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabscore.models.gbt import gbt, staged_auc
+from tabscore.models.gbt import gbt, staged_scores
 from tabscore.models.net import NetSettings, NetState, NetTrainer, scored_rows, with_options
 from tabscore.models.score import score_many
 from tabscore.operators.metrics import auc, stop_round
 from tabscore.operators.reshape import to_long
-from tabscore.sources.scratch import materialize
 
 SCORED_TOGETHER = 16  # models whose validation scores share one scan and one AUC job
 
@@ -27,7 +26,7 @@ def expand_grid(grid: dict[str, Iterable]) -> list[dict]:
     return [dict(zip(grid, values)) for values in product(*grid.values())]
 
 
-def fit_all(make: Callable[..., PipelineModel], settings: list[dict], train: DataFrame, parallelism: int = 2) -> list:
+def fit_all(make: Callable[..., PipelineModel], settings: list[dict], train: DataFrame, parallelism: int = 4) -> list:
     """``make(train, **setting)`` for every setting, a few fits at a time."""
 
     def run(setting: dict) -> PipelineModel:
@@ -55,7 +54,7 @@ def grid_search(
     label: str = "target",
     key: str = "id",
     metric: Callable[[DataFrame, str, str], DataFrame] | None = None,
-    parallelism: int = 2,
+    parallelism: int = 4,
     in_sample: bool = False,
 ) -> DataFrame:
     """``model_id, <settings>, auc, in_sample``: one row per fitted setting.
@@ -92,7 +91,7 @@ def gbt_grid(
     etas: list[float],
     label: str = "target",
     seed: int = 2016,
-    parallelism: int = 2,
+    parallelism: int = 4,
 ) -> DataFrame:
     """``model_id, ntrees, max_depth, learn_rate, auc, in_sample`` for boosted trees.
 
@@ -108,19 +107,23 @@ def gbt_grid(
     def make(data: DataFrame, **s) -> PipelineModel:
         return gbt(data, cols, seed=seed, label=label, **s)
 
-    models = fit_all(make, fits, train, parallelism)
     parts = []
-    for fit, model in zip(fits, models):
-        wanted = sorted(longest[(fit["depth"], fit["eta"])])
-        parts.append(
-            staged_auc(model, valid, label, wanted).select(
+    for start in range(0, len(fits), SCORED_TOGETHER):
+        # the driver holds the models of one batch; one job measures all their rounds
+        batch = fits[start : start + SCORED_TOGETHER]
+        scores = [
+            staged_scores(model, valid, [label], sorted(longest[(fit["depth"], fit["eta"])])).select(
+                label,
+                "score",
                 F.col("round").alias("ntrees"),
                 F.lit(fit["depth"]).alias("max_depth"),
                 F.lit(fit["eta"]).alias("learn_rate"),
-                "auc",
             )
-        )
-    measured = materialize(reduce(DataFrame.unionByName, parts), "grid")
+            for fit, model in zip(batch, fit_all(make, batch, train, parallelism))
+        ]
+        part = auc(reduce(DataFrame.unionByName, scores), label, "score", ["ntrees", "max_depth", "learn_rate"])
+        parts.append(train.sparkSession.createDataFrame(part.collect(), part.schema))  # one row for each setting
+    measured = reduce(DataFrame.unionByName, parts)
     ids = _settings_frame(train, settings)
     ids = ids.withColumns({"ntrees": F.col("ntrees").cast("int"), "max_depth": F.col("max_depth").cast("int")})
     return ids.join(measured, ["ntrees", "max_depth", "learn_rate"]).select(

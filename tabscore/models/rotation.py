@@ -71,7 +71,7 @@ def rotation_forest(
     key: str = "id",
     depth: int = 5,
     share: float = 0.75,
-    parallelism: int = 2,
+    parallelism: int = 4,
 ) -> PipelineModel:
     """Mean of ``members`` trees, each on its own rotation of the features.
 
