@@ -47,6 +47,12 @@ def release(df: DataFrame) -> None:
     df.unpersist()
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, through Spark's own file system layer."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Delete one scratch table through Spark's own file system layer."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
