@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -160,6 +161,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes: list[np.ndarray] = []
     spelled: dict[int, bytes] = {}
     size = number = 0
+    task = TaskContext.get()
+    part_id = task.partitionId() if task else 0  # the blocks are written before they are read
 
     def flush() -> pa.RecordBatch:
         nonlocal size, number
@@ -173,12 +176,10 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learns = np.repeat(~np.array(held, bool), per_doc)
         train = np.bincount(codes[learns], minlength=len(unique))
         words = [spelled[h] for h in unique[rank].tolist()]
-        # unique enough: the first document's hash is part of it
-        block = mix(np.array([hash((number, ids[0], len(ids), len(every))) & (2**63 - 1)], np.uint64) ^ mix(every[:1] if len(every) else np.zeros(1, np.uint64)))
         row = pa.RecordBatch.from_pylist(
             [
                 {
-                    "block": int(block.view(np.int64)[0]),
+                    "block": part_id << 32 | number,
                     "doc_ids": ids,
                     "held_out": held,
                     "edges": np.concatenate([[0], np.cumsum(per_doc)]).astype(np.int32).tolist(),

@@ -109,3 +109,26 @@ def test_blocks_are_in_the_order_of_their_rows():
     row = out[0].to_pylist()[0]
     assert row["doc_ids"] == [1, None, 2] and row["edges"] == [0, 3, 3, 4]
     assert [row["words"][c] for c in lattice._unpack(row["codes"])] == [b"b", b"a", b"b", b"c"]
+
+
+@pytest.mark.parametrize("parts", [1, 2, 3])
+def test_blocks_that_look_alike_keep_their_own_words(spark, parts):
+    """Blocks of the same first document, numbers of documents and words, and first word."""
+    rows = [(1, "alpha beta", None, None, None), (1, "alpha gamma", None, None, None), (3, "beta beta beta delta", None, None, None)]
+    out = lattice.score_documents(documents(spark, rows).repartitionByRange(parts, "text"), lattice.vocabulary_path()).collect()
+    found = {(r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 4), round(r.score, 3)) for r in out}
+    one = lattice.score_documents(documents(spark, rows).coalesce(1), lattice.vocabulary_path()).collect()
+    assert len(out) == 3 and len(found) == 3
+    assert found == {(r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 4), round(r.score, 3)) for r in one}
+
+
+def test_null_and_repeated_ids_one_row_in_a_partition(spark):
+    rows = [(i, f"w{n} x", None, None, None) for n, i in enumerate([None, None, None, 7, 7, 7, 7, None])]
+    df = documents(spark, rows)
+    spread = spark.createDataFrame(spark.sparkContext.parallelize(df.collect(), len(rows)), df.schema)
+    assert spread.rdd.getNumPartitions() == len(rows)
+    got, want = (
+        sorted((str(r.doc_id), r.n_known, round(r.base_score, 6), round(r.score, 4)) for r in lattice.score_documents(x, lattice.vocabulary_path()).collect())
+        for x in (spread, df.coalesce(1))
+    )
+    assert got == want
