@@ -6,17 +6,18 @@ lower bound of each partition's sequences. Where a partition has more than its
 bound, the pieces of its unfilled sequences are exchanged with those of other
 partitions and packed again; a partition at its bound gives its emptiest sequence
 only, as the bounds of many partitions add up to more than the bound of all. This
-goes on as long as it saves sequences.
+goes on until ``MISSES`` rounds one after the other, each with the pieces dealt anew, save nothing.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabscore.llm.near_text import runs
@@ -27,7 +28,9 @@ from tabscore.llm.words import slices
 CAPACITY = 4096
 END = 1  # the id that ends a document
 PART = 20_000  # pieces of a partition, about
-ROUNDS = 4
+MISSES = 2
+# bits of a sequence's number: round, part, sequence of the part
+ROUND_BITS, PART_BITS, SEQUENCE_BITS = 10, 31, 22
 
 PACKED = "item long, part int, sequence int, offset long, loose boolean"
 
@@ -105,7 +108,7 @@ def _pack(capacity: int):
     return run
 
 
-def pack(items: DataFrame, scratch: Scratch, capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:
+def pack(items: DataFrame, scratch: Scratch, capacity: int = CAPACITY, misses: int = MISSES) -> DataFrame:
     """``item, round, part, sequence, offset`` of pieces ``item, length`` shorter than a sequence."""
 
     def deal(rows: DataFrame, n: int, turn: int) -> DataFrame:
@@ -114,17 +117,24 @@ def pack(items: DataFrame, scratch: Scratch, capacity: int = CAPACITY, rounds: i
         packed = dealt.repartition("part").sortWithinPartitions("part", "item").mapInArrow(_pack(capacity), PACKED)
         return scratch.save(packed.withColumn("round", F.lit(turn)), f"packed-{turn}")
 
-    packed = deal(items, items.count(), 0)
-    for turn in range(1, rounds + 1):
-        loose = packed.filter("loose")
-        state = loose.agg(F.count("*"), F.countDistinct("round", "part", "sequence")).first()
-        if state[1] < 2:
+    # what a round settles stays in its table; only its loose pieces go on
+    latest = deal(items, items.count(), 0)
+    settled = [latest.filter("not loose")]
+    turn = missed = 0
+    while missed < misses:
+        turn += 1
+        loose = latest.filter("loose")
+        state = loose.agg(F.count("*"), F.countDistinct("part", "sequence")).first()
+        if state[1] < 2 or turn >= 1 << ROUND_BITS:
             break
         again = deal(loose.select("item").join(items, "item"), state[0], turn)
-        now = again.agg(F.countDistinct("part", "sequence")).first()[0]
-        if now >= state[1]:
-            break
-        packed = packed.filter("not loose").union(again)
+        if again.agg(F.countDistinct("part", "sequence")).first()[0] < state[1]:
+            latest, missed = again, 0
+            settled.append(latest.filter("not loose"))
+        else:
+            missed += 1
+            scratch.drop(f"packed-{turn}")
+    packed = reduce(DataFrame.union, [*settled, latest.filter("loose")])
     return packed.select("item", "round", "part", "sequence", "offset")
 
 
@@ -157,7 +167,17 @@ def _cut(capacity: int, tokenizer: str):
     return run
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:
+def sequence_number() -> Column:
+    """One number for round, part and sequence; raises where one of them has more bits than it is given."""
+    number = F.lit(0).cast("bigint")
+    fits = F.lit(True)
+    for name, bits in (("round", ROUND_BITS), ("part", PART_BITS), ("sequence", SEQUENCE_BITS)):
+        number = F.shiftleft(number, bits) + F.col(name)
+        fits = fits & (F.col(name) < (1 << bits))
+    return F.when(fits, number).otherwise(F.raise_error(F.lit("too many rounds, parts or sequences to number")).cast("bigint"))
+
+
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, misses: int = MISSES) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset``: where each piece of each document goes.
 
     A document is its text's ids and an end; null and empty texts are the end
@@ -171,10 +191,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, ro
         _cut(capacity, tokenizer), "doc_id long, piece int, start long, length long, ids_crc32 long"
     )
     pieces = scratch.save(cut.withColumn("item", F.monotonically_increasing_id()), "pieces")
-    packed = pack(pieces.filter(F.col("length") < capacity).select("item", "length"), scratch, capacity, rounds)
-    # a round has under 2**20 parts, a part under 2**24 sequences
-    number = F.shiftleft(F.shiftleft(F.col("round").cast("bigint"), 20) + F.col("part"), 24) + F.col("sequence")
-    placed = packed.select("item", number.alias("sequence_id"), "offset")
+    packed = pack(pieces.filter(F.col("length") < capacity).select("item", "length"), scratch, capacity, misses)
+    placed = packed.select("item", sequence_number().alias("sequence_id"), "offset")
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     whole = pieces.filter(F.col("length") >= capacity)
     return (

@@ -99,11 +99,41 @@ def test_exchange_saves_sequences(spark, monkeypatch):
     """Halves dealt to many small partitions leave gaps that an exchange closes."""
     monkeypatch.setattr(packing, "PART", 3)
     items = spark.range(60).selectExpr("id as item", "50L as length").repartition(2)
-    alone = packing.pack(items, Scratch(spark, "t"), 100, rounds=0).select("round", "part", "sequence").distinct().count()
-    packed = packing.pack(items, Scratch(spark, "t"), 100, rounds=6)
+    alone = packing.pack(items, Scratch(spark, "t"), 100, misses=0).select("round", "part", "sequence").distinct().count()
+    packed = packing.pack(items, Scratch(spark, "t"), 100)
     assert packed.count() == packed.select("item").distinct().count() == 60
     assert 30 <= packed.select("round", "part", "sequence").distinct().count() < alone
 
 
+def test_rounds_go_on_while_they_save(spark, monkeypatch):
+    """Many small parts take rounds while they save; the gap to the bound closes by half and more."""
+    monkeypatch.setattr(packing, "PART", 12)
+    rng = random.Random(5)
+    lengths = [rng.randrange(10, 41) for _ in range(800)]
+    items = spark.createDataFrame(list(enumerate(lengths)), "item long, length long").repartition(2)
+    packed = packing.pack(items, Scratch(spark, "t"), 100).collect()
+    assert max(r["round"] for r in packed) >= 4
+    per, room = {}, {}
+    for r in packed:
+        key = (r["round"], r["part"], r["sequence"])
+        per.setdefault(key, []).append((r["offset"], lengths[r["item"]]))
+        room[key] = room.get(key, 0) + lengths[r["item"]]
+    assert len(packed) == 800 and max(room.values()) <= 100
+    for places in per.values():
+        places.sort()
+        assert [o for o, _ in places] == np.cumsum([0, *[n for _, n in places][:-1]]).tolist()
+    alone = packing.pack(items, Scratch(spark, "t"), 100, misses=0).select("round", "part", "sequence").distinct().count()
+    bound = packing.lower_bound(np.array(lengths), 100)
+    assert bound <= len(per) <= bound + 0.5 * (alone - bound)
+
+
+def test_sequence_numbers_raise_before_they_meet(spark):
+    rows = [(1, 2, 3), (1023, 2**31 - 1, 2**22 - 1)]
+    df = spark.createDataFrame(rows, "round int, part long, sequence long")
+    assert [r[0] for r in df.select(packing.sequence_number()).collect()] == [(1 << 53) + (2 << 22) + 3, 2**63 - 1]
+    with pytest.raises(Exception, match="too many"):
+        spark.createDataFrame([(1, 2, 2**22)], "round int, part long, sequence long").select(packing.sequence_number()).collect()
+
+
 def test_an_empty_table(spark):
     assert packing.pack_documents(documents(spark, []), tokenizer_path()).count() == 0
