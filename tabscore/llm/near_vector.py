@@ -4,8 +4,10 @@ A vector belongs to the cell of its nearest centre, and visits cells with a
 smaller number that a linked vector may belong to. If x is in cell A and y in
 cell B, then <x, A - B> <= <x - y, A - B> <= |x - y| |A - B|, and linked unit
 vectors are at most the chord sqrt(2 - 2 * threshold) apart. With ``margin`` 1 no
-link is lost, whatever the centres are. The default takes three deviations of
-a chord in a random direction of the space, 3 / sqrt(dimension) of its length.
+link is lost, whatever the centres are. The default takes three deviations of a chord
+in a random direction of the space that the vectors spread over: 3 / sqrt(directions) of its
+length, where the directions are counted by the eigenvalues of the sample's covariance
+((sum)^2 / sum of squares). Vectors of up to nine directions get the full margin.
 """
 
 from __future__ import annotations
@@ -52,20 +54,28 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def fit_centres(vectors: DataFrame, n: int, dim: int, seed: int = 11) -> np.ndarray:
-    """Unit centres by spherical k-means over a sample of about ``TRAIN_ROWS`` vectors."""
+def fit_centres(vectors: DataFrame, n: int, dim: int, seed: int = 11) -> tuple[np.ndarray, float]:
+    """Unit centres by spherical k-means over a sample of about ``TRAIN_ROWS`` vectors, and the directions these spread over."""
     share = min(1.0, TRAIN_ROWS / max(1, n))
     sample = vectors.filter(F.pmod(F.xxhash64("copy"), F.lit(1_000_003)) < share * 1_000_003)
     points = sample.select(array_to_vector("v").alias("features")).coalesce(6).persist()
-    k = min(MAX_CELLS, points.count(), max(1, round(n / CELL)))
+    drawn = np.array([r["features"].toArray() for r in points.collect()]).reshape(-1, dim)
+    k = min(MAX_CELLS, len(drawn), max(1, round(n / CELL)))
     if k < 2:
         points.unpersist()
-        return np.eye(1, dim)
+        return np.eye(1, dim), 1.0
     means = KMeans(k=k, maxIter=8, seed=seed, distanceMeasure="cosine", initMode="random").fit(points)
     centres = np.array(means.clusterCenters())
     points.unpersist()
     length = np.linalg.norm(centres, axis=1, keepdims=True)
-    return centres / np.where(length > 0, length, 1)
+    return centres / np.where(length > 0, length, 1), directions(drawn)
+
+
+def directions(points: np.ndarray) -> float:
+    """How many directions points spread over: the squared sum of their covariance's eigenvalues over the sum of squares."""
+    spread = np.cov(points.T, bias=True).reshape(points.shape[1], -1)
+    squares = float((spread * spread).sum())
+    return max(1.0, float(np.trace(spread)) ** 2 / squares) if squares > 0 else 1.0
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -139,9 +149,10 @@ def _block_links(threshold: float, dim: int):
     return run
 
 
-def _links(scratch: Scratch, own: DataFrame, n: int, dim: int, threshold: float, margin: float) -> DataFrame:
+def _links(scratch: Scratch, own: DataFrame, n: int, dim: int, threshold: float, margin: float | None) -> DataFrame:
     """``a, b, links``: parts of each vector's number of links, each with a vector it is linked to by a chain."""
-    centres = fit_centres(own, n, dim)
+    centres, spread = fit_centres(own, n, dim)
+    margin = min(1.0, 3 / math.sqrt(spread)) if margin is None else margin
     reach = margin * math.sqrt(2 - 2 * threshold) + 1e-9
     schema = "cell int, home boolean, copy binary, n long, v array<double>"
     dealt = scratch.save(own.mapInArrow(_assign(centres, reach), schema), f"cells-{dim}")
@@ -184,6 +195,9 @@ def near_duplicates(
     with their number; they link with each other. component_id is the smallest vec_id
     reachable by links, itself included. Vectors of different dimension don't link. An
     empty table gives no rows; other columns are not read.
+
+    ``margin`` 1 finds every link. The default may lose links across cells where linked
+    vectors differ in other directions than the vectors at large; see the module.
     """
     scratch = Scratch(rows.sparkSession, "near-vector")
     named = rows.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("e"))
@@ -194,8 +208,7 @@ def near_duplicates(
     found = scratch.spark.createDataFrame([], "a binary, b binary, links long")
     for d in sizes:  # one for each dimension that occurs
         part = distinct.filter(F.size("v") == d["d"])
-        reach = min(1.0, 3 / math.sqrt(d["d"])) if margin is None else margin
-        found = found.union(_links(scratch, part, d["n"], d["d"], threshold, reach))
+        found = found.union(_links(scratch, part, d["n"], d["d"], threshold, margin))
     found = scratch.save(found, "found")
     degree = found.groupBy(F.col("a").alias("copy")).agg(F.sum("links").alias("links"))
     roots = components(scratch, found).withColumnRenamed("node", "copy")

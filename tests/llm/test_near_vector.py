@@ -68,6 +68,31 @@ def test_recall_of_the_default_margin(spark):
     assert links >= sum(r.n_links for r in got) >= 0.999 * links
 
 
+def low_rank(rank, n, seed):
+    rng = np.random.default_rng(seed)
+    turn = np.linalg.qr(rng.normal(size=(64, 64)))[0][:rank]
+    return (rng.normal(size=(n, rank)) @ turn).tolist()
+
+
+@pytest.mark.parametrize("rank, cell", [(4, 25), (8, 25)])
+def test_no_link_is_lost_among_vectors_of_low_rank(spark, monkeypatch, rank, cell):
+    """A hundred cells of vectors that differ in the directions in which the centres do."""
+    monkeypatch.setattr(near_vector, "CELL", cell)
+    rows = list(enumerate(low_rank(rank, 2500, rank)))
+    unit = np.array([v for _, v in rows], np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.95).sum(1) - 1
+    got = {r.vec_id: r.n_links for r in near_vector.near_duplicates(table(spark, rows)).collect()}
+    assert [got[i] for i in range(2500)] == want.tolist() and want.sum() > (10_000 if rank == 4 else 100)
+
+
+def test_directions():
+    rng = np.random.default_rng(1)
+    assert 60 < near_vector.directions(rng.normal(size=(5000, 64))) < 64
+    assert 3.9 < near_vector.directions(np.array(low_rank(4, 5000, 2))) <= 4.01
+    assert near_vector.directions(np.zeros((5, 3))) == 1.0
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None)], [(1, [0.0, 0.0])]])
 def test_nothing_to_link(spark, rows):
     out = near_vector.near_duplicates(table(spark, rows)).collect()
