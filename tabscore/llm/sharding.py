@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tabscore.sources.scratch import path_exists
+
 N_SLOTS = 4096
 
 
@@ -128,6 +130,9 @@ def shard_documents(
 ) -> DataFrame:
     """Documents on shards of nearly equal bytes, by the latest version of a stored map.
 
+    A path without a map gets version 0; every call adds the next version. A map of another
+    number of slots, or with shards beyond ``n_shards``, raises.
+
     A record's slot hashes its doc_id, text size and text CRC, so neither a
     repeated doc_id nor null ones gather in a slot; rows equal in all three do.
     Null text counts as empty, a size is its UTF-8 bytes plus 1. An empty table
@@ -141,6 +146,11 @@ def shard_documents(
         F.crc32(text).alias("text_crc32"),
     ).withColumn("virtual_slot", slot_of("doc_id", "size", "text_crc32", n_slots=n_slots))
     sizes = slot_sizes(rows, "size", n_slots)
-    store_map(first_map(spark, n_shards, n_slots), map_path)
-    store_map(rebalance(read_map(spark, map_path), sizes, n_shards), map_path)
+    if not path_exists(spark, map_path):
+        store_map(first_map(spark, n_shards, n_slots), map_path)
+    latest = read_map(spark, map_path)
+    slots, last = latest.agg(F.count("*"), F.max("shard")).first()
+    if slots != n_slots or last >= n_shards:
+        raise ValueError(f"the map at {map_path} has {slots} slots and shards up to {last}, not {n_slots} slots on {n_shards} shards")
+    store_map(rebalance(latest, sizes, n_shards), map_path)
     return place(rows, read_map(spark, map_path), sizes, ["doc_id", "size", "text_crc32"])

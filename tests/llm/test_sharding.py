@@ -52,6 +52,46 @@ def test_versions_stay_and_a_new_shard_only_takes(spark, tmp_path):
     assert {r.virtual_slot: r.shard for r in sharding.read_map(spark, path, 1).collect()} == old
 
 
+def test_a_second_run_adds_one_version(spark, tmp_path):
+    path = str(tmp_path / "map")
+    first = sharding.shard_documents(documents(spark), path, n_slots=16).collect()
+    again = sharding.shard_documents(documents(spark), path, n_slots=16).collect()
+    maps = spark.read.parquet(path).groupBy("version").count().collect()
+    assert sorted((r["version"], r["count"]) for r in maps) == [(0, 16), (1, 16), (2, 16)]
+    assert len(again) == len(first)
+    for wrong in ({"n_slots": 32}, {"n_slots": 16, "n_shards": 4}):
+        with pytest.raises(ValueError, match="not"):
+            sharding.shard_documents(documents(spark), path, **wrong)
+
+
+def brute_places(rows, slot_map):
+    """Shard and place of each row from the map alone: rows of a shard by slot, then doc_id, size and CRC."""
+    by_shard = defaultdict(list)
+    for r in rows:
+        by_shard[slot_map[r.virtual_slot]].append(r)
+    out = []
+    for shard, own in by_shard.items():
+        own.sort(key=lambda r: (r.virtual_slot, r.doc_id is not None, r.doc_id or 0, r.size, r.text_crc32))
+        out += [(r.doc_id, r.size, r.text_crc32, shard, i) for i, r in enumerate(own)]
+    return out
+
+
+def test_places_are_those_of_a_second_computation(spark, tmp_path):
+    out = placed(spark, tmp_path, None, n_slots=32)
+    sizes = defaultdict(int)
+    for r in out:
+        sizes[r.virtual_slot] += r.size
+    # the rebalancing fold again, in plain Python
+    load, slot_map, mean = [0] * 8, {}, sum(sizes.values()) / 8
+    for slot in sorted(range(32), key=lambda s: (-sizes[s], s)):
+        home = slot * 8 // 32
+        at = home if load[home] + sizes[slot] <= mean else load.index(min(load))
+        load[at] += sizes[slot]
+        slot_map[slot] = at
+    got = sorted(str((r.doc_id, r.size, r.text_crc32, r.shard, r.slot)) for r in out)
+    assert got == sorted(map(str, brute_places(out, slot_map)))
+
+
 def test_rebalancing_a_balanced_map_moves_little(spark, tmp_path):
     spark.range(1).count()
     sizes = spark.range(256).selectExpr("cast(id as int) virtual_slot", "100L bytes", "1L n_rows")
