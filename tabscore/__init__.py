@@ -28,6 +28,7 @@ from tabscore.models.gbt import (
     watchlist,
 )
 from tabscore.models.grid import gbt_grid, grid_search, net_grid, refit
+from tabscore.models.kernel import kernel_svm, kernel_svm_fit
 from tabscore.models.mlp import mlp, mlp_early_stop
 from tabscore.models.net import NetSettings, NetTrainer, net, net_importance, net_model, train_net
 from tabscore.models.rotation import rotation_forest

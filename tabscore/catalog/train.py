@@ -396,6 +396,33 @@ def kernel_svm_polynomial(spark, sf_dir):
     return _judged(model, valid, 0.8)
 
 
+@query("kernel_svm_exact", "select id, true as in_box, true as optimal, true as one_cluster, true as learned from training where validation = 0")
+def kernel_svm_exact(spark, sf_dir):
+    """Clusters of two levels, then all rows as one problem: every multiplier is in its box, every row keeps the optimality conditions.
+
+    The box is [0, cost]; a row that keeps them has a margin that its multiplier asks for, to the tolerance.
+    """
+    train, valid = _crossed(spark, sf_dir)
+    cost, tol = 4.0, 0.05
+    options = {"gamma": 0.5, "cost": cost, "k": 3, "levels": 2, "m": 200, "tol": tol}
+    model, state = ts.kernel_svm_fit(train, CROSSED_COLS, early=False, **options)
+    scores = ts.score(model, valid, "id", "p1", ["target"])
+    learned = ts.auc(scores, "target", "p1").select((F.col("auc") >= 0.9).alias("learned")).scalar()
+    own = model.transform(train).select("id", (F.col("margin") * (2 * F.col("target") - 1)).alias("yf"), F.xxhash64("id", F.lit(2016)).alias("row"))
+    met = own.join(state.withColumnRenamed("id", "row"), "row")
+    a, yf = F.col("a"), F.col("yf")
+    right = F.when(a <= 1e-9, yf >= 1 - 2 * tol).when(a >= cost - 1e-9, yf <= 1 + 2 * tol).otherwise(F.abs(yf - 1) <= 2 * tol)
+    in_box = a.between(0, cost)
+    return met.select("id", in_box.alias("in_box"), right.alias("optimal"), (F.col("cluster") == 0).alias("one_cluster"), learned.alias("learned"))
+
+
+@query("kernel_svm_early", _JUDGED)
+def kernel_svm_early(spark, sf_dir):
+    """Two levels of kernel k-means; a row is judged by the SVM of its cluster."""
+    train, valid = _crossed(spark, sf_dir)
+    return _judged(ts.kernel_svm(train, CROSSED_COLS, gamma=0.5, cost=4.0, k=3, levels=2, m=200, tol=0.05), valid, 0.9)
+
+
 @query("gated_experts", _JUDGED)
 def gated_experts(spark, sf_dir):
     train, valid, _ = _splits(spark, sf_dir)
