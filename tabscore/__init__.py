@@ -15,6 +15,7 @@ from tabscore.functions.columns import (
     z,
 )
 from tabscore.models.boost import boost, boost_importance, boost_stages, boost_trees
+from tabscore.models.experts import balanced_assign, balanced_experts
 from tabscore.models.gbt import (
     best_rounds,
     deviance_by_round,
@@ -31,6 +32,7 @@ from tabscore.models.grid import gbt_grid, grid_search, net_grid, refit
 from tabscore.models.kernel import kernel_svm, kernel_svm_fit
 from tabscore.models.mlp import mlp, mlp_early_stop
 from tabscore.models.net import NetSettings, NetTrainer, net, net_importance, net_model, train_net
+from tabscore.models.pruning import prune_tree, pruning_sequence
 from tabscore.models.rotation import rotation_forest
 from tabscore.models.score import score, score_many
 from tabscore.models.store import load_model, save_model

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.classification import DecisionTreeClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -429,6 +431,44 @@ def gated_experts(spark, sf_dir):
     return _judged(ts.gated_experts(train, COLS, m=4, hidden=6, rounds=2, max_iter=15), valid)
 
 
+@query("balanced_experts", "select id, true as in_range, true as learned, true as falls, true as even from valid")
+def balanced_experts(spark, sf_dir):
+    """Experts of equal size behind a trained gate: the loss falls every round, loads differ by one at most."""
+    train, valid = _crossed(spark, sf_dir)
+    model, history, assigned = ts.balanced_experts(train, CROSSED_COLS, m=4, hidden=8, rounds=3, epochs=6)
+    before = history.select((F.col("round") + 1).alias("round"), F.col("loss").alias("before"))
+    falls = history.join(before, "round", "left").agg(F.bool_and(F.coalesce(F.col("loss") < F.col("before"), F.lit(True)))).scalar()
+    loads = assigned.groupBy("expert").agg(F.count("*").alias("n"))
+    even = loads.agg((F.max("n") - F.min("n") <= 1) & (F.count("*") == 4)).scalar()
+    return _judged(model, valid, 0.8).select("*", falls.alias("falls"), even.alias("even"))
+
+
+@query(
+    "pruning_sequence",
+    f"""with t as (select f14 as x, {ONE} as y from training where validation = 0),
+    v as (select x, sum(1 - y) as n0, sum(y) as n1 from t group by x),
+    c as (select sum(n0) over w as l0, sum(n1) over w as l1, sum(n0) over () as a0, sum(n1) over () as a1 from v window w as (order by x)),
+    s as (select *, a0 - l0 as r0, a1 - l1 as r1 from c where l0 + l1 < a0 + a1),
+    b as (select *, least(l0, l1) + least(r0, r1) as risk, least(a0, a1) as whole from s order by l0 * l1 / (l0 + l1) + r0 * r1 / (r0 + r1) limit 1)
+    select 0 as step, 0::double as alpha, 0::double as cp, 2 as leaves, risk::double as risk from b
+    union all select 1, whole - risk, {s6('(whole - risk) / whole')}, 1, whole::double from b""",
+)
+def pruning_sequence(spark, sf_dir):
+    """A tree of one split, and the price of a leaf from which its root alone is better."""
+    contest = rows(spark, sf_dir).withColumn("target", F.expr(ONE))
+    train = ts.training(contest).filter("validation = 0").select("target", "f14")
+    vectors = VectorAssembler(inputCols=["f14"], outputCol="features").transform(train)
+    tree = DecisionTreeClassifier(labelCol="target", maxDepth=1, maxBins=128).fit(vectors)
+    return rounded(ts.pruning_sequence(tree), "alpha", "cp", "risk")
+
+
+@query("pruned_forest", _JUDGED)
+def pruned_forest(spark, sf_dir):
+    """Deep trees on rotated features, each cut to the best one at a price of a hundredth of the root's risk."""
+    train, valid, _ = _splits(spark, sf_dir)
+    return _judged(ts.rotation_forest(train, COLS, members=3, depth=8, prune=0.01), valid)
+
+
 @query("model_roundtrip", _ALL_VALID)
 def model_roundtrip(spark, sf_dir):
     train, valid, _ = _splits(spark, sf_dir)

@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabscore.models.grid import fit_all
-from tabscore.models.stages import MeanProbability
+from tabscore.models.pruning import prune_tree
+from tabscore.models.stages import ClassVector, MeanProbability
 
 
 def member_covariances(
@@ -72,9 +73,13 @@ def rotation_forest(
     depth: int = 5,
     share: float = 0.75,
     parallelism: int = 2,
+    prune: float | None = None,
 ) -> PipelineModel:
     """Mean of ``members`` trees, each on its own rotation of the features.
 
+    ``prune`` cuts each tree to the one that is best when a leaf costs that part of
+    the root's risk (grow them deep then); without it trees stay as they are grown.
+
     Per member the features are dealt into ``subsets`` random groups (default:
     three features a group); each group is rotated to its principal axes on a
     ``share`` row sample. All axes are kept and the tree sees all rows.
@@ -110,6 +115,10 @@ def rotation_forest(
             probabilityCol=f"__p{m}",
         )
         fitted = tree.fit(vector.transform(rotate.transform(data.select(label, *cols))).select(label, f"__v{m}"))
+        if prune is not None:
+            cut = prune_tree(fitted, names, prune, f"__q{m}")
+            gone = SQLTransformer(statement=f"SELECT * EXCEPT (__q{m}, {', '.join(names)}) FROM __THIS__")
+            return PipelineModel([rotate, cut, ClassVector(inputCol=f"__q{m}", outputCol=f"__p{m}"), gone])
         drop = SQLTransformer(statement=f"SELECT * EXCEPT (__v{m}, __c{m}, __w{m}) FROM __THIS__")
         return PipelineModel([rotate, vector, tidy, fitted, drop])
 

@@ -33,6 +33,19 @@ class MeanProbability(Transformer, HasInputCols, HasOutputCol, DefaultParamsRead
         return averaged.withColumn(self.getOutputCol(), vector).drop("__p1", *members)
 
 
+class ClassVector(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """A column of class-1 probabilities as a vector of both classes."""
+
+    @keyword_only
+    def __init__(self, *, inputCol=None, outputCol=None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        p1 = F.col(self.getInputCol())
+        return df.withColumn(self.getOutputCol(), array_to_vector(F.array(1 - p1, p1)))
+
+
 class MatrixProjection(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
     """``W x + b`` of a vector column, or its scaled cosine.
 

@@ -225,7 +225,7 @@ def _listed(values: DataFrame, spans: list[tuple]) -> list:
     return sorted(counts, key=lambda r: r["value"])
 
 
-def _select_ranks(values: DataFrame, ends: dict, ranks: dict[str, set[int]]) -> dict[tuple[str, int], float]:
+def select_ranks(values: DataFrame, ends: dict, ranks: dict[str, set[int]]) -> dict[tuple[str, int], float]:
     """The values at the wanted ranks (from 1) of each variable, by counting in ever smaller intervals.
 
     Each pass counts the buckets of the open intervals and keeps those that hold a
@@ -271,7 +271,7 @@ def _order_statistics(df: DataFrame, cols: list[str], probs: tuple[float, ...])
     ends = {v: (r["least"], r["most"], r["n"]) for v, r in seen.items()}
     spots = {v: [(n - 1) * float(p) for p in probs] for v, (_, _, n) in ends.items()}
     ranks = {v: {k + 1 for h in hs for k in (math.floor(h), math.ceil(h))} for v, hs in spots.items()}
-    at = _select_ranks(values, ends, ranks)
+    at = select_ranks(values, ends, ranks)
     release(wide)
     out = []
     for v, hs in spots.items():

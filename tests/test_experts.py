@@ -1,0 +1,161 @@
+"""Balanced dealing, the gate's gradient, mixtures; cost-complexity pruning by hand."""
+
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.ml.classification import DecisionTreeClassifier
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import functions as F
+
+import tabscore as ts
+from tabscore.models import experts as ex
+from tabscore.models import pruning as pr
+
+
+def brute_deal(rows, m):
+    """The rounds of asking and taking, one row after the other."""
+    room = [len(rows) // m + (e < len(rows) % m) for e in range(m)]
+    out, waiting = {}, dict(rows)
+    while waiting:
+        asked = {}
+        for i, w in waiting.items():
+            e = max((e for e in range(m) if room[e]), key=lambda e: (w[e], -e))
+            asked.setdefault(e, []).append((w[e], i))
+        for e, those in asked.items():
+            for _, i in sorted(those, reverse=True)[: room[e]]:
+                out[i] = e
+                del waiting[i]
+            room[e] -= min(room[e], len(those))
+    return out
+
+
+@pytest.mark.parametrize("n, m, kind", [(103, 4, "random"), (60, 7, "tied"), (40, 3, "hot"), (5, 8, "random"), (12, 3, "signed")])
+def test_rows_are_dealt_in_equal_numbers(spark, n, m, kind):
+    rng = np.random.default_rng(n)
+    w = {
+        "random": lambda: rng.random((n, m)),
+        "tied": lambda: rng.integers(0, 3, (n, m)) / 2,
+        "hot": lambda: np.tile([1.0] + [0.0] * (m - 1), (n, 1)),
+        "signed": lambda: rng.normal(size=(n, m)),
+    }[kind]()
+    ids = rng.integers(-(2**62), 2**62, n).tolist()
+    rows = list(zip(ids, w.tolist()))
+    got = ex.balanced_assign(spark.createDataFrame(rows, "id long, w array<double>").repartition(3), m)
+    found = {r["id"]: r["expert"] for r in got.collect()}
+    loads = Counter(found.values())
+    assert len(found) == n and max(loads.values()) - min(loads.get(e, 0) for e in range(m)) <= 1
+    assert found == brute_deal(rows, m)
+
+
+def test_gates_gradient_is_that_of_finite_differences():
+    rng = np.random.default_rng(2)
+    gate = ex.Gate(3, 4, 5)
+    flat = gate.start(1) + rng.normal(scale=0.2, size=gate.size)
+    x, y, s = rng.normal(size=(11, 3)), rng.choice([-1.0, 1.0], 11), rng.normal(size=(11, 5))
+    loss, grad = gate.gradient(flat, x, y, s)
+    mix = (gate.weights(flat, x) * s).sum(1)
+    assert loss == pytest.approx(np.log1p(np.exp(-y * mix)).sum())
+    for i in range(gate.size):
+        at = np.zeros(gate.size)
+        at[i] = 1e-6
+        slope = (gate.gradient(flat + at, x, y, s)[0] - gate.gradient(flat - at, x, y, s)[0]) / 2e-6
+        assert slope == pytest.approx(grad[i], abs=1e-5)
+
+
+def crossed(spark, n=900):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(n, 3))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(int)
+    return spark.createDataFrame([(i, int(t), *map(float, r)) for i, (t, r) in enumerate(zip(y, x))], "id long, target int, a double, b double, c double")
+
+
+def test_mixture_learns_what_one_svm_cannot(spark, tmp_path):
+    df = crossed(spark)
+    model, history, assigned = ts.balanced_experts(df, ["a", "b", "c"], m=4, hidden=8, rounds=3, epochs=6)
+    losses = [r["loss"] for r in history.orderBy("round").collect()]
+    assert all(b < a for a, b in zip(losses, losses[1:])) and len(losses) >= 2
+    loads = Counter(r["expert"] for r in assigned.collect())
+    assert sum(loads.values()) == 900 and max(loads.values()) - min(loads.values()) <= 1
+    area = ts.auc(ts.score(model, df, "id", "p1", ["target"]), "target", "p1").first()["auc"]
+    assert area > 0.9
+    ts.save_model(model, f"{tmp_path}/m")
+    assert ts.score(ts.load_model(f"{tmp_path}/m"), df, "id").collect() == ts.score(model, df, "id").collect()
+
+
+def test_the_threshold_stops_the_rounds(spark):
+    _, history, _ = ts.balanced_experts(crossed(spark, 200), ["a", "b", "c"], m=2, hidden=3, rounds=5, threshold=0.9, epochs=1)
+    assert history.count() == 1
+
+
+def by_hand():
+    """Twelve rows on a line; cuts at 3, 6 and 9 part classes 0000 1111 0001 0011 of four rows each."""
+    labels = [0] * 4 + [1] * 4 + [0, 0, 0, 1] + [0, 0, 1, 1]
+    n = pr.Node
+    leaves = [n((4.0, 0.0)), n((0.0, 4.0)), n((3.0, 1.0)), n((2.0, 2.0))]
+    left = n((4.0, 4.0), 0, 3.0, leaves[0], leaves[1])
+    right = n((5.0, 3.0), 0, 11.0, leaves[2], leaves[3])
+    return labels, n((9.0, 7.0), 0, 7.0, left, right)
+
+
+def test_links_by_hand():
+    """The right branch saves nothing (3 rows wrong with and without); the left one 4 rows for one leaf; the root's then 0 of 7 - 3 - 4."""
+    _, root = by_hand()
+    assert [s.link() for s in root.splits()] == [(7 - 3) / 3, 4.0, 0.0]
+    pr.cut_links(root, 0.0)
+    assert len(root.leaves()) == 3 and [s.link() for s in root.splits()] == [2.0, 4.0]
+    pr.cut_links(root, 1.9)
+    assert len(root.leaves()) == 3
+    pr.cut_links(root, 2.0)
+    assert root.left is None and root.risk == 7
+
+
+def grown(spark, depth=6):
+    df = crossed(spark, 600).withColumn("target", F.when(F.col("id") % 9 == 0, 1 - F.col("target")).otherwise(F.col("target")))
+    rows = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(df)
+    return df, DecisionTreeClassifier(labelCol="target", maxDepth=depth, seed=1).fit(rows)
+
+
+def best_subtree(node, alpha):
+    """Least cost of any pruned subtree, and its number of leaves (least of equal costs), by trying both ways at each split."""
+    alone = (node.risk + alpha, 1)
+    if node.left is None:
+        return alone
+    a, b = best_subtree(node.left, alpha), best_subtree(node.right, alpha)
+    both = (a[0] + b[0], a[1] + b[1])
+    return both if both[0] < alone[0] - 1e-9 else alone
+
+
+def test_sequence_holds_the_best_subtree_of_every_price(spark):
+    _, model = grown(spark)
+    steps = ts.pruning_sequence(model).orderBy("step").collect()
+    assert len(steps) > 4 and steps[-1]["leaves"] == 1
+    alphas = [r["alpha"] for r in steps]
+    assert alphas == sorted(alphas) and all(b > a for a, b in zip(alphas, alphas[1:]))
+    assert all(b["leaves"] < a["leaves"] and b["risk"] > a["risk"] for a, b in zip(steps, steps[1:]))
+    root = pr.read_tree(model)
+    for r, after in zip(steps, [*alphas[1:], alphas[-1] + 5]):
+        cost, leaves = best_subtree(root, (r["alpha"] + after) / 2)
+        assert leaves == r["leaves"] and cost == pytest.approx(r["risk"] + leaves * (r["alpha"] + after) / 2)
+
+
+def test_pruned_trees_score_as_their_leaves(spark):
+    df, model = grown(spark)
+    rows = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(df)
+    whole = {r["id"]: r["probability"][1] for r in model.transform(rows).select("id", "probability").collect()}
+    uncut = ts.prune_tree(model, ["a", "b", "c"], -1.0)
+    assert {r["id"]: r["p1"] for r in uncut.transform(df).collect()} == pytest.approx(whole)
+    few = ts.prune_tree(model, ["a", "b", "c"], 0.02).transform(df).select("p1").distinct().count()
+    step = ts.pruning_sequence(model).filter("cp <= 0.02").orderBy(F.desc("step")).first()
+    assert few <= step["leaves"] < len(set(whole.values()))
+    assert ts.prune_tree(model, ["a", "b", "c"], 10.0).transform(df).select("p1").distinct().count() == 1
+
+
+def test_pruned_forest(spark, tmp_path):
+    df, _ = grown(spark)
+    forest = ts.rotation_forest(df, ["a", "b", "c"], members=3, depth=8, prune=0.01)
+    scored = ts.score(forest, df, "id", "p1", ["target"])
+    assert ts.auc(scored, "target", "p1").first()["auc"] > 0.7
+    assert scored.columns == ["id", "target", "p1"] and scored.filter("p1 between 0 and 1").count() == 600
+    ts.save_model(forest, f"{tmp_path}/f")
+    assert ts.score(ts.load_model(f"{tmp_path}/f"), df, "id", "p1", ["target"]).collect() == scored.collect()
