@@ -98,7 +98,7 @@ from tabscore.plans.features import (
 from tabscore.plans.tournament import public_private_auc, rank_latest, validate_submission
 from tabscore.session import tune
 from tabscore.sources.contest import contest, order_features, tournament, training
-from tabscore.sources.scratch import materialize, release
+from tabscore.sources.scratch import materialize, release, release_scratch
 from tabscore.sources.tables import read_submission, read_table, write_features, write_submission
 from tabscore.streaming.live import score_stream
 

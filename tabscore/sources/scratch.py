@@ -15,12 +15,43 @@ def checkpoint_root(spark: SparkSession) -> str | None:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Folder for files: the checkpoint folder, else the session's warehouse. Executors share both."""
-    return checkpoint_root(spark) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    """Folder for files that all executors share: the checkpoint folder, else the session's warehouse.
+
+    A warehouse on the local disk is shared in local mode only; on a cluster it raises.
+    """
+    root = checkpoint_root(spark)
+    if root is None:
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        scheme = path.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme()
+        master = spark.sparkContext.master
+        if scheme == "file" and not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"{root} is a local folder of each machine: set spark.checkpoint.dir to a shared one")
+    return root
+
+
+_made: dict[str, set[str]] = {}  # by application: the folders that it has made
+
+
+def made(spark: SparkSession, path: str) -> str:
+    """Note a folder that ``release_scratch`` is to delete."""
+    _made.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    return path
 
 
 def scratch_path(spark: SparkSession, name: str = "table") -> str:
-    return f"{scratch_root(spark)}/tabscore-{name}-{uuid.uuid4().hex}"
+    return made(spark, f"{scratch_root(spark)}/tabscore-{name}-{uuid.uuid4().hex}")
+
+
+def release_scratch(spark: SparkSession) -> int:
+    """Delete all files that this application has written for itself, and return the number of folders.
+
+    Frames that read them are lost: call it when every result is written elsewhere.
+    """
+    paths = _made.pop(spark.sparkContext.applicationId, set())
+    for path in paths:
+        delete_path(spark, path)
+    return len(paths)
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:

@@ -132,3 +132,29 @@ def test_tune_respects_the_user(spark):
         assert spark.conf.get(key) == "20000"
     finally:
         spark.conf.set(key, before)
+
+
+class _Elsewhere:
+    """The session as it would be on a cluster."""
+
+    def __init__(self, spark):
+        self._spark, self.conf, self._jvm, self._jsc = spark, spark.conf, spark._jvm, spark._jsc
+        self.sparkContext = type("Context", (), {"master": "spark://host:7077", "getCheckpointDir": lambda self: None})()
+
+
+def test_a_local_folder_is_no_scratch_folder_of_a_cluster(spark, monkeypatch):
+    monkeypatch.setattr(scratch, "checkpoint_root", lambda session: None)
+    assert scratch.scratch_root(spark)
+    with pytest.raises(RuntimeError, match="shared"):
+        scratch.scratch_root(_Elsewhere(spark))
+
+
+def test_scratch_is_released(spark):
+    kept = scratch._made.copy()
+    scratch._made.clear()
+    path = scratch.scratch_path(spark, "once")
+    scratch.write_table(spark.range(3), path)
+    assert scratch.path_exists(spark, path)
+    assert ts.release_scratch(spark) == 1 and not scratch.path_exists(spark, path)
+    assert ts.release_scratch(spark) == 0
+    scratch._made.update(kept)
