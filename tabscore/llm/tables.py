@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabscore.sources.scratch import delete_path, scratch_root, write_table
+from tabscore.sources.scratch import delete_path, scratch_path, write_table
 
 # A table of so many narrow rows (tens of megabytes) may be sent to every task.
 BROADCAST_ROWS = 200_000
@@ -21,12 +19,13 @@ class Scratch:
     """Tables of one job in a folder that all executors share.
 
     ``save`` writes a table and reads it back: the lineage ends there, and a lost
-    executor costs a re-read. ``drop`` deletes tables that no later step reads.
+    executor costs a re-read. ``drop`` deletes tables that no later step reads;
+    ``release_scratch`` deletes the rest when the job's results are written.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{scratch_root(spark)}/tabscore-{name}-{uuid.uuid4().hex}"
+        self.root = scratch_path(spark, name)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         return write_table(df, f"{self.root}/{name}")

@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabscore.llm.tables import Scratch, small
+from tabscore.llm.tables import Scratch
 
+ERA = 64  # days; intervals and times meet by stretches of so many
 HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/@?#]*@)?([^/:?#]+)"
 
 
@@ -29,7 +30,7 @@ def host_patterns(host: str = "host") -> Column:
 
 
 def validity(entries: DataFrame) -> DataFrame:
-    """``pattern, intervals``: of entries ``pattern, at, nth, action``, when each held.
+    """``pattern, since, until, action``: of entries ``pattern, at, nth, action``, when each held.
 
     An entry holds from ``at`` until the next entry of its pattern, in the order of
     ``at`` and then ``nth``; the last holds on. An entry of the same time as a later one
@@ -40,8 +41,31 @@ def validity(entries: DataFrame) -> DataFrame:
     order = Window.partitionBy("pattern").orderBy("at", F.col("nth").asc_nulls_first(), "action")
     held = whole.withColumn("until", F.lead("at").over(order))
     held = held.filter((F.col("action") != "drop") & (F.col("until").isNull() | (F.col("until") > F.col("at"))))
-    row = F.struct(F.col("at").alias("since"), "until", "action")
-    return held.groupBy("pattern").agg(F.sort_array(F.collect_list(row)).alias("intervals"))
+    return held.select("pattern", F.col("at").alias("since"), "until", "action")
+
+
+def _era(time: Column) -> Column:
+    """The stretch of ``ERA`` days that a time is in."""
+    return F.floor(F.unix_date(time.cast("date")) / F.lit(ERA)).cast("int")
+
+
+def as_of(asked: DataFrame, held: DataFrame) -> DataFrame:
+    """``asked`` (``pattern, t``) with ``since, until, action`` of the interval that holds at t; rows without one go.
+
+    Rows meet by pattern and stretch of time, in which an interval is written as often as it
+    covers stretches that are asked about. So neither many intervals of a
+    pattern nor many times of one are one row or one task, and a pair is compared only
+    within a stretch.
+    """
+    ends = asked.agg(F.min(_era(F.col("t"))).alias("low"), F.max(_era(F.col("t"))).alias("high")).first()
+    if ends["low"] is None:
+        return asked.join(held, "pattern").filter(F.lit(False))
+    first = F.greatest(_era(F.col("since")), F.lit(ends["low"]))
+    last = F.least(F.coalesce(_era(F.col("until")), F.lit(ends["high"])), F.lit(ends["high"]))
+    spread = held.withColumns({"__first": first, "__last": last}).filter("__first <= __last")
+    spread = spread.select(*held.columns, F.explode(F.sequence("__first", "__last")).alias("__era"))
+    met = asked.withColumn("__era", _era(F.col("t"))).join(spread, ["pattern", "__era"])
+    return met.filter((F.col("since") <= F.col("t")) & (F.col("until").isNull() | (F.col("until") > F.col("t")))).drop("__era")
 
 
 def judge(captures: DataFrame, entries: DataFrame, url: str = "url", at: str = "fetched_at") -> DataFrame:
@@ -57,13 +81,12 @@ def judge(captures: DataFrame, entries: DataFrame, url: str = "url", at: str = "
     rows = captures.drop("host", "blocked", "pattern", "since", "until").withColumn("host", host_of(url))
     keys = rows.select("host", F.col(at).alias("t")).dropna().distinct()
     asked = keys.select("host", "t", F.explode(host_patterns()).alias("pattern"))
-    active = F.filter("intervals", lambda i: (i["since"] <= F.col("t")) & (i["until"].isNull() | (i["until"] > F.col("t"))))
-    found = asked.join(small(lists), "pattern").withColumn("i", F.try_element_at(active, F.lit(1))).filter("i is not null")
-    decision = F.max(F.struct(F.length("pattern").alias("n"), "pattern", "i")).alias("d")
+    found = as_of(asked, lists)
+    decision = F.max(F.struct(F.length("pattern").alias("n"), "pattern", "since", "until", "action")).alias("d")
     judged = found.groupBy("host", "t").agg(decision)
-    result = {"host": "host", "at": "t", "pattern": "d.pattern", "since": "d.i.since", "until": "d.i.until"}
+    result = {"host": "host", "at": "t", "pattern": "d.pattern", "since": "d.since", "until": "d.until"}
     judged = judged.select(
-        *[F.col(c).alias(f"__{name}") for name, c in result.items()], (F.col("d.i.action") == "block").alias("__blocked")
+        *[F.col(c).alias(f"__{name}") for name, c in result.items()], (F.col("d.action") == "block").alias("__blocked")
     )
     out = rows.join(judged, (F.col("host") == F.col("__host")) & (F.col(at) == F.col("__at")), "left")
     found_columns = [F.col(f"__{name}").alias(name) for name in ("pattern", "since", "until")]

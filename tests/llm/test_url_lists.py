@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 from collections import Counter
 
 import pytest
@@ -58,3 +59,28 @@ def test_each_capture_is_judged_at_its_time(spark):
 @pytest.mark.parametrize("rows, listed", [([], ENTRIES), ([(1, "http://bad.example", D(2024, 1, 15))], [])])
 def test_empty_tables(spark, rows, listed):
     assert [r.blocked for r in url_lists.judge(captures(spark, rows), entries(spark, listed)).collect()] == [False] * len(rows)
+
+
+@pytest.mark.parametrize("era", [1, 64, 100_000])
+def test_patterns_with_many_entries_at_many_times(spark, monkeypatch, era):
+    """A hot host with an entry every few days, asked about on every day and by the hour, before and after them all."""
+    monkeypatch.setattr(url_lists, "ERA", era)
+    start = dt.datetime(1969, 10, 1)
+    rng = random.Random(era)
+    times = sorted(start + dt.timedelta(hours=rng.randrange(24 * 400)) for _ in range(120))
+    listed = [("hot.example", t, i, rng.choice(["block", "allow", "drop"])) for i, t in enumerate(times)]
+    listed += [("example.org", times[5], 0, "block")]
+    hosts = ["hot.example", "a.hot.example", "example.org"]
+    rows = [(i, f"http://{hosts[i % 3]}/", start + dt.timedelta(hours=17 * i - 700)) for i in range(620)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, fetched_at timestamp").repartition(3)
+    got = url_lists.judge(frame, spark.createDataFrame(listed, "pattern string, at timestamp, nth int, action string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        pattern = "example.org" if r.host == "example.org" else "hot.example"
+        own = [(t, i, action) for p, t, i, action in listed if p == pattern]
+        last = max(((t, i, action) for t, i, action in own if t <= r.fetched_at), default=None)
+        if last is None or last[2] == "drop":
+            assert (r.blocked, r.pattern, r.since) == (False, None, None)
+            continue
+        after = min((t for t, _, _ in own if t > last[0]), default=None)
+        assert (r.blocked, r.pattern, r.since, r.until) == (last[2] == "block", pattern, last[0], after)
