@@ -146,7 +146,7 @@ def feature_importance(spark, sf_dir):
 def permutation_importance(spark, sf_dir):
     """A drop for each feature: clear for the two that the target is made of."""
     train, valid, _ = _splits(spark, sf_dir)
-    drops = ts.permutation_importance(ts.mlp(train, SCALED, [6], 15), valid, SCALED)
+    drops = ts.permutation_importance(ts.mlp(train, SCALED, [6], 40), valid, SCALED)
     most = F.max("auc_drop").over(Window.partitionBy())  # one row for each feature
     drop = F.col("auc_drop")
     return drops.select("feature", drop.between(-1, 1).alias("in_range"), (drop > 0.02).alias("matters"), (drop == most).alias("leads"))
