@@ -135,7 +135,7 @@ def test_bins_by_node_find_what_quantiles_cannot(spark):
 
 def test_deep_trees_and_bags(spark):
     df, x, y = table(spark, 900)
-    one, two = [ts.boost(df, COLS, rounds=4, depth=25, eta=0.4, bag=0.5, bins=255, min_hessian=0.0) for _ in range(2)]
+    one, two = [ts.boost(df, COLS, rounds=3, depth=25, eta=0.5, bag=0.5, bins=255, min_hessian=0.0) for _ in range(2)]
     trees = ts.boost_trees(one).collect()
     assert trees == ts.boost_trees(two).collect()  # the same bag for the same seed
     seen = [r["n_rows"] for r in trees if r["node"] == 0]

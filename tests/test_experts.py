@@ -84,7 +84,7 @@ def test_mixture_learns_what_one_svm_cannot(spark, tmp_path):
 
 
 def test_the_threshold_stops_the_rounds(spark):
-    _, history, _ = ts.balanced_experts(crossed(spark, 200), ["a", "b", "c"], m=2, hidden=3, rounds=5, threshold=0.9, epochs=1)
+    _, history, _ = ts.balanced_experts(crossed(spark, 100), ["a", "b", "c"], m=2, hidden=3, rounds=4, threshold=0.9, epochs=1, max_iter=5)
     assert history.count() == 1
 
 
