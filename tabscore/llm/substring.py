@@ -1,15 +1,18 @@
-"""Substring dedup by prefix-partitioned suffix trees.
+"""Substring dedup by partitioned suffix trees.
 
-A suffix is the text from one word on, cut after ``window`` words. Suffixes are
-split by prefixes of variable length into groups that fit a task's memory, and
-each group's subtree is built: its internal nodes at depth ``window`` are the
-repeats, and neighbouring ones of a document join to maximal repeats.
+A suffix is the text from one word on, cut where its piece ends (``window`` words or
+more). Suffixes are split into groups that fit a task's memory, and each group's
+subtree is built: its suffixes in order, and the depth of the node where each leaves
+its neighbour. Internal nodes at depth ``window`` and more are the repeats; the deepest one above
+a suffix is the longest run of its words that another suffix of the group has,
+and the runs of a document join to maximal repeats.
 
 Suffixes that can't repeat are left out early. Of the seeds (runs of ``seed``
 words) of a suffix, the one with the smallest hash picks the suffix's group, so equal
 suffixes are in one group, and neighbouring suffixes mostly too: they travel as
-one piece of text. Of equal pieces of one text, one travels. A piece whose seed occurs once in the corpus is a leaf. A group
-with more pieces than ``GROUP`` is split by longer seeds, at last by whole suffixes.
+one piece of text. (By their own first words, neighbours would go to different groups
+and every word would travel ``window`` times.) Of equal pieces of one text, one travels. A piece whose seed occurs
+once in the corpus is a leaf. A group with more pieces than ``GROUP`` is split by longer seeds, at last by whole suffixes.
 """
 
 from __future__ import annotations
@@ -19,7 +22,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -174,22 +176,54 @@ def _rows(keys, ids, hashes, starts, counts, texts) -> pa.RecordBatch:
     )
 
 
-def repeated(words: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """The suffixes (as words) of texts of one or more groups, and whether each repeats.
+def ranks(words: Words, length: int) -> list[np.ndarray]:
+    """Order-preserving numbers of the 1, 2, 4, ... words from each word on, up to ``length`` words or more.
 
-    The subtree is named level by level (Karp, Miller and Rosenberg): a node at
-    depth 2k is a pair of nodes at depth k, the last level's nodes are at depth
-    ``window``. A node there with two leaves is a repeat.
+    Texts end for themselves: what is cut by an end is smaller than what goes on there. (Karp, Miller and Rosenberg.)
     """
-    name, length = pd.factorize(words.hashes)[0].astype(np.int64), 1
-    while length < window:
-        step = min(length, window - length)
-        name = pd.factorize((name[:-step] << 32) | name[step:])[0].astype(np.int64)
-        length += step
-    text = np.repeat(np.arange(len(words.counts)), words.counts)[: len(name)]
-    at = np.flatnonzero(np.arange(len(name)) + window <= words.first[text + 1])
-    leaves = np.bincount(name[at]) if len(at) else np.zeros(1, int)
-    return at, leaves[name[at]] > 1
+    total = len(words.hashes)
+    left = np.repeat(words.first[1:], words.counts) - np.arange(total)  # words up to the text's end
+    out, size = [np.unique(words.hashes, return_inverse=True)[1].astype(np.int64) + 1], 1
+    while size < length:
+        after = np.zeros(total, np.int64)
+        after[: total - size] = out[-1][size:] if size < total else 0
+        after[left <= size] = 0
+        out.append(np.unique((out[-1] << 32) | after, return_inverse=True)[1].astype(np.int64) + 1)
+        size *= 2
+    return out
+
+
+def subtree(words: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The tree of the suffixes of ``window`` words or more: the suffixes (as words) in order, and between
+    neighbours the depth of the node where they part."""
+    total = len(words.hashes)
+    left = np.repeat(words.first[1:], words.counts) - np.arange(total)
+    at = np.flatnonzero(left >= window)
+    if not len(at):
+        return at, np.zeros(0, np.int64)
+    levels = ranks(words, int(words.counts.max()))
+    order = at[np.argsort(levels[-1][at], kind="stable")]
+    a, b = order[:-1].copy(), order[1:].copy()
+    room = np.minimum(left[a], left[b])
+    depth = np.zeros(len(a), np.int64)
+    for k in range(len(levels) - 1, -1, -1):
+        size = 1 << k
+        x, y = np.minimum(a + depth, total - 1), np.minimum(b + depth, total - 1)
+        same = (depth + size <= room) & (levels[k][x] == levels[k][y])
+        depth[same] += size
+    return order, depth
+
+
+def deepest(words: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes (as words, rising) that lie below an internal node at depth ``window`` or more, and the depth of the deepest."""
+    order, depth = subtree(words, window)
+    above = np.zeros(len(order), np.int64)
+    if len(order) > 1:
+        above[:-1] = depth
+        above[1:] = np.maximum(above[1:], depth)
+    found = np.flatnonzero(above >= window)
+    found = found[np.argsort(order[found], kind="stable")]
+    return order[found], above[found]
 
 
 def _subtrees(window: int):
@@ -200,14 +234,15 @@ def _subtrees(window: int):
             column = table.column("piece").combine_chunks()
             column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
             words = words_of(column.cast(pa.string()))
-            at, twice = repeated(words, window)
-            at = at[twice]
+            at, depth = deepest(words, window)
             if not len(at):
                 continue
             text = np.searchsorted(words.first, at, "right") - 1
+            # runs that touch or overlap join: each begins behind the farthest end before it
+            reach = np.maximum.accumulate(at + depth)  # a text's runs end in it, so no run reaches over a text's end
             new = np.ones(len(at), bool)
-            new[1:] = (at[1:] != at[:-1] + 1) | (text[1:] != text[:-1])
-            begin, end = at[new], at[np.append(np.flatnonzero(new)[1:] - 1, len(at) - 1)] + window
+            new[1:] = (at[1:] > reach[:-1]) | (text[1:] != text[:-1])
+            begin, end = at[new], reach[np.append(np.flatnonzero(new)[1:] - 1, len(at) - 1)]
             row = text[new]
             start = table.column("start").to_numpy()[row] - words.first[row]
             yield pa.RecordBatch.from_arrays(

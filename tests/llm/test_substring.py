@@ -1,9 +1,13 @@
 import hashlib
+import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tabscore.llm import substring
+from tabscore.llm.words import words_of
 from tests.llm.fixtures import corpus, documents, words
 
 
@@ -42,5 +46,43 @@ def test_groups_that_do_not_fit_are_split(spark, monkeypatch):
     assert found(documents(spark), 35) == brute(corpus(), 35)
 
 
+def test_subtrees_are_those_of_all_suffixes():
+    """Suffixes in order of their words' ranks; the depth above each is its longest match with any other."""
+    rng = random.Random(3)
+    for window in (1, 2, 5):
+        texts = [" ".join(f"w{rng.randrange(3)}" for _ in range(rng.randrange(0, 25))) for _ in range(12)]
+        texts += [texts[3], texts[4] + " w9", "a " * 20, ""]
+        found = words_of(pa.array(texts))
+        split = [t.split() for t in texts]
+        suffixes = {int(found.first[i]) + j: w[j:] for i, w in enumerate(split) for j in range(len(w) - window + 1)}
+
+        def match(a, b):
+            return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+        want = {p: max(match(s, t) for q, t in suffixes.items() if q != p) for p, s in suffixes.items()}
+        at, depth = substring.deepest(found, window)
+        assert dict(zip(at.tolist(), depth.tolist())) == {p: d for p, d in want.items() if d >= window}
+        assert (np.diff(at) > 0).all()
+        order, between = substring.subtree(found, window)
+        assert sorted(order.tolist()) == sorted(suffixes)
+        assert between.tolist() == [match(suffixes[a], suffixes[b]) for a, b in zip(order.tolist()[:-1], order.tolist()[1:])]
+
+
+def test_maximal_repeats_are_the_spans(spark):
+    """A passage of 50 words in three texts and one of 40 in two, side by side: one span each, whole."""
+    rng = random.Random(4)
+    long, other = (" ".join(f"{c}{rng.randrange(900)}" for _ in range(n)) for c, n in (("p", 50), ("q", 40)))
+    fill = [" ".join(f"f{i}x{j}" for j in range(20)) for i in range(8)]
+    rows = [f"{fill[0]} {long} {fill[1]}", f"{fill[2]} {long} {fill[3]} {other}", f"{long} {fill[4]} {other} {fill[5]}", f"{fill[6]} {fill[7]}"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")
+    marked = substring.find_repeats(docs, 35).marked.collect()
+    got = {}
+    for r in marked:
+        gone = substring.covered(len(r.text.split()), r.spans)
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], gone, [0]])))
+        got[r.doc_id] = edges.reshape(-1, 2).tolist()
+    assert got == {0: [[20, 70]], 1: [[20, 70], [90, 130]], 2: [[0, 50], [70, 110]]}
+
+
 def test_an_empty_table(spark):
     assert found(documents(spark, []), 35) == []
