@@ -1,10 +1,14 @@
+import math
 from collections import Counter
+from itertools import combinations
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from tabscore.llm import language
+from tabscore.llm.words import mix
 from tests.llm.fixtures import corpus, documents
 
 SF = "/root/testdata/sf0.01"
@@ -52,3 +56,45 @@ def test_without_labels_all_are_undecided(spark, rows):
 
 def test_families_part_first():
     assert language.FAMILY_OF["en"] == language.FAMILY_OF["de"] != language.FAMILY_OF["fr"]
+
+
+def brute_votes(text, model):
+    """A text's language and score by loops: n-grams, machines, families, then the languages of the best one."""
+    data = [b + 32 if 65 <= b <= 90 else 32 if b < 65 or 91 <= b <= 96 or 123 <= b <= 127 else b for b in text.encode()]
+    keys = []
+    for i, one in enumerate(data):
+        back1, back2 = (data[i - k] if i >= k else 32 for k in (1, 2))
+        two = one | back1 << 8 | 1 << 40
+        keys += [one, two, two ^ back2 << 16 ^ 3 << 40]
+    at = (mix(np.array(keys, np.uint64)) >> np.uint64(64 - language.BITS)).astype(int)
+    margin = {(a, b): sum(w[i] for i in at.tolist()) / max(len(at), 1) + c for a, b, w, c in model.pairs}
+
+    def shares(names):
+        part = {n: 1.0 for n in names}
+        for a, b in combinations(names, 2):
+            p = 1 / (1 + math.exp(-4 * margin[a, b]))
+            part[a], part[b] = part[a] * p, part[b] * (1 - p)
+        return {n: v / sum(part.values()) for n, v in part.items()}
+
+    outer = shares(sorted(model.families))
+    family = max(outer, key=outer.get)
+    inner = shares(model.families[family])
+    best = max(inner, key=inner.get)
+    return best, outer[family] * inner[best]
+
+
+def test_votes_are_those_of_loops_over_bytes(spark):
+    rng = np.random.default_rng(5)
+    families = {"germanic": ["de", "en", "nl"], "romance": ["es", "fr"], "xx": ["xx"]}
+    names = [*combinations(sorted(families), 2), *combinations(families["germanic"], 2), *combinations(families["romance"], 2)]
+    pairs = [(a, b, rng.normal(size=1 << language.BITS), rng.normal() / 10) for a, b in names]
+    model = language.Model(families, pairs)
+    out = language.predict(documents(spark).select("doc_id", "text"), model).collect()
+    seen = set()
+    for r in out:
+        if r.lang_pred == "und":
+            continue
+        want, score = brute_votes(r.text, model)
+        assert r.lang_pred == want and abs(r.score - score) < 1e-4
+        seen.add(want)
+    assert len(out) == len(corpus()) and len(seen) > 2
