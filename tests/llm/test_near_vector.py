@@ -86,6 +86,63 @@ def test_no_link_is_lost_among_vectors_of_low_rank(spark, monkeypatch, rank, cel
     assert [got[i] for i in range(2500)] == want.tolist() and want.sum() > (10_000 if rank == 4 else 100)
 
 
+def clusters(n, seed):
+    """Vectors in groups of eight near ones, in all directions."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(n // 8, 32))
+    return (np.repeat(centres, 8, axis=0) + rng.normal(size=(n // 8 * 8, 32)) * 0.22).tolist()
+
+
+def crowd(n, seed):
+    """Vectors around one direction, so near each other that no split helps."""
+    rng = np.random.default_rng(seed)
+    return (np.eye(32)[0] + rng.normal(size=(n, 32)) * 0.03).tolist()
+
+
+def tree(monkeypatch, cell=10, fan=4, split=30, deal=100, block=25):
+    for name, value in {"CELL": cell, "FAN": fan, "SPLIT": split, "DEAL": deal, "BLOCK": block}.items():
+        monkeypatch.setattr(near_vector, name, value)
+
+
+@pytest.mark.parametrize(
+    "vectors, margin",
+    [(clusters(1200, 3), None), (low_rank(8, 900, 4), None), (clusters(400, 7) + crowd(300, 8), 1.0)],
+)
+def test_links_in_a_tree_of_cells_are_those_of_all_pairs(spark, monkeypatch, vectors, margin):
+    tree(monkeypatch)
+    rows = list(enumerate(vectors))
+    out = near_vector.near_duplicates(table(spark, rows), margin=margin).collect()
+    assert sorted((str(r.vec_id), r.n_links, str(r.component_id)) for r in out) == brute(rows, 0.95)
+
+
+def distinct(spark, vectors):
+    return spark.createDataFrame(
+        [(i.to_bytes(16), 1, (np.array(v) / np.linalg.norm(v)).tolist()) for i, v in enumerate(vectors)],
+        "copy binary, n long, v array<double>",
+    ).repartition(3)
+
+
+def test_cells_stay_small_as_vectors_grow(spark, monkeypatch):
+    """At three times the rows cells are no larger (one stays whole if a split wouldn't pay), and a vector is in as few of them."""
+    tree(monkeypatch)
+    copies = []
+    for n in (800, 2400):
+        found = near_vector._cells(near_vector.Scratch(spark, "cells"), distinct(spark, clusters(n, n)), n, 32, 0.95, 0.2)
+        rows = found.select("cell", "home", "homes", "copy").collect()
+        assert len({bytes(r.copy) for r in rows if r.home}) == sum(r.home for r in rows) == n
+        assert max(r.homes for r in rows) <= 2 * near_vector.SPLIT
+        assert len({r.cell for r in rows}) > n / 40
+        copies.append(len(rows) / n)
+    assert copies[1] < 1.5 * copies[0] < 12
+
+
+def test_a_crowd_is_not_split_in_vain(spark, monkeypatch):
+    tree(monkeypatch)
+    found = near_vector._cells(near_vector.Scratch(spark, "cells"), distinct(spark, crowd(500, 9)), 500, 32, 0.95, None)
+    rows = found.select("home", "copy").collect()
+    assert sum(r.home for r in rows) == 500 and len(rows) <= 4 * 500
+
+
 def test_directions():
     rng = np.random.default_rng(1)
     assert 60 < near_vector.directions(rng.normal(size=(5000, 64))) < 64
