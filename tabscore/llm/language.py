@@ -3,11 +3,16 @@
 A text is first given a language family, by one-versus-one linear support
 vector machines over the families; then machines that each separate two
 languages of that family vote. Features are the frequencies of hashed byte
-n-grams of the whole text, so a text of any length is one pass over its bytes.
+n-grams of the whole text, so a text of any length is one pass over its bytes, in pieces.
+
+Common languages have their linguistic family. Other labels learn theirs: the nearest
+groups of label centroids join until there are about as many families as the root of
+the number of labels, so the machines grow with its power of 1.5, not with its square.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -16,13 +21,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LinearSVC
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabscore.llm.tables import crc
 from tabscore.llm.words import mix, slices, utf8
 
-# Families of common languages by ISO 639-1 code; another label is a family of its own.
+# Families of common languages by ISO 639-1 code; other labels learn theirs.
 FAMILIES = {
     "germanic": ["en", "de", "nl", "sv", "da", "no", "is"],
     "romance": ["fr", "es", "it", "pt", "ro", "ca", "gl"],
@@ -35,7 +41,9 @@ BITS = 11  # 2**11 features
 TRAIN_ROWS = 8_000  # the bound of the labelled sample that the machines are fitted on
 UNDECIDED = "und"
 FIT_TASKS = 12
-GRAM_BYTES = 250_000  # texts whose n-grams (24 bytes for each byte) a task holds at once
+MAX_LABELS = 200  # the bound of labels that are learned, the most frequent first
+GRAM_BYTES = 250_000  # text whose n-grams (some 50 bytes for each byte) a task holds at once
+ROWS = 256  # texts whose features a task holds at once
 
 # ASCII letters; bytes from 0xC3 on begin letters of the two-byte scripts and beyond.
 _FOLD = np.arange(256, dtype=np.uint64)
@@ -45,38 +53,74 @@ _FOLD[91:97] = 32
 _FOLD[123:128] = 32
 
 
-def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Feature numbers of all n-grams (1 to 3 folded bytes), and where each text begins and ends."""
-    data, offsets = utf8(texts)
-    folded = _FOLD[data]
-    n = len(folded)
-    last = np.concatenate([np.full(2, 32, np.uint64), folded])
-    begins = offsets[:-1][offsets[:-1] < n]
-    second = begins + 1
-    one = folded
-    back1, back2 = last[1:-1].copy(), last[:-2].copy()
-    back1[begins] = 32  # the byte before a text is a gap
-    back2[begins] = 32
-    back2[second[second < n]] = 32
+def grams(data: np.ndarray, offsets: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Feature numbers of the n-grams (1 to 3 folded bytes) that end at bytes a to b of texts at ``offsets``, three for each."""
+    folded = _FOLD[data[a:b]]
+    before = np.concatenate([np.full(max(0, 2 - a), 32, np.uint64), _FOLD[data[max(0, a - 2) : a]]])
+    last = np.concatenate([before, folded])
+    one, back1, back2 = folded, last[1:-1].copy(), last[:-2].copy()
+    begins = offsets[:-1] - a
+    for column, at in ((back1, begins), (back2, begins), (back2, begins + 1)):  # the byte before a text is a gap
+        column[at[(at >= 0) & (at < b - a)]] = 32
     two = one | (back1 << np.uint64(8)) | np.uint64(1 << 40)
     three = two ^ (back2 << np.uint64(16)) ^ np.uint64(3 << 40)
     keys = np.stack([one, two, three], axis=1).reshape(-1)
-    return (mix(keys) >> np.uint64(64 - BITS)).astype(np.int32), offsets[:-1] * 3, offsets[1:] * 3
+    return (mix(keys) >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def frequencies(texts: pa.Array) -> np.ndarray:
+    """For each text, the part of each feature in its n-grams; bytes are read in pieces, however long a text is."""
+    data, offsets = utf8(texts)
+    counts = np.zeros(len(texts) << BITS)
+    for a in range(0, len(data), GRAM_BYTES):
+        b = min(a + GRAM_BYTES, len(data))
+        row = np.repeat(np.arange(len(texts)), np.diff(np.clip(offsets, a, b)) * 3)
+        counts += np.bincount((row << BITS) + grams(data, offsets, a, b), minlength=len(counts))
+    return counts.reshape(-1, 1 << BITS) / np.maximum(3 * np.diff(offsets), 1)[:, None]
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (s.slice(k, ROWS) for s in slices(batches, size=GRAM_BYTES) for k in range(0, len(s), ROWS))
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in (s.slice(k, 256) for s in slices(batches, size=GRAM_BYTES) for k in range(0, len(s), 256)):
-        at, begin, end = grams(part.column("text"))
-        rows = np.zeros((len(part), 1 << BITS))
-        for i, (a, b) in enumerate(zip(begin, end, strict=True)):
-            if b > a:
-                rows[i] = np.bincount(at[a:b], minlength=1 << BITS) * ((1 << BITS) / (b - a))
+    for part in _parts(batches):
+        rows = frequencies(part.column("text")) * (1 << BITS)
         flat = pa.ListArray.from_arrays(
             pa.array(np.arange(len(part) + 1, dtype=np.int32) << BITS), pa.array(rows.reshape(-1))
         )
         yield pa.RecordBatch.from_arrays([part.column("lang").cast(pa.string()), flat], ["lang", "x"])
 
 
+def group_labels(centroids: dict[str, np.ndarray]) -> dict[str, list[str]]:
+    """Families of labels: listed codes by ``FAMILIES``, others with the labels that are like them.
+
+    Each label that is not listed starts alone. While there are more families than the
+    root of the number of labels, rounded up, the two that are most alike (mean cosine of
+    the roots of their labels' frequencies) join, listed families never with each other.
+    A family is called by its listed name, or by its first label.
+    """
+    labels = sorted(centroids)
+    x = np.sqrt(np.stack([centroids[c] for c in labels]))
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    alike = x @ x.T
+    groups: dict[str, list[int]] = {}
+    for i, lang in enumerate(labels):
+        groups.setdefault(FAMILY_OF.get(lang, lang), []).append(i)
+    limit = math.ceil(math.sqrt(len(labels)))
+    while len(groups) > limit:
+        free = [
+            (-float(alike[np.ix_(groups[a], groups[b])].mean()), a, b)
+            for a, b in combinations(sorted(groups, key=lambda g: (g not in FAMILIES, g)), 2)
+            if b not in FAMILIES
+        ]
+        if not free:
+            break
+        _, a, b = min(free)
+        groups[a] += groups.pop(b)
+    return {name: sorted(labels[i] for i in own) for name, own in groups.items()}
+
+
 @dataclass
 class Model:
     """Machines by pair of names: weights of the features, and the constant."""
@@ -89,14 +133,16 @@ class Model:
         return sorted(x for names in self.families.values() for x in names)
 
 
-def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS, max_iter: int = 25) -> Model:
+def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS, max_iter: int = 25, max_labels: int = MAX_LABELS) -> Model:
     """Fit the machines on a sample of about ``train_rows`` texts, the same number from each language.
 
     A row is in the sample by a hash of its doc_id and text; rows without text or
-    label are left out. Predictions cover all rows.
+    label are left out. Labels beyond the ``max_labels`` most frequent (ties by name) are not
+    learned. Predictions cover all rows.
     """
     rows = labelled.filter("text is not null and lang is not null").select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    frequent = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_labels)
+    counts = {r["lang"]: r["n"] for r in frequent.collect()}
     if not counts:
         return Model({}, [])
     each = max(1, train_rows // len(counts))
@@ -108,9 +154,8 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS, max_iter: int = 25) -
         "lang", array_to_vector("x").alias("features")
     )
     points = points.persist()
-    families: dict[str, list[str]] = {}
-    for lang in sorted(counts):
-        families.setdefault(FAMILY_OF.get(lang, lang), []).append(lang)
+    means = points.groupBy("lang").agg(Summarizer.mean(F.col("features")).alias("mean"))
+    families = group_labels({r["lang"]: r["mean"].toArray() for r in means.collect()})  # one for each label
 
     def machine(a: str, b: str, left: list[str], right: list[str]) -> tuple[str, str, np.ndarray, float]:
         two = points.filter(F.col("lang").isin(left + right)).select(
@@ -128,37 +173,39 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS, max_iter: int = 25) -
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """Add ``lang_pred`` and ``score`` to all rows; see ``identify``."""
-    weights = np.stack([w for _, _, w, _ in model.pairs], axis=1).astype(np.float32) if model.pairs else None
+    numbers = {(a, b): k for k, (a, b, _, _) in enumerate(model.pairs)}
+    weights = np.stack([w for _, _, w, _ in model.pairs]) if model.pairs else np.zeros((0, 1 << BITS))
+    constants = np.array([constant for *_, constant in model.pairs])
     columns = docs.columns
 
-    def votes(names: list[str], margins: dict[tuple[str, str], np.ndarray], n: int) -> np.ndarray:
+    def votes(names: list[str], x: np.ndarray) -> np.ndarray:
         """For each text, the part of each name: the product of its machines' logistic values."""
-        parts = np.ones((n, len(names)))
-        for i, j in combinations(range(len(names)), 2):
-            p = 1 / (1 + np.exp(-np.clip(4 * margins[names[i], names[j]], -30, 30)))
-            parts[:, i] *= p
-            parts[:, j] *= 1 - p
+        parts = np.ones((len(x), len(names)))
+        places = list(combinations(range(len(names)), 2))
+        if places:
+            own = [numbers[names[i], names[j]] for i, j in places]
+            p = 1 / (1 + np.exp(-np.clip(4 * (x @ weights[own].T + constants[own]), -30, 30)))
+            for k, (i, j) in enumerate(places):
+                parts[:, i] *= p[:, k]
+                parts[:, j] *= 1 - p[:, k]
+                if k % 8 == 7:  # products of many parts stay in range
+                    parts /= parts.max(axis=1, keepdims=True)
         return parts / parts.sum(axis=1, keepdims=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         families, languages = sorted(model.families), model.languages
-        for part in slices(batches, size=GRAM_BYTES):
+        for part in _parts(batches):
             n = len(part)
             text = part.column("text")
-            margins: dict[tuple[str, str], np.ndarray] = {}
-            if weights is not None:
-                at, begin, end = grams(text)
-                length = np.maximum(end - begin, 1)
-                for k, (a, b, _, constant) in enumerate(model.pairs):
-                    total = np.concatenate([[0.0], np.cumsum(weights[:, k][at], dtype=np.float64)])
-                    margins[a, b] = (total[end] - total[begin]) / length + constant
             probability = np.zeros((n, len(languages)))
-            outer = votes(families, margins, n) if families else np.ones((n, 0))
-            best = outer.argmax(axis=1) if families else np.zeros(n, int)
-            for i, family in enumerate(families):
-                inner = votes(model.families[family], margins, n)
-                for j, lang in enumerate(model.families[family]):
-                    probability[best == i, languages.index(lang)] = (outer[:, i] * inner[:, j])[best == i]
+            if families:
+                x = frequencies(text)
+                outer = votes(families, x)
+                best = outer.argmax(axis=1)
+                for i in np.unique(best).tolist():
+                    rows, names = np.flatnonzero(best == i), model.families[families[i]]
+                    own = [languages.index(lang) for lang in names]
+                    probability[np.ix_(rows, own)] = outer[rows, i : i + 1] * votes(names, x[rows])
             letters = pa.compute.fill_null(pa.compute.match_substring_regex(text.cast(pa.large_string()), r"\pL"), False)
             known = letters.to_numpy(zero_copy_only=False) & bool(languages)
             choice = probability.argmax(axis=1) if languages else np.zeros(n, int)

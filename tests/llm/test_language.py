@@ -3,6 +3,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -58,6 +59,38 @@ def test_families_part_first():
     assert language.FAMILY_OF["en"] == language.FAMILY_OF["de"] != language.FAMILY_OF["fr"]
 
 
+def test_other_labels_learn_their_family():
+    rng = np.random.default_rng(1)
+    kinds = rng.random((4, 64)) ** 4
+    mean = {f"{'pqrs'[i]}{j}": kinds[i] + rng.random(64) * 0.02 for i in range(4) for j in range(4)}
+    assert language.group_labels(mean) == {f"{k}0": [f"{k}{j}" for j in range(4)] for k in "pqrs"}
+    listed = {"en": kinds[0], "de": kinds[0] + 0.01, "fr": kinds[1], "xx": kinds[1] + 0.02}
+    assert language.group_labels(listed) == {"germanic": ["de", "en"], "romance": ["fr", "xx"]}
+    assert language.group_labels({"aa": kinds[0]}) == {"aa": ["aa"]}
+
+
+def test_unlisted_languages_are_told_apart(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("lang", F.concat(F.lit("x-"), "lang"))
+    model = language.fit(docs.filter(~language.held_out()))
+    assert len(model.families) == 2 and len(model.languages) == 4 and len(model.pairs) < 6
+    out = language.predict(docs.filter(language.held_out()).select("lang", "text"), model).collect()
+    assert sum(r.lang == r.lang_pred for r in out) >= 0.97 * len(out)
+
+
+def test_labels_beyond_the_bound_are_not_learned(spark):
+    rows = [(i, f"text number {i} of {lang}", lang, None, None) for i, lang in enumerate(["a"] * 9 + ["b"] * 6 + ["c"] * 6 + ["d"])]
+    assert language.fit(documents(spark, rows), max_labels=2).languages == ["a", "b"]
+
+
+def test_long_texts_are_read_in_pieces(monkeypatch):
+    texts = pa.array(["", "Zwei Wörter", None, "x", "", "one long text " * 50, "été", "y"])
+    whole = language.frequencies(texts)
+    for size in (1, 7, 100):
+        monkeypatch.setattr(language, "GRAM_BYTES", size)
+        assert np.array_equal(language.frequencies(texts), whole)
+    assert np.allclose(whole.sum(axis=1), [0, 1, 0, 1, 0, 1, 1, 1])
+
+
 def brute_votes(text, model):
     """A text's language and score by loops: n-grams, machines, families, then the languages of the best one."""
     data = [b + 32 if 65 <= b <= 90 else 32 if b < 65 or 91 <= b <= 96 or 123 <= b <= 127 else b for b in text.encode()]
