@@ -71,12 +71,14 @@ def grams(data: np.ndarray, offsets: np.ndarray, a: int, b: int) -> np.ndarray:
 def frequencies(texts: pa.Array) -> np.ndarray:
     """For each text, the part of each feature in its n-grams; bytes are read in pieces, however long a text is."""
     data, offsets = utf8(texts)
-    counts = np.zeros(len(texts) << BITS)
+    counts = np.zeros((len(texts), 1 << BITS))
     for a in range(0, len(data), GRAM_BYTES):
         b = min(a + GRAM_BYTES, len(data))
-        row = np.repeat(np.arange(len(texts)), np.diff(np.clip(offsets, a, b)) * 3)
-        counts += np.bincount((row << BITS) + grams(data, offsets, a, b), minlength=len(counts))
-    return counts.reshape(-1, 1 << BITS) / np.maximum(3 * np.diff(offsets), 1)[:, None]
+        at, edges = grams(data, offsets, a, b), (np.clip(offsets, a, b) - a) * 3
+        for i in np.flatnonzero(np.diff(edges)).tolist():
+            counts[i] += np.bincount(at[edges[i] : edges[i + 1]], minlength=1 << BITS)
+    counts /= np.maximum(3 * np.diff(offsets), 1)[:, None]
+    return counts
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
