@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tabscore.llm.near_text import runs
 from tabscore.llm.tables import Scratch, texts_of
-from tabscore.llm.words import Words, mix, sequence_hash, signed, slices, span_hash, words_of
+from tabscore.llm.words import SLICE_BYTES, Words, mix, sequence_hash, signed, slices, span_hash, words_of
 
 WINDOW = 35
 SEED = 14
@@ -226,11 +226,23 @@ def deepest(words: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
     return order[found], above[found]
 
 
+def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole groups with about ``SLICE_BYTES`` of pieces (or one larger group), from batches sorted by key."""
+    for table in runs(batches, "key"):
+        keys = table.column("key").to_numpy()
+        heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        sizes = pa.compute.binary_length(table.column("piece")).to_numpy().astype(np.int64)
+        before = np.concatenate([[0], np.cumsum(sizes)])[heads] // SLICE_BYTES
+        edges = [0, *heads[1:][np.diff(before) > 0].tolist(), len(table)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            yield table.slice(a, b - a)
+
+
 def _subtrees(window: int):
     """Spans of words that repeats of one group cover, as rows of ``SPAN``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in runs(batches, "key"):
+        for table in portions(batches):
             column = table.column("piece").combine_chunks()
             column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
             words = words_of(column.cast(pa.string()))

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -68,6 +69,32 @@ def test_subtrees_are_those_of_all_suffixes():
         assert between.tolist() == [match(suffixes[a], suffixes[b]) for a, b in zip(order.tolist()[:-1], order.tolist()[1:])]
 
 
+def test_a_batch_of_many_groups_is_grown_in_portions(monkeypatch):
+    """One batch of 10,000 pieces: the same spans as group by group, in a part of the memory."""
+    rng = random.Random(5)
+    rows = []
+    for key in range(2000):
+        base = [f"k{key}w{j}" for j in range(50)]
+        for copy in range(5):
+            rows.append((key, 5 * key + copy, copy, " ".join(base[: rng.randrange(30, 50)]).encode()))
+    key, doc, start, text = zip(*rows, strict=True)
+    batch = substring._rows(key, doc, doc, start, [1] * len(rows), text)
+    heads = [5 * k for k in range(2000)]
+    alone = [b for a in heads for b in substring._subtrees(35)(iter([batch.slice(a, 5)]))]
+    tracemalloc.start()
+    together = list(substring._subtrees(35)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert pa.Table.from_batches(together).equals(pa.Table.from_batches(alone))
+    size = sum(map(len, text))
+    assert size > 3_000_000 and peak < 30 * size, (size, peak)
+    sizes = [(len(t), t.column("key").unique().to_pylist()) for t in substring.portions(iter([batch]))]
+    assert len(sizes) >= size // substring.SLICE_BYTES and sum(n for n, _ in sizes) == len(rows)
+    assert sum(len(k) for _, k in sizes) == 2000  # no group is divided
+    monkeypatch.setattr(substring, "SLICE_BYTES", 1)
+    assert [len(t) for t in substring.portions(iter([batch]))] == [5] * 2000
+
+
 def test_maximal_repeats_are_the_spans(spark):
     """A passage of 50 words in three texts and one of 40 in two, side by side: one span each, whole."""
     rng = random.Random(4)

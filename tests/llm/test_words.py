@@ -58,3 +58,15 @@ def test_slices_hold_all_rows_and_bounded_bytes(monkeypatch):
 def test_no_words(texts):
     found = W.words_of(pa.array(texts, pa.string()))
     assert len(found.hashes) == 0 and found.first.tolist() == [0] * (len(texts) + 1)
+
+
+def test_powers_of_a_long_text_are_not_kept(monkeypatch):
+    monkeypatch.setattr(W, "KEPT_POWERS", 1 << 17)
+    monkeypatch.setattr(W, "_kept", W._powers(1 << 16))
+    first = [x.tolist() for x in W.powers(1000)]
+    up, down = W.powers(70_000)
+    assert len(W._kept[0]) == 1 << 17 and len(up) == len(down) == 70_000
+    up, down = W.powers(200_000)
+    assert len(W._kept[0]) == 1 << 17 and len(up) == len(down) == 200_000
+    assert [x[:1000].tolist() for x in (up, down)] == first
+    assert (up * down == 1).all() and up[2] == up[1] * up[1]
