@@ -1,6 +1,9 @@
 import random
+import tracemalloc
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tabscore.llm import near_text
@@ -98,3 +101,26 @@ def test_trees_hold_pairs_at_the_threshold_at_every_depth(spark, monkeypatch, pe
     want = brute(rows, 3, percent)
     assert len({c for _, _, c in want}) == 150
     assert found(near_text.near_duplicates(documents(spark, rows), 3, percent)) == want
+
+
+def test_a_batch_of_large_sets_is_confirmed_in_slices():
+    """Sets of 24 MB on each side: the same links as all at once, and a few of them in memory at a time."""
+    rng = np.random.default_rng(6)
+    sets = [np.sort(rng.choice(1 << 40, 2000, replace=False).astype(np.uint64)) for _ in range(40)]
+    near = [s[: 2000 - 20 * i] for i, s in enumerate(sets)]
+    at = [i % 40 for i in range(1500)]
+    batch = pa.record_batch(
+        {
+            "a": [b"a%d" % i for i in range(1500)],
+            "b": [b"b%d" % i for i in range(1500)],
+            "x": [sets[i].tobytes() for i in at],
+            "y": [near[i].tobytes() for i in at],
+        }
+    )
+    tracemalloc.start()
+    out = pa.Table.from_batches(list(near_text._confirm(85)(iter([batch]))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.column("a").to_pylist() == [b"a%d" % i for i, k in enumerate(at) if 2000 - 20 * k >= 1700]
+    assert out.column("b").to_pylist() == [b"b%d" % i for i, k in enumerate(at) if 2000 - 20 * k >= 1700]
+    assert peak < 10_000_000, peak
