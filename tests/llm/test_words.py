@@ -69,4 +69,4 @@ def test_powers_of_a_long_text_are_not_kept(monkeypatch):
     up, down = W.powers(200_000)
     assert len(W._kept[0]) == 1 << 17 and len(up) == len(down) == 200_000
     assert [x[:1000].tolist() for x in (up, down)] == first
-    assert (up * down == 1).all() and up[2] == up[1] * up[1]
+    assert (up * down == 1).all() and (up[2:] == up[1:-1] * up[1]).all()
