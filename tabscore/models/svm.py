@@ -9,7 +9,6 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import (
     Interaction,
     OneHotEncoder,
-    PolynomialExpansion,
     SQLTransformer,
     VectorAssembler,
     VectorSizeHint,
@@ -18,8 +17,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabscore.models.mapped import MappedMargin, mapped_svm
 from tabscore.models.stages import GatedMargin, MatrixProjection
-from tabscore.sources.scratch import materialize
+from tabscore.operators.metrics import _binary
+from tabscore.sources.scratch import discard, materialize
 
 
 class _Chain:
@@ -90,35 +91,29 @@ def kernel_svm_approx(
 
     K-means divides the rows; inside each cluster a linear SVM works on an
     explicit feature map of the kernel: ``features`` random Fourier features
-    (``gaussian``) or all monomials up to ``degree`` (``polynomial``).
+    (``gaussian``) or all monomials up to ``degree`` (``polynomial``). Mapped rows
+    are not stored (``mapped``).
     """
-    chain = _Chain(df.select(label, *cols))
-    chain.add(VectorAssembler(inputCols=list(cols), outputCol="__x"))
-    chain.add(KMeans(k=k, seed=seed, featuresCol="__x", predictionCol="__cluster"))
+    width, waves = len(cols), []
     if kernel == "gaussian":
-        rng = np.random.default_rng(seed)
-        w = rng.normal(scale=np.sqrt(2.0 * gamma), size=(features, len(cols)))
+        rng, degree = np.random.default_rng(seed), 0
+        w = rng.normal(scale=np.sqrt(2.0 * gamma), size=(features, width))
         b = rng.uniform(0.0, 2.0 * np.pi, size=features)
-        chain.add(
-            MatrixProjection(
-                inputCol="__x", outputCol="__map", weights=w.tolist(), offsets=b.tolist(), cosine=True
-            )
-        )
-        size = features
-    elif kernel == "polynomial":
-        chain.add(PolynomialExpansion(inputCol="__x", outputCol="__map", degree=degree))
-        size = 1
-        for i in range(1, degree + 1):
-            size = size * (len(cols) + i) // i
-        size -= 1
-    else:
+        waves = np.column_stack([w, b]).tolist()
+    elif kernel != "polynomial":
         raise ValueError(f"unknown kernel {kernel!r}")
-    chain.add(VectorSizeHint(inputCol="__map", size=size, handleInvalid="error"))
-    chain.add(VectorAssembler(inputCols=["__map"], outputCol="__mapped"))
-    _blocks(chain, "__mapped", "__cluster", "__features")
-    chain.add(
-        LinearSVC(featuresCol="__features", labelCol=label, regParam=reg, maxIter=max_iter, rawPredictionCol="__raw")
-    )
+    elif degree < 1:
+        raise ValueError("degree must be 1 or more")
+    chain = _Chain(df.select(label, *cols))
+    chain.add(VectorAssembler(inputCols=list(cols), outputCol="__x"))
+    chain.add(KMeans(k=k, seed=seed, featuresCol="__x", predictionCol="__cluster"))
+    margin = MappedMargin(inputCol="__x", cluster="__cluster", width=width, degree=degree, waves=waves)
+    plain = [F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)]
+    base = materialize(chain.df.select(F.col("__cluster").alias("cluster"), (2 * _binary(label) - 1).alias("y"), *plain), "mapped")
+    centers = len(chain.stages[-1].clusterCenters())  # fewer than k where fewer points differ
+    weights, offset = mapped_svm(base, margin.map(), width, centers, reg, max_iter)
+    discard(base)
+    chain.add(margin._set(weights=weights.tolist(), offset=offset))
     return chain.finish()
 
 
